@@ -58,12 +58,12 @@ def _drawn(docs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("__source").orderBy("__sc", "__hb").rowsBetween(Window.unboundedPreceding, -1)
     first = strata.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     t = targets(strata)
-    first = first.join(F.broadcast(t), first["__source"].eqNullSafe(t["__source"])).select(first["__source"].alias("__s"), first["__sc"].alias("__c"), first["__hb"].alias("__h"), "first", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "rate", "shift")
+    first = first.join(F.broadcast(t), first["__source"].eqNullSafe(t["__source"])).select(first["__source"].alias("__s"), first["__sc"].alias("__c"), first["__hb"].alias("__h"), F.col("first").alias("__first"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("shift").alias("__shift"))
     d = d.join(first, d["__source"].eqNullSafe(first["__s"]) & (d["__sc"] == first["__c"]) & (d["__hb"] == first["__h"])).drop("__s", "__c", "__h")
     within = Window.partitionBy(*keys).orderBy("__order", "__size", F.xxhash64("text"))
-    d = d.withColumn("__at", F.col("first") + F.row_number().over(within))
-    crossed = lambda at: F.floor(F.col("rate") * at + F.col("shift"))
-    return d.withColumn("__copies", (crossed(F.col("__at")) - crossed(F.col("__at") - 1)).cast("long")).drop("first", "rate", "shift", "__at")
+    d = d.withColumn("__at", F.col("__first") + F.row_number().over(within))
+    crossed = lambda at: F.floor(F.col("__rate") * at + F.col("__shift"))
+    return d.withColumn("__copies", (crossed(F.col("__at")) - crossed(F.col("__at") - 1)).cast("long")).drop("__first", "__rate", "__shift", "__at")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ t AS (
     CAST(CAST('0x' || substr(md5('offset:' || coalesce(source, chr(1))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift FROM l),
 o AS (
   SELECT c.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY c.source ORDER BY sc, ord, size, text) AS at
+    row_number() OVER (PARTITION BY c.source ORDER BY sc, ord, size, text) AS nth
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  CAST((floor(rate * at + shift) - floor(rate * (at - 1) + shift)) AS BIGINT) * size AS taken FROM o
+  CAST((floor(rate * nth + shift) - floor(rate * (nth - 1) + shift)) AS BIGINT) * size AS taken FROM o
 """
