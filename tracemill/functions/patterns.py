@@ -2,7 +2,7 @@
 
 # Line formats.
 JSON_LINE = r"^\s*\{.*\}\s*$"
-JSON_START = r"^\s*[\[{]"
+JSON_OPEN = r"^\s*(?:\{\s*(?:[\"}]|$)|\[\s*(?:[\[{\"\]tfn]|-?\d+\s*[,\]]|$))"
 XML_TAG = r"^\s*<[\w!?][^>]*>\s*$"
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 SYSLOG_START = r"(?i)^(?:<\d{1,3}>)?" + MONTHS + r"\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+\S+"

@@ -172,11 +172,16 @@ def sql_type(rank: Column) -> Column:
     return F.coalesce(*[F.when(rank == r, F.lit(t)) for r, t in SQL_TYPE.items()], F.lit("TEXT"))
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is one whole JSON value, with nothing after it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False)) & c.rlike(r"[\]}\"\w]\s*$")
+
+
 def smart_cast(c: Column) -> Column:
     """struct(kind, value) as coerce, but empty is null, exponents are numbers and JSON is told apart."""
     t = F.trim(c)
     low = F.lower(t)
-    json = t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull()
+    json = t.rlike(r"^[\[{]") & is_json(t)
     number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     kind = F.when(c.isNull() | low.isin("", "null", "none"), "null").when(low.isin("true", "false"), "boolean").when(t.rlike(r"^[+-]?\d+$"), "integer").when(number, "real").when(json, "json").otherwise("text")
     return F.struct(kind.alias("kind"), F.when(kind != "null", F.when(kind == "boolean", low).otherwise(t)).alias("value"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from ..sources.lines import sample
 
 # Formats in the order that breaks ties.
 FINGERPRINT_FORMATS = ("json_lines", "json_document", "xml", "csv", "syslog", "apache_clf", "logfmt", "key_value", "hex_dump", "section_delimited")
@@ -35,27 +36,44 @@ def _best(scores: dict[str, Column]) -> Column:
     return F.array_max(F.filter(ranked, lambda x: x["score"] > 0))
 
 
-def delimiter_score(lines: DataFrame, marks: tuple[str, ...] = (",",)) -> DataFrame:
-    """file_id, csv: of the lines 2 to 10 of a sample, the share with as many marks as the first, for the best mark."""
+_CSV_MARKS = (",", "\t", "|", ";")
+
+
+def _headed(lines: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+    """Sampled lines with how often each mark occurs in them (n0, ...) and in their file's first (h0, ...)."""
     first = Window.partitionBy("file_id").orderBy("pos")
-    d = lines.where("pos <= 10")
-    for k, m in enumerate(marks):
-        d = d.withColumn(f"n{k}", _count(F.col("line"), m)).withColumn(f"h{k}", F.first(f"n{k}").over(first))
-    later = F.col("pos") > 1
-    shares = [F.coalesce(F.avg(F.when(later, F.when((F.col(f"h{k}") > 0) & (F.col(f"n{k}") == F.col(f"h{k}")), 1.0).otherwise(0.0))), F.lit(0.0)) for k in range(len(marks))]
-    return d.groupBy("file_id").agg((F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("csv"))
+    counted = lines.withColumns({f"n{k}": _count(F.col("line"), m) for k, m in enumerate(marks)})
+    return counted.withColumns({f"h{k}": F.first(f"n{k}").over(first) for k in range(len(marks))})
 
 
-def line_stats(lines: DataFrame) -> DataFrame:
-    """Average and population deviation of line lengths, whether timestamps and levels are frequent."""
+def _csv_share(k: int, within: Column | None = None) -> Column:
+    """Of the lines 2 to 10, the share with as many marks as the first."""
+    later = (F.col("pos") > 1) & (F.col("pos") <= 10)
+    later = later if within is None else later & within
+    same = (F.col(f"h{k}") > 0) & (F.col(f"n{k}") == F.col(f"h{k}"))
+    return F.coalesce(F.avg(F.when(later, F.when(same, 1.0).otherwise(0.0))), F.lit(0.0))
+
+
+def delimiter_score(lines: DataFrame, marks: tuple[str, ...] = (",",)) -> DataFrame:
+    """file_id, csv: how regular the columns of a sample are, for the best of some marks."""
+    shares = [_csv_share(k) for k in range(len(marks))]
+    return _headed(lines, marks).groupBy("file_id").agg((F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("csv"))
+
+
+def _stat_columns() -> list[Column]:
     n = F.length("line")
-    return lines.groupBy("file_id").agg(
+    return [
         F.count("*").alias("sample_lines"),
         F.bround(F.avg(n), 1).alias("avg_line_length"),
         F.bround(F.stddev_pop(n), 1).alias("line_length_std"),
         (_share(F.col("line").rlike(P.ISO_TIMESTAMP)) > 0.3).alias("has_timestamps"),
         (_share(F.col("line").rlike(P.LEVEL_HINT)) > 0.3).alias("has_log_levels"),
-    )
+    ]
+
+
+def line_stats(lines: DataFrame) -> DataFrame:
+    """Average and population deviation of line lengths, whether timestamps and levels are frequent."""
+    return lines.groupBy("file_id").agg(*_stat_columns())
 
 
 def delimiter_counts(lines: DataFrame) -> DataFrame:
@@ -63,29 +81,41 @@ def delimiter_counts(lines: DataFrame) -> DataFrame:
     return lines.where("pos <= 50").groupBy("file_id").agg(*[F.sum(_count(F.col("line"), m)).alias(k) for k, m in DELIMITERS.items()])
 
 
+def _heads() -> Column:
+    """The first 20 sampled lines, 200 characters each."""
+    return F.sort_array(F.collect_list(F.when(F.col("pos") <= 20, F.struct("pos", F.substring("line", 1, 200).alias("head"))))).alias("told")
+
+
+def _hash_of_heads() -> Column:
+    return F.substring(F.sha2(F.array_join(F.transform("told", lambda x: x["head"]), "\n"), 256), 1, 16).alias("fingerprint")
+
+
 def content_fingerprint(lines: DataFrame) -> DataFrame:
-    """The first 16 hex digits of the SHA-256 of the first 20 sampled lines, 200 characters each."""
-    told = F.sort_array(F.collect_list(F.struct("pos", F.substring("line", 1, 200).alias("head"))))
-    return lines.where("pos <= 20").groupBy("file_id").agg(told.alias("told")).select("file_id", F.substring(F.sha2(F.array_join(F.transform("told", lambda x: x["head"]), "\n"), 256), 1, 16).alias("fingerprint"))
+    """The first 16 hex digits of the SHA-256 of a sample's first lines."""
+    return lines.where("pos <= 20").groupBy("file_id").agg(_heads()).select("file_id", _hash_of_heads())
 
 
-def format_scores(lines: DataFrame) -> DataFrame:
-    """A column for each fingerprint format: the share of sampled lines that look like it."""
+def _score_columns() -> list[Column]:
     c = F.col("line")
     json = _share(c.rlike(P.JSON_LINE))
-    opened = F.avg(F.when(F.col("pos") <= 10, F.when(c.rlike(r"^\s*(?:\{\s*(?:[\"}]|$)|\[\s*(?:[\[{\"\]tfn]|-?\d+\s*[,\]]|$))"), 1.0).otherwise(0.0)))
-    hits = lines.groupBy("file_id").agg(
+    opened = F.avg(F.when(F.col("pos") <= 10, F.when(c.rlike(P.JSON_OPEN), 1.0).otherwise(0.0)))
+    return [
         json.alias("json_lines"),
         F.when(json == 0, F.least(F.lit(0.85), opened)).otherwise(0.0).alias("json_document"),
         _share(c.rlike(P.XML_TAG)).alias("xml"),
+        _csv_share(0).alias("csv"),
         _share(c.rlike(P.SYSLOG_START)).alias("syslog"),
         _share(c.rlike(P.ACCESS_START)).alias("apache_clf"),
         _share(c.rlike(P.LOGFMT_LINE)).alias("logfmt"),
         (_share(c.rlike(P.KEY_VALUE_LINE)) * 0.8).alias("key_value"),
         _share(c.rlike(P.HEX_DUMP_START)).alias("hex_dump"),
         _share(c.rlike(P.SECTION_HEADER)).alias("section_delimited"),
-    )
-    return hits.join(delimiter_score(lines), "file_id").select("file_id", *FINGERPRINT_FORMATS)
+    ]
+
+
+def format_scores(lines: DataFrame) -> DataFrame:
+    """A column for each fingerprint format: the share of sampled lines that look like it."""
+    return _headed(lines, (",",)).groupBy("file_id").agg(*_score_columns())
 
 
 def structural_class(fmt: Column, confidence: Column | None = None) -> Column:
@@ -100,14 +130,40 @@ def normalize_class(c: Column) -> Column:
     return F.when(name.isin("structured", "semi_structured", "unstructured"), name).otherwise("unstructured")
 
 
+def measures(lines: DataFrame) -> DataFrame:
+    """All that classification asks of the first 100 lines, in one pass and one shuffle.
+
+    The fingerprint's columns, and s_* scores of the service over the first 50.
+    """
+    w = Window.partitionBy("file_id").orderBy("line_no")
+    top = lines.withColumn("nth", F.row_number().over(w)).where("nth <= 100").where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+    s = _headed(top.withColumn("pos", F.row_number().over(w)), _CSV_MARKS)
+    c, half = F.col("line"), F.col("nth") <= 50
+    among = lambda hit: F.avg(F.when(half, F.when(hit, 1.0).otherwise(0.0)))
+    clf, logfmt = among(c.rlike(P.ACCESS_START)), among(c.rlike(P.LOGFMT_LINE))
+    nginx = F.coalesce(F.max(F.when(half, F.lower(c).rlike("upstream|nginx"))), F.lit(False))
+    service = {
+        "json_lines": among(c.rlike(P.JSON_LINE) & S.is_json(c)),
+        "csv": F.greatest(*[_csv_share(k, half) for k in range(len(_CSV_MARKS))]),
+        "syslog": among(c.rlike(P.SYSLOG_START)),
+        "nginx_access": F.when(nginx, clf).otherwise(0.0),
+        "apache_access": F.when(~nginx, clf).otherwise(0.0),
+        "logfmt": logfmt,
+        "key_value": F.when(logfmt == 0, among(c.rlike(P.KEY_VALUE_LINE)) * 0.8).otherwise(0.0),
+    }
+    return s.groupBy("file_id").agg(*_score_columns(), *_stat_columns(), _heads(), *[v.alias(f"s_{k}") for k, v in service.items()])
+
+
+def _fingerprinted(measured: DataFrame) -> DataFrame:
+    d = measured.withColumn("best", _best({f: F.col(f) for f in FINGERPRINT_FORMATS}))
+    d = d.withColumn("format_name", F.coalesce("best.format", F.lit("plain_text"))).withColumn("confidence", F.bround(F.coalesce("best.score", F.lit(0.5)), 3))
+    return d.withColumn("fingerprint", _hash_of_heads()).withColumn("structural_class", structural_class(F.col("format_name"))).drop("best", "told")
+
+
 def fingerprints(lines: DataFrame) -> DataFrame:
     """One row for each file: fingerprint, format, confidence, class, line statistics."""
-    s = sample(lines, 100)
-    best = _best({f: F.col(f) for f in FINGERPRINT_FORMATS})
-    scored = format_scores(s).withColumn("best", best)
-    scored = scored.select("file_id", F.coalesce("best.format", F.lit("plain_text")).alias("format_name"), F.bround(F.coalesce("best.score", F.lit(0.5)), 3).alias("confidence"))
-    out = scored.join(line_stats(s), "file_id").join(content_fingerprint(s), "file_id")
-    return out.withColumn("structural_class", structural_class(F.col("format_name")))
+    d = _fingerprinted(measures(lines))
+    return d.select("file_id", "format_name", "confidence", "sample_lines", "avg_line_length", "line_length_std", "has_timestamps", "has_log_levels", "fingerprint", "structural_class")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -137,12 +193,17 @@ def format_distribution(prints: DataFrame) -> DataFrame:
     return prints.groupBy("format_name").agg(F.count("*").alias("n_files"))
 
 
+def _segmentation(n: Column, r: Column) -> tuple[Column, Column]:
+    xml, short, many = F.col("detected_format") == "xml", (n <= 3) & F.col("detected_format").isin("plain_text", "unknown"), r > 0.15
+    strategy = F.when(xml | short, "per_file").when(many, "per_multiline_cluster").otherwise("per_line")
+    return strategy, F.when(xml, 0.9).when(short, 0.7).when(many, F.bround(F.least(0.6 + r, F.lit(0.95)), 2)).otherwise(0.9)
+
+
 def segmentation(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """How a file is cut into records: per_file, per_multiline_cluster or per_line, with a confidence."""
     d = lines.groupBy("file_id").agg(F.count("*").alias("n"), _share(F.col("line").rlike(P.CONTINUATION)).alias("r")).join(formats, "file_id")
-    xml, short = F.col("detected_format") == "xml", (F.col("n") <= 3) & F.col("detected_format").isin("plain_text", "unknown")
-    many = F.col("r") > 0.15
-    return d.select("file_id", F.when(xml | short, "per_file").when(many, "per_multiline_cluster").otherwise("per_line").alias("strategy"), F.when(xml, 0.9).when(short, 0.7).when(many, F.bround(F.least(0.6 + F.col("r"), F.lit(0.95)), 2)).otherwise(0.9).alias("confidence"))
+    strategy, confidence = _segmentation(F.col("n"), F.col("r"))
+    return d.select("file_id", strategy.alias("strategy"), confidence.alias("confidence"))
 
 
 def classify(files: DataFrame, lines: DataFrame, cache: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
@@ -153,31 +214,18 @@ def classify(files: DataFrame, lines: DataFrame, cache: DataFrame | None = None,
     (fingerprint, detected_format, format_confidence) with a confidence of at
     least threshold goes before both.
     """
-    s = sample(lines, 50)
-    prints = fingerprints(lines).select("file_id", "fingerprint", "format_name", "confidence")
-    c = F.col("line")
-    low = F.lower(c)
-    clf = _share(c.rlike(P.ACCESS_START))
-    nginx = F.max(F.contains(low, F.lit("upstream")) | F.contains(low, F.lit("nginx")))
-    logfmt = _share(c.rlike(P.LOGFMT_LINE))
-    hits = s.groupBy("file_id").agg(
-        _share(c.rlike(P.JSON_LINE) & F.try_parse_json("line").isNotNull()).alias("json"),
-        _share(c.rlike(P.SYSLOG_START)).alias("syslog"),
-        F.when(nginx, clf).otherwise(0.0).alias("nginx_access"),
-        F.when(~nginx, clf).otherwise(0.0).alias("apache_access"),
-        logfmt.alias("logfmt"),
-        F.when(logfmt == 0, _share(c.rlike(P.KEY_VALUE_LINE)) * 0.8).otherwise(0.0).alias("key_value"),
-    )
     text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
-    whole = files.select("file_id", "filename", (text.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull()).alias("is_json"), (F.startswith(text, F.lit("<")) & _well_formed(text)).alias("is_xml"))
-    counts = lines.groupBy("file_id").agg(F.count("*").alias("line_count"))
-    d = whole.join(counts, "file_id", "left").join(hits, "file_id", "left").join(delimiter_score(s, (",", "\t", "|", ";")), "file_id", "left").join(prints, "file_id", "left")
-    service = _best({"json_lines": F.greatest(F.when(F.col("is_json"), 0.98).otherwise(0.0), F.col("json")), "xml": F.when(F.col("is_xml"), 0.95).otherwise(0.0), **{f: F.col(f) for f in SERVICE_FORMATS[2:]}})
+    whole = files.select("file_id", "filename", (text.rlike(r"^[\[{]") & S.is_json(text)).alias("is_json"), (F.startswith(text, F.lit("<")) & _well_formed(text)).alias("is_xml"))
+    continued = _share(F.col("line").rlike(P.CONTINUATION))
+    counts = lines.groupBy("file_id").agg(F.count("*").alias("line_count"), continued.alias("continued"))
+    d = whole.join(counts, "file_id", "left").join(_fingerprinted(measures(lines)), "file_id", "left")
+    service = _best({"json_lines": F.greatest(F.when(F.col("is_json"), 0.98).otherwise(0.0), F.col("s_json_lines")), "xml": F.when(F.col("is_xml"), 0.95).otherwise(0.0), **{f: F.col(f"s_{f}") for f in SERVICE_FORMATS[2:]}})
     mapped = F.coalesce(*[F.when(F.col("format_name") == k, F.lit(v)) for k, v in FINGERPRINT_TO_FORMAT.items()])
     sure = F.col("confidence") >= 0.85
     d = d.withColumn("service", service)
-    fmt = F.when(F.col("json").isNull(), "unknown").when(sure, mapped).otherwise(F.coalesce("service.format", F.when(F.col("format_name") == "hex_dump", "hex_dump"), F.lit("plain_text")))
-    conf = F.when(F.col("json").isNull(), 0.0).when(sure, F.col("confidence")).otherwise(F.coalesce("service.score", F.lit(0.3)))
+    nothing = F.col("sample_lines").isNull()
+    fmt = F.when(nothing, "unknown").when(sure, mapped).otherwise(F.coalesce("service.format", F.when(F.col("format_name") == "hex_dump", "hex_dump"), F.lit("plain_text")))
+    conf = F.when(nothing, 0.0).when(sure, F.col("confidence")).otherwise(F.coalesce("service.score", F.lit(0.3)))
     d = d.withColumn("detected_format", fmt).withColumn("format_confidence", F.bround(F.least(conf, F.lit(1.0)), 2))
     if cache is not None:
         known = cache.select("fingerprint", F.col("detected_format").alias("k_format"), F.col("format_confidence").alias("k_conf")).where(F.col("k_conf") >= threshold).dropDuplicates(["fingerprint"])
@@ -187,12 +235,12 @@ def classify(files: DataFrame, lines: DataFrame, cache: DataFrame | None = None,
     parser = F.coalesce(*[F.when(F.col("detected_format") == k, F.lit(v)) for k, v in PARSERS.items()], by_name, F.lit("unified"))
     low_conf = F.when(F.col("line_count").isNull(), F.array(F.lit("File is empty."))).when(F.col("format_confidence") < 0.5, F.array(F.concat(F.lit("Low format confidence ("), F.format_number("format_confidence", 2), F.lit(") results may be approximate.")))).otherwise(F.array().cast("array<string>"))
     d = d.withColumn("structural_class", structural_class(F.col("detected_format"), F.col("format_confidence"))).withColumn("parser_key", parser).withColumn("warnings", low_conf)
-    seg = segmentation(lines, d.select("file_id", "detected_format")).select("file_id", F.col("strategy").alias("segmentation"))
-    return d.join(seg, "file_id", "left").select("file_id", "filename", "fingerprint", "detected_format", "format_confidence", "structural_class", "parser_key", F.coalesce("line_count", F.lit(0)).alias("line_count"), "segmentation", "warnings")
+    strategy, _ = _segmentation(F.col("line_count"), F.col("continued"))
+    return d.select("file_id", "filename", "fingerprint", "detected_format", "format_confidence", "structural_class", "parser_key", F.coalesce("line_count", F.lit(0)).alias("line_count"), strategy.alias("segmentation"), "warnings")
 
 
-@F.pandas_udf("boolean")
-def _well_formed(texts):  # XML has no well-formedness test in the JVM
+@F.pandas_udf(BooleanType())
+def _well_formed(texts: pd.Series) -> pd.Series:  # XML has no well-formedness test in the JVM
     import xml.etree.ElementTree as ET
 
     def ok(t) -> bool:

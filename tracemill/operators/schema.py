@@ -54,14 +54,19 @@ def columns_of(inferred: DataFrame) -> dict[str, list[Column]]:
     return out
 
 
+def normalized(records: DataFrame, map_column: str = "fields", as_is: tuple[str, ...] = ("source_file",)) -> DataFrame:
+    """Records with every value but those as_is in its normal text, once for all columns that are made of them."""
+    return records.withColumn(map_column, F.transform_values(map_column, lambda k, v: F.when(k.isin(*as_is), v).otherwise(S.coerce(v)["value"])))
+
+
 def typed(records: DataFrame, columns: list[Column], map_column: str = "fields") -> DataFrame:
-    """Records as a table: file_id, row_no and the columns with their Spark types. A column named id becomes id_value."""
+    """Normalized records as a table: file_id, row_no and the columns with their Spark types. A column named id becomes id_value."""
     out = []
     for c in columns:
-        value = S.coerce(F.col(map_column)[c.name])["value"]
-        kind = S.SPARK_TYPE[S.STORE_TYPE[c.sql_type]]
-        name = "id_value" if c.name == "id" else c.name
-        out.append(value.try_cast(kind).alias(name))
+        value = F.col(map_column)[c.name]
+        if c.sql_type in ("INTEGER", "REAL"):  # booleans among numbers are 0 and 1
+            value = F.when(value == "true", "1").when(value == "false", "0").otherwise(value)
+        out.append(value.try_cast(S.SPARK_TYPE[S.STORE_TYPE[c.sql_type]]).alias("id_value" if c.name == "id" else c.name))
     keys = [k for k in ("file_id", "row_no") if k in records.columns and k not in {c.name for c in columns}]
     return records.select(*keys, *out)
 

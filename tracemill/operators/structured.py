@@ -234,14 +234,14 @@ def xml_documents(files: DataFrame) -> DataFrame:
 
 def json_value_fields(c: Column) -> Column:
     """The first level of a JSON object as map(sanitized key, text); nested values are JSON text. Null if c is none."""
-    m = F.from_json(F.when(F.try_parse_json(c).isNotNull(), c), "map<string,string>")
+    m = F.from_json(F.when(S.is_json(c), c), "map<string,string>")
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
     """A record for each line that holds an object; nested objects become a_b keys, DEPTH levels deep."""
     text = F.trim("line")
-    d = lines.where(F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull()).withColumn("m", F.from_json(text, "map<string,string>")).where("m is not null")
+    d = lines.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("m", F.from_json(text, "map<string,string>")).where("m is not null")
     top = F.map_entries("m")
     for _ in range(DEPTH):
         top = F.flatten(F.transform(top, _one_level))
@@ -266,9 +266,9 @@ def _list_text(v: Column) -> Column:
 def invalid_json(lines: DataFrame) -> DataFrame:
     """Warnings for non-blank lines that are no JSON object."""
     text = F.trim("line")
-    valid = F.try_parse_json(text)
-    reason = F.when(valid.isNull(), "invalid JSON object").otherwise("JSON value is not an object")
-    return lines.where((text != "") & (valid.isNull() | ~F.startswith(text, F.lit("{")))).select("file_id", "filename", "line_no", F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), reason).alias("warning"))
+    valid = S.is_json(text)
+    reason = F.when(~valid, "invalid JSON object").otherwise("JSON value is not an object")
+    return lines.where((text != "") & (~valid | ~F.startswith(text, F.lit("{")))).select("file_id", "filename", "line_no", F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), reason).alias("warning"))
 
 
 # -- delimited text ----------------------------------------------------------------

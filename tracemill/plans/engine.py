@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import anomaly, cache, detect, line_parsers, quality, schema, structured, templates
 from ..sources.lines import lines_of
+from ..sources.shared import written
 from .catalog import Catalog
 
 #: A parser takes files and lines and gives records: file_id, filename, logical_name, row_no, fields.
@@ -33,8 +34,8 @@ _HEX = ["offset", "hex_bytes", "ascii_repr", "decoded_text", "timestamp"]
 
 
 def _json(files: DataFrame, lines: DataFrame) -> DataFrame:
-    whole = F.try_parse_json(F.trim("content")).isNotNull()
-    return structured.json_documents(files.where(whole)).unionByName(structured.json_lines(lines.join(files.where(~F.coalesce(whole, F.lit(False))).select("file_id"), "file_id", "left_semi")))
+    whole = S.is_json(F.trim("content"))
+    return structured.json_documents(files.where(whole)).unionByName(structured.json_lines(lines.join(files.where(~whole).select("file_id"), "file_id", "left_semi")))
 
 
 def _unified(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ class Parsed:
 
 def required_columns(columns: list[schema.Column]) -> list[str]:
     """Columns that every record has."""
-    return [c.name for c in columns if not c.nullable]
+    return ["id_value" if c.name == "id" else c.name for c in columns if not c.nullable]
 
 
 def parse_with(key: str, files: DataFrame, lines: DataFrame) -> Parsed:
@@ -92,7 +93,9 @@ def parse_with(key: str, files: DataFrame, lines: DataFrame) -> Parsed:
         left = lines.join(records.select("file_id").distinct(), "file_id", "left_anti")
         plain = line_parsers.plain(left).withColumn("source_file", F.col("filename"))
         records = records.unionByName(_records(plain, "lines", ["source_file", *_TEXT]).select(*records.columns))
-    records = records.persist()  # read once for the schema and once for each table
+    # what a line parser took over from the line stays as it was
+    as_is = ("source_file",) if key in FALL_BACK else ("source_file", "source", "raw", "message", "log_level")
+    records = written(schema.normalized(records, as_is=as_is))  # read once for the schema and once for each table
     columns = schema.columns_of(schema.infer(records))
     tables = {name: schema.typed(records.where(F.col("logical_name") == name), cols) for name, cols in columns.items()}
     trace = quality.TRACE_FIELDS if key in ("syslog", "logfmt", "key_value", "apache_access", "nginx_access") else ()
@@ -108,7 +111,8 @@ def parse(files: DataFrame, known: DataFrame | None = None) -> Parsed:
     that comes to the driver.
     """
     lines = lines_of(files)
-    routed = detect.classify(files, lines, known).select("file_id", "parser_key").persist()
+    routed = detect.classify(files, lines, known).select("file_id", "parser_key")
+    routed = written(routed)
     keys = [r.parser_key for r in routed.select("parser_key").distinct().orderBy("parser_key").collect()]
     parts = []
     for key in keys:
