@@ -17,9 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, hash_sample
 
 #: The classifier is fitted on the blocks of at most so many pages, the lowest by hash.
 SAMPLE_PAGES = 300
@@ -155,7 +154,7 @@ PRIOR = np.array([-2.0, 0.9, -3.0, 1.0, 0.8, -0.5])
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     """Logistic weights from blocks whose markup tells their side, on a bounded sample of pages."""
-    rows = columns_of(pages, page_id="long", html="string").dropna().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select("html").mapInArrow(_seed_batches, "side int, " + ", ".join(f"f{k} double" for k in range(len(PRIOR)))).collect()
+    rows = hash_sample(columns_of(pages, page_id="long", html="string").dropna(), sample_pages, "page_id").select("html").mapInArrow(_seed_batches, "side int, " + ", ".join(f"f{k} double" for k in range(len(PRIOR)))).collect()
     table = np.array(sorted(map(tuple, rows)), float).reshape(-1, len(PRIOR) + 1)
     y, x = (table[:, 0] > 0).astype(float), table[:, 1:]
     if not y.any() or y.all():

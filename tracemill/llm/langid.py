@@ -158,11 +158,17 @@ def fit(docs: DataFrame) -> Net:
     Where no language is labelled the net has none, and every text is und.
     """
     d = columns_of(docs, doc_id="long", text="string", lang="string").dropna().where(~held_out() & (F.length("text") > 0))
+    known = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    if not known:
+        return Net([])
+    # a cut by hash for each language keeps what moves near DOCS_A_LANG rows of it
+    cut = F.create_map(*[F.lit(x) for r in known for x in (r.lang, int((1.2 * DOCS_A_LANG + 200) / r.n * (1 << 30)) + 1)])
+    d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")])
     # a window of each text, from a place that its hash gives
     start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - BYTES_A_DOC + 1, F.lit(1))).cast("int")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))).where(F.col("rank") <= DOCS_A_LANG)
-    rows = d.select("lang", "rank", F.substring("text", start + 1, F.lit(BYTES_A_DOC)).alias("text")).orderBy("rank", "lang").limit(DOCS_A_LANG * LANGS).collect()
-    langs = sorted({r.lang for r in rows[: DOCS_A_LANG * LANGS]})
+    rows = d.select("lang", "rank", F.substring("text", start + 1, F.lit(BYTES_A_DOC)).alias("text")).orderBy("rank", "lang").collect()
+    langs = sorted({r.lang for r in rows})
     net = Net(langs)
     return net.train([r.text.encode() for r in rows], [r.lang for r in rows])
 
