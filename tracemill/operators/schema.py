@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -32,6 +32,9 @@ BASELINE = (Column("id", "BIGINT", False, "Row number.", True), Column("timestam
 TRACEABILITY = (Column("source", "TEXT", True, "Source filename."), Column("message", "TEXT", True, "Primary message text."), Column("log_level", "TEXT", True, "Detected log level."))
 
 
+_ROWS = "\x00rows"
+
+
 def infer(records: DataFrame, map_column: str = "fields", by: tuple[str, ...] = ("logical_name",)) -> DataFrame:
     """One row for each table and key: sql_type, n_present, n_null, nullable.
 
@@ -39,11 +42,13 @@ def infer(records: DataFrame, map_column: str = "fields", by: tuple[str, ...] =
     and a null that is written out makes a column TEXT. One shuffle, whatever
     the number of keys.
     """
-    each = records.select(*by, F.explode(map_column).alias("name", "value"))
+    # a key that no record has counts the records themselves
+    entries = F.concat(F.map_entries(map_column), F.array(F.struct(F.lit(_ROWS).alias("key"), F.lit("").alias("value"))))
+    each = records.select(*by, F.inline(entries).alias("name", "value"))
     kind = S.coerce(F.col("value"))["kind"]
     g = each.withColumn("kind", kind).groupBy(*by, "name").agg(F.max(S.type_rank(F.col("kind"))).alias("rank"), F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"))
-    rows = records.groupBy(*by).agg(F.count("*").alias("n_rows"))
-    return g.join(rows, list(by)).select(*by, "name", S.sql_type(F.col("rank")).alias("sql_type"), "n_present", "n_null", ((F.col("n_present") < F.col("n_rows")) | (F.col("n_null") > 0)).alias("nullable"))
+    g = g.withColumn("n_rows", F.max(F.when(F.col("name") == _ROWS, F.col("n_present"))).over(Window.partitionBy(*by))).where(F.col("name") != _ROWS)
+    return g.select(*by, "name", S.sql_type(F.col("rank")).alias("sql_type"), "n_present", "n_null", ((F.col("n_present") < F.col("n_rows")) | (F.col("n_null") > 0)).alias("nullable"))
 
 
 def columns_of(inferred: DataFrame) -> dict[str, list[Column]]:

@@ -11,18 +11,30 @@ from ..sources.shared import written
 EXAMPLES, EXAMPLE_CHARS = 5, 1000
 
 
-def mine(lines: DataFrame) -> DataFrame:
-    """template_id, skeleton, count, first_seen, last_seen (line numbers), examples: the first lines of each.
+def _skeletons(lines: DataFrame) -> DataFrame:
+    d = lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").withColumn("skeleton", S.skeleton(F.col("line")))
+    return d.select(S.template_id(F.col("skeleton")).alias("template_id"), "skeleton", "file_id", "line_no", F.substring("line", 1, EXAMPLE_CHARS).alias("line"))
+
+
+def counts(lines: DataFrame) -> DataFrame:
+    """template_id, skeleton, count, first_seen, last_seen (line numbers); counts combine before the shuffle."""
+    return _skeletons(lines).groupBy("template_id", "skeleton").agg(F.count("*").alias("count"), F.min("line_no").alias("first_seen"), F.max("line_no").alias("last_seen"))
+
 
-    Counts combine before the shuffle; the examples are the least five in
-    order, so no list grows with a template's lines.
+def examples(lines: DataFrame) -> DataFrame:
+    """template_id, examples: the first five lines of each template.
+
+    Each task keeps its first five of a template, so no list grows with a
+    template's lines.
     """
-    d = lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").withColumn("skeleton", S.skeleton(F.col("line")))
-    d = d.select(S.template_id(F.col("skeleton")).alias("template_id"), "skeleton", "file_id", "line_no", F.substring("line", 1, EXAMPLE_CHARS).alias("line"))
-    stats = d.groupBy("template_id").agg(F.first("skeleton").alias("skeleton"), F.count("*").alias("count"), F.min("line_no").alias("first_seen"), F.max("line_no").alias("last_seen"))
     nth = F.row_number().over(Window.partitionBy("template_id").orderBy("file_id", "line_no"))
-    few = d.withColumn("nth", nth).where(F.col("nth") <= EXAMPLES).groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("nth", "line"))).alias("told"))
-    return stats.join(few.select("template_id", F.transform("told", lambda x: x["line"]).alias("examples")), "template_id")
+    few = _skeletons(lines).withColumn("nth", nth).where(F.col("nth") <= EXAMPLES).groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("nth", "line"))).alias("told"))
+    return few.select("template_id", F.transform("told", lambda x: x["line"]).alias("examples"))
+
+
+def mine(lines: DataFrame) -> DataFrame:
+    """Templates with counts and examples."""
+    return counts(lines).join(examples(lines), "template_id")
 
 
 def top(templates: DataFrame, n: int = 20) -> DataFrame:

@@ -174,7 +174,7 @@ def insights(spark: SparkSession, lines: DataFrame, write: Callable[[dict], str]
     """Severity, most frequent error templates and findings of lines; write(facts) may tell them in words."""
     units = line_parsers.cover(line_parsers.extract_fields(line_parsers.blocks(lines)))
     found = anomaly.summary(anomaly.report(units)).first().asDict()
-    errors = templates.top(templates.mine(lines.where(anomaly.is_error(F.col("line"), S.level_word(F.col("line"))))), 5).collect()
+    errors = templates.top(templates.counts(lines.where(anomaly.is_error(F.col("line"), S.level_word(F.col("line"))))), 5).collect()
     facts = {"severity": next((s for s in anomaly.SEVERITIES if found[s]), "none"), "anomalies": found, "top_errors": [{"skeleton": r.skeleton, "count": r["count"]} for r in errors]}
     facts["narrative"] = write(facts) if write else f"{sum(found.values())} findings, worst severity {facts['severity']}."
     return facts

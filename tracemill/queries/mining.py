@@ -24,30 +24,29 @@ _T = f"t AS (SELECT {skeleton_sql('line')} AS skeleton, line, line_no, file_id F
 @query(f"WITH {SYSLOG}, {_T} SELECT substr(sha256(skeleton), 1, 12) AS template_id, any_value(skeleton) AS skeleton, count(*) AS \"count\", min(line_no) AS first_seen, max(line_no) AS last_seen FROM t GROUP BY 1")
 def log_templates(spark, d):
     """Templates of the syslog lines with counts and places."""
-    return templates.mine(syslog_lines(spark, d)).drop("examples")
+    return templates.counts(syslog_lines(spark, d))
 
 
 @query(f"""WITH {LOGFMT}, {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY skeleton ORDER BY file_id, line_no) AS nth FROM t)
 SELECT substr(sha256(skeleton), 1, 12) AS template_id, string_agg(substr(line, 1, 1000), '|' ORDER BY nth) AS examples FROM r WHERE nth <= 5 GROUP BY skeleton""")
 def template_examples(spark, d):
     """The first five lines of each template."""
-    return templates.mine(logfmt_lines(spark, d)).select("template_id", F.array_join("examples", "|").alias("examples"))
+    return templates.examples(logfmt_lines(spark, d)).select("template_id", F.array_join("examples", "|").alias("examples"))
 
 
 @query(f"WITH {DOC_LINES}, {_T} SELECT substr(sha256(skeleton), 1, 12) AS template_id, count(*) AS \"count\" FROM t GROUP BY 1 ORDER BY 2 DESC, max(line_no) DESC, 1 LIMIT 20")
 def top_templates(spark, d):
     """The 20 most frequent templates of all document lines (a report of the first 20)."""
-    return templates.top(templates.mine(document_lines(spark, d))).select("template_id", "count")
+    return templates.top(templates.counts(document_lines(spark, d))).select("template_id", "count")
 
 
 @query(f"WITH {DOC_LINES}, {_T}, n AS (SELECT skeleton, count(*) AS c FROM t GROUP BY 1) SELECT count(*) AS n_templates, max(c) AS max_count, count(*) FILTER (WHERE c >= 100) AS n_frequent FROM n")
 def template_statistics(spark, d):
-    return templates.stats(templates.mine(document_lines(spark, d)))
+    return templates.stats(templates.counts(document_lines(spark, d)))
 
 
-def _part_templates(spark, d):
-    p = table(spark, d, "part").selectExpr("'p' as file_id", "p_partkey as line_no", "concat('part ', p_name, ' of ', p_type, ' size ', p_size, ' from brand ', replace(p_brand, '#', ' nr '), ' on the shelf near the old door by hand') as line")
-    return templates.mine(p)
+def _part_lines(spark, d):
+    return table(spark, d, "part").selectExpr("'p' as file_id", "p_partkey as line_no", "concat('part ', p_name, ' of ', p_type, ' size ', p_size, ' from brand ', replace(p_brand, '#', ' nr '), ' on the shelf near the old door by hand') as line")
 
 
 _PART = "part_lines AS (SELECT p_partkey AS line_no, 'part ' || p_name || ' of ' || p_type || ' size ' || p_size || ' from brand ' || replace(p_brand, '#', ' nr ') || ' on the shelf near the old door by hand' AS line FROM part), pt AS (SELECT " + skeleton_sql("line") + " AS skeleton, min(line_no) AS first_seen, count(*) AS n FROM part_lines GROUP BY 1), pw AS (SELECT substr(sha256(skeleton), 1, 12) AS template_id, first_seen, n, list_distinct(list_filter(string_split(skeleton, ' '), lambda x: x <> '')) AS w FROM pt), pp AS (SELECT a.template_id AS a, b.template_id AS b, a.first_seen AS fa, b.first_seen AS fb, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS score FROM pw a JOIN pw b ON a.template_id < b.template_id)"
@@ -56,19 +55,19 @@ _PART = "part_lines AS (SELECT p_partkey AS line_no, 'part ' || p_name || ' of '
 @query(f"WITH {_PART} SELECT a, b, round(score, 6) AS score FROM pp WHERE score >= 0.85 - 1e-9")
 def similar_templates(spark, d):
     """Pairs of templates that share most words."""
-    return templates.similar_pairs(_part_templates(spark, d), 0.85).select("a", "b", F.round("score", 6).alias("score"))
+    return templates.similar_pairs(templates.counts(_part_lines(spark, d)), 0.85).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_PART}, e AS (SELECT a, b, fa, fb FROM pp WHERE score >= 0.85 - 1e-9 UNION ALL SELECT b, a, fb, fa FROM pp WHERE score >= 0.85 - 1e-9), m AS (SELECT a, arg_min(b, (fb, b)) AS merged_into FROM e WHERE (fb, b) < (fa, a) GROUP BY a) SELECT template_id, merged_into FROM pw LEFT JOIN m ON a = template_id")
 def merged_templates(spark, d):
     """The earlier template that each one repeats."""
-    return templates.merged_into(_part_templates(spark, d), 0.85)
+    return templates.merged_into(templates.counts(_part_lines(spark, d)), 0.85)
 
 
 @query()
 def evolved_templates(spark, d):
     """Similar templates as one, counts summed."""
-    return templates.evolve(_part_templates(spark, d), 0.85).drop("examples")
+    return templates.evolve(templates.mine(_part_lines(spark, d)), 0.85).drop("examples")
 
 
 @query(f"WITH {DOC_LINES} SELECT file_id, line_no, CASE WHEN regexp_matches(lower(line), '(?:''\\s+or\\s+1=1|union\\s+select|drop\\s+table)') THEN 'sql' WHEN regexp_matches(lower(line), '(?:<script|javascript:|onerror=)') THEN 'script' WHEN regexp_matches(lower(line), '(?:\\$\\(|`.+`|\\|\\s*sh\\b)') THEN 'shell' END AS kind FROM lines WHERE kind IS NOT NULL")
