@@ -236,3 +236,47 @@ def test_catalog_changes(spark):
     assert "more" not in c.table("t").columns
     c.drop("t")
     assert "t" not in c.tables()
+
+
+def test_binary_text(spark):
+    import base64
+    import zlib
+
+    from tracemill.sources import binary
+
+    noise = bytes(range(256)) * 20
+    rows = [("1", "z.bin", noise + b"\x00" + zlib.compress(b"inflated text here")), ("2", "t.bin", b"plain text " * 50), ("3", "b.bin", noise + b"\nBEGIN_B64\n" + base64.b64encode(b"framed text") + b"\nEND_B64\n"), ("4", "e.bin", b"")]
+    d = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "file_id string, filename string, bytes binary")
+    got = {r.file_id: r.content for r in binary.decode(d).collect()}
+    assert got["1"].startswith("inflated text here") and got["2"] == "plain text " * 50 and got["3"].startswith("framed text\n") and got["4"] == ""
+    e = spark.createDataFrame([("aabb",), ("",), ("a" * 50,)], "t string").select(binary.entropy(F.col("t")).alias("e")).collect()
+    assert [r.e for r in e] == [1.0, 0.0, 0.0]
+    g = spark.createDataFrame([("00 41 |a=1|\n00 |b|",), ("x |y|",)], "t string").select(binary.gutter_text(F.col("t")).alias("g")).collect()
+    assert [r.g for r in g] == ["a=1\nb", None]
+
+
+def test_units_and_asking(spark, files):
+    lines = lines_of(files)
+    assert line_parsers.units(lines_of(one(files, "h.log")), "plain_text").count() == 2
+    assert line_parsers.units(lines_of(one(files, "h.log")), "syslog").count() == 5
+    assert line_parsers.file_units(lines).where("file_id = '8'").first().end_line == 6
+    u = structured.with_xml_fields(line_parsers.extract_fields(line_parsers.file_units(lines_of(one(files, "b.xml"))))).first()
+    assert u.confidence in (0.8, 0.9)
+    rows = line_parsers.to_rows(line_parsers.cover(line_parsers.extract_fields(line_parsers.line_units(lines_of(one(files, "g.txt"))))), ["message", "log_level", "k"]).collect()
+    assert {r.k for r in rows} == {"1", "3", None} and any(r.extra for r in rows)
+    c = detect.classify(files, lines)
+    asked = {r.filename: r.detected_format for r in detect.reclassify(c, lines, lambda name, head: "syslog" if "boom" in head else "nonsense").collect()}
+    assert asked["h.log"] == "syslog" and asked["e.log"] == "syslog" and asked["g.txt"] == "logfmt"
+    claims = detect.parser_support(lines).where("rank = 0").collect()
+    assert {r.file_id: r.parser_key for r in claims}["5"] == "syslog"
+
+
+def test_budget_and_profiles():
+    from tracemill.plans import hooks, profiles
+
+    b = hooks.Budget(limit_usd=1.0)
+    answers = iter(["nonsense", '{"a": 1}'])
+    assert hooks.ask_json(lambda p: next(answers), "question" * 10, b) == {"a": 1} and b.input_tokens > 20
+    assert hooks.ask_json(lambda p: "{}", "x" * 100, hooks.Budget(limit_usd=0.0)) is None
+    profiles.register_profile(profiles.Profile("etch", "fab", expected_types={"tool_id": "TEXT"}))
+    assert profiles.get_profile("etch").missing(["x"]) == ["tool_id"] and profiles.get_profile("nope").name == "default"

@@ -222,3 +222,17 @@ def chart_number(c: Column) -> Column:
     """What a chart plots: the number, or 0 where there is none."""
     number = c.cast("string").try_cast("double")
     return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(number)
+
+
+def json_object(c: Column) -> Column:
+    """JSON text that is surely an object: another value becomes {"value": ...}, no JSON {"raw": ...}; null stays."""
+    t = F.trim(c)
+    wrapped = F.when(F.startswith(t, F.lit("{")), t).otherwise(F.concat(F.lit('{"value":'), t, F.lit("}")))
+    return F.when(c.isNull() | (c == ""), F.lit(None)).when(is_json(t), wrapped).otherwise(F.to_json(F.struct(c.alias("raw"))))
+
+
+def message_text(payload: Column, content: Column) -> Column:
+    """The text of a chat message: the text parts of its JSON payload, else its content."""
+    parts = F.from_json(F.get_json_object(payload, "$.parts"), "array<struct<type:string,text:string>>")
+    text = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
+    return F.coalesce(F.nullif(text, F.lit("")), F.get_json_object(payload, "$.content"), content)

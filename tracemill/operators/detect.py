@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..sources.lines import sample
 
 # Formats in the order that breaks ties.
 FINGERPRINT_FORMATS = ("json_lines", "json_document", "xml", "csv", "syslog", "apache_clf", "logfmt", "key_value", "hex_dump", "section_delimited")
@@ -262,3 +263,64 @@ def overall(classified: DataFrame) -> DataFrame:
     base = F.avg("format_confidence") - F.least(0.05 * F.sum(F.size("warnings")), F.lit(0.2))
     total = d.agg(F.bround(F.greatest(F.lit(0.0), F.least(F.coalesce(base, F.lit(0.0)), F.lit(1.0))), 2).alias("confidence"), F.count("*").alias("n_files"), F.sum(F.size("warnings")).alias("n_warnings"))
     return by("detected_format").withColumnRenamed("detected_format", "dominant_format").join(by("structural_class")).join(total)
+
+
+def parser_support(lines: DataFrame) -> DataFrame:
+    """file_id, parser_key, score for each parser that has a claim on a file's first 25 lines, the best first by rank."""
+    s = _headed(sample(lines, 25), _CSV_MARKS)
+    c = F.col("line")
+    clf = _share(c.rlike(P.ACCESS))
+    nginx = _share(c.rlike(P.ACCESS) & F.lower(c).rlike("nginx|upstream"))
+    dumps = F.count_if(c.rlike(P.HEX_DUMP))
+    pairs = lambda p: _share(F.regexp_count(c, F.lit(p)) >= 2)
+    scores = {
+        "json_lines": _share(F.trim(c).rlike(r"^\{[\s\S]*\}$")),
+        "csv": F.when(dumps >= 3, 0.0).otherwise(F.greatest(*[_csv_share(k) for k in range(len(_CSV_MARKS))])),
+        "xml": F.max(F.when((F.col("pos") == 1) & F.trim(c).rlike(r"^<[A-Za-z?!_]"), 0.95).otherwise(0.0)),
+        "syslog": _share(c.rlike(P.SYSLOG)),
+        "apache_access": clf,
+        "nginx_access": F.when(nginx > 0, nginx).otherwise(clf),
+        "logfmt": pairs(P.LOGFMT_PAIR),
+        "key_value": pairs(P.KEY_VALUE_PAIR),
+        "binary_hex": F.when(dumps >= 3, 1.0).when(F.avg(F.regexp_count(c, F.lit(r"\b[0-9a-fA-F]{2}\b"))) >= 8, 0.85).otherwise(0.0),
+    }
+    g = s.groupBy("file_id").agg(F.array(*[F.struct(v.alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("parser_key")) for k, (n, v) in enumerate(scores.items())]).alias("all"))
+    best = F.filter(F.sort_array("all", asc=False), lambda x: x["score"] > 0)
+    return g.select("file_id", F.posexplode(best).alias("rank", "x")).select("file_id", "rank", "x.parser_key", F.bround("x.score", 2).alias("score"))
+
+
+def unified_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """file_id, format: how the unified parser reads a file, from its name, its first lines and what was detected
+    (file_id, filename, detected_format)."""
+    c = F.trim("line")
+    s = sample(lines, 30)
+    ten = F.col("pos") <= 10
+    g = s.groupBy("file_id").agg(
+        ((F.count_if(ten & F.contains(c, F.lit(","))) >= 3) & (F.count_if(ten & F.contains(c, F.lit("{"))) == 0)).alias("commas"),
+        F.bool_and(~ten | c.rlike(r"^\{.*\}$")).alias("objects"),
+        F.bool_or(ten & c.rlike(r"^<.*>$")).alias("tags"),
+        (F.count_if((F.col("pos") <= 20) & c.rlike(r"^<[\s\S]*(?:Mar|Jan) ")) >= 3).alias("dated"),
+    )
+    name = F.lower("filename")
+    seen = F.col("detected_format")
+    fmt = F.when(name.endswith(".json"), "json_lines").when(name.endswith(".csv"), "csv").when(name.endswith(".xml"), "xml").when(F.col("commas"), "csv").when(F.col("objects"), "json_lines").when(F.col("tags"), "xml").when(F.contains(seen, F.lit("syslog")), "syslog").when((seen == "plain_text") & F.col("dated"), "syslog").otherwise(seen)
+    return formats.join(g, "file_id", "left").select("file_id", fmt.alias("format"))
+
+
+def reclassify(classified: DataFrame, lines: DataFrame, ask, threshold: float = 0.7) -> DataFrame:
+    """The verdicts, those below threshold replaced by ask(filename, first lines) where it names a known format.
+
+    ask runs in tasks, once for each unsure file.
+    """
+    unsure = classified.where(F.col("format_confidence") < threshold).select("file_id", "filename")
+    told = sample(lines, 50).join(unsure.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("told"))
+    heads = unsure.join(told, "file_id").select("file_id", "filename", F.array_join(F.transform("told", lambda x: x["line"]), "\n").alias("head"))
+
+    def answer(frames):
+        for frame in frames:
+            yield pd.DataFrame({"file_id": frame.file_id, "asked": [ask(n, h) for n, h in zip(frame.filename, frame["head"])]})
+
+    said = heads.mapInPandas(answer, "file_id string, asked string").where(F.col("asked").isin(*PARSERS, "plain_text"))
+    parser = F.coalesce(*[F.when(F.col("asked") == k, F.lit(v)) for k, v in PARSERS.items()], F.when(F.col("asked").isNotNull(), "unified"), F.col("parser_key"))
+    d = classified.join(said, "file_id", "left").withColumn("parser_key", parser)
+    return d.withColumn("detected_format", F.coalesce("asked", "detected_format")).withColumn("structural_class", structural_class(F.col("detected_format"), F.col("format_confidence"))).drop("asked")

@@ -155,6 +155,25 @@ def sections(lines: DataFrame) -> DataFrame:
     return d.select(*_KEYS, "section", S.sanitize_identifier(F.regexp_extract("line", pair, 1)).alias("key"), cast["kind"].alias("kind"), cast["value"].alias("value"))
 
 
+def file_units(lines: DataFrame, most: int = 20_000) -> DataFrame:
+    """A file as one record: start_line, end_line, raw (its first characters)."""
+    told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    g = lines.groupBy("file_id", "filename").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), told.alias("told"))
+    return g.select("file_id", "filename", "start_line", "end_line", F.substring(F.array_join(F.transform("told", lambda x: x["line"]), "\n"), 1, most).alias("raw"))
+
+
+def line_units(lines: DataFrame) -> DataFrame:
+    """A record for each non-blank line."""
+    return _stripped(lines).select("file_id", "filename", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("line").alias("raw"))
+
+
+def units(lines: DataFrame, fmt: str) -> DataFrame:
+    """Records of a file's lines: blocks where lines may continue, else lines; a file without either has none."""
+    if fmt in ("syslog", "json_lines", "json_document", "csv", "apache_clf", "apache_access", "nginx_access", "logfmt"):
+        return line_units(lines)
+    return blocks(lines).drop("n_lines")
+
+
 def extract_fields(units: DataFrame, text: str = "raw") -> DataFrame:
     """Adds fields (map) and confidence by the first reading that applies: JSON .95, syslog .95, pairs .8, plain .6."""
     c = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")

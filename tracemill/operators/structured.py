@@ -18,6 +18,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .line_parsers import last_wins
@@ -325,3 +326,15 @@ def delimited(lines: DataFrame) -> DataFrame:
     values = F.transform("names", lambda n, i: F.trim(F.coalesce(F.get(F.col("cells"), i), F.lit(""))))
     fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), values.alias("v")), lambda e: e["k"] != "source_file")))
     return d.select("file_id", "filename", S.logical_name(F.col("filename")).alias("logical_name"), F.row_number().over(w).cast("long").alias("row_no"), fields.alias("fields"))
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _xml_map(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: xml_fields(t) if isinstance(t, str) and t.startswith("<") and "<!ENTITY" not in t else {})
+
+
+def with_xml_fields(units: DataFrame) -> DataFrame:
+    """Units whose raw is one XML element get its attributes and leaves as fields, with confidence .9."""
+    d = units.withColumn("xml", _xml_map(F.trim("raw")))
+    own = F.size("xml") > 0
+    return d.withColumn("fields", F.when(own, F.col("xml")).otherwise(F.col("fields"))).withColumn("confidence", F.when(own, 0.9).otherwise(F.col("confidence"))).drop("xml")

@@ -130,6 +130,24 @@ def latest_completed(processes: DataFrame, key: str = "file_id", order: str = "u
     return processes.where(F.col("status") == "completed").groupBy(key).agg(best.alias("r")).select(key, "r.*")
 
 
+def result_rows(processes: DataFrame, column: str = "result") -> DataFrame:
+    """Adds row_count and parser_key told by a stored result: {"records": {table: [rows]}, "parser_key": ...}."""
+    records = F.from_json(F.get_json_object(column, "$.records"), "map<string,string>")
+    sizes = F.transform(F.map_values(records), lambda v: F.coalesce(F.json_array_length(v), F.lit(0)))
+    n = F.coalesce(F.aggregate(sizes, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
+    key = F.coalesce(F.nullif(F.get_json_object(column, "$.parser_key"), F.lit("")), F.nullif(F.get_json_object(column, "$.classification.selected_parser_key"), F.lit("")))
+    return processes.withColumn("row_count", n).withColumn("parser_key", key)
+
+
+def parser_distribution(processes: DataFrame) -> DataFrame:
+    return processes.where("parser_key is not null").groupBy("parser_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "parser_key")
+
+
+def listing(df: DataFrame, owner: str, value: object, order: str = "created_at") -> DataFrame:
+    """What an owner has, the latest first."""
+    return df.where(F.col(owner) == F.lit(value)).orderBy(F.desc(order))
+
+
 def orphans(assets: DataFrame, links: DataFrame, key: str = "asset_id") -> DataFrame:
     return assets.join(links, key, "left_anti")
 

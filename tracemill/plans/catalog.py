@@ -99,6 +99,10 @@ class Catalog:
         self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal_position int").createOrReplaceTempView("information_schema_columns")
         return names | {"information_schema_columns"}
 
+    def context(self, rows: int = 5) -> dict[str, list[dict]]:
+        """The first rows of each table, for a prompt or a preview."""
+        return {t: [r.asDict(recursive=True) for r in self.table(t).limit(rows).collect()] for t in self.tables()}
+
     def discover(self, n: int = 200) -> list[dict]:
         """Names, columns and row counts of the tables, by name."""
         return [{"table_name": t, "columns": self.table(t).columns, "row_count": self.table(t).count()} for t in self.tables()[:n]]

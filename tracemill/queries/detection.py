@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detect, line_parsers, schema
+from ..sources import binary
 from ..sources import files as sources
 from ..sources.lines import sample
 from .base import DOC_LINES, LOGFMT, SYSLOG, TRACE, access_lines, document_lines, json_text_lines, logfmt_lines, registry, sample_sql, syslog_lines, table, trace_lines
@@ -147,3 +148,31 @@ def character_entropy(spark, d):
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f}', n_chars / 1024.0) || ' KB' END AS label FROM documents")
 def size_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", S.size_label(F.col("n_chars")).alias("label"))
+
+
+@query("SELECT event_id, event_type || ' by ' || user_id AS b64, event_type || '-' || user_id || '-abcdefgh' AS hexed FROM events")
+def encoded_frames(spark, d):
+    """Texts hidden in base64 frames and hex lines."""
+    e = table(spark, d, "events")
+    told = F.concat("event_type", F.lit(" by "), "user_id")
+    frame = F.concat(F.lit("noise\nBEGIN_B64\n"), F.base64(told.cast("binary")), F.lit("\nEND_B64\nmore"))
+    line = F.concat(F.lit("zz\n"), F.hex(F.concat("event_type", F.lit("-"), "user_id", F.lit("-abcdefgh"))), F.lit("\nshort"))
+    return e.select("event_id", binary.base64_text(frame).alias("b64"), binary.hex_text(line).alias("hexed"))
+
+
+@query("WITH n AS (SELECT doc_id, length(regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), 1, 100), ''), '[^\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g')) AS odd FROM documents) SELECT doc_id, odd > 0 AS any_odd FROM n")
+def unprintable_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", (binary.unprintable_share(F.col("text")) > 0).alias("any_odd"))
+
+
+@query()
+def parser_claims(spark, d):
+    """Which parsers have a claim on files of five formats."""
+    return detect.parser_support(_mixed(spark, d))
+
+
+@query()
+def unified_formats(spark, d):
+    """How the unified parser reads files of five formats."""
+    m = _mixed(spark, d)
+    return detect.unified_format(m, m.select("file_id", "filename").distinct().withColumn("detected_format", F.lit("plain_text")))

@@ -159,3 +159,33 @@ def duration_labels(spark, d):
     o = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     end = F.timestamp_add("SECOND", (F.col("o_orderkey") % 97).cast("int"), "o_orderdate")
     return o.select("o_orderkey", S.duration_label(F.col("o_orderdate"), end, F.when(F.col("o_orderstatus") == "O", "processing").otherwise("completed")).alias("label"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || text WHEN turn % 3 = 1 THEN text ELSE role END AS message FROM conversations""")
+def message_texts(spark, d):
+    """Texts of chat messages: parts of a payload, its content, or the plain content."""
+    c = table(spark, d, "conversations")
+    parts = F.to_json(F.struct(F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text")) for k, t in (("text", F.col("role")), ("image", F.lit("no")), ("text", F.col("text")))]).alias("parts")))
+    payload = F.when(F.col("turn") % 3 == 0, parts).when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.col("text").alias("content"))))
+    return c.select("conv_id", "turn", S.message_text(payload, F.col("role")).alias("message"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 3 = 1 THEN event_id END AS value, CASE WHEN event_id % 3 = 2 THEN 'not json ' || event_id END AS raw FROM events")
+def wrapped_json(spark, d):
+    """Any text as a JSON object."""
+    t = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("not json "), "event_id"))
+    o = S.json_object(t)
+    return table(spark, d, "events").select("event_id", F.get_json_object(o, "$.k").cast("long").alias("k"), F.get_json_object(o, "$.value").cast("long").alias("value"), F.get_json_object(o, "$.raw").alias("raw"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 4 + 2 AS BIGINT) AS row_count, CASE WHEN o_orderkey % 2 = 0 THEN 'csv' ELSE o_orderstatus END AS parser_key FROM orders")
+def process_results(spark, d):
+    """Row counts and parsers out of stored results."""
+    rows = "concat('[', array_join(array_repeat('{}', cast(o_orderkey % 4 as int)), ','), ']')"
+    r = f"concat('{{\"records\": {{\"a\": ', {rows}, ', \"b\": [1, 2], \"c\": 5}}, ', if(o_orderkey % 2 = 0, '\"parser_key\": \"csv\"', concat('\"classification\": {{\"selected_parser_key\": \"', o_orderstatus, '\"}}')), '}}')"
+    return tables.result_rows(table(spark, d, "orders").select("o_orderkey", F.expr(r).alias("result"))).drop("result")
+
+
+@query("SELECT o_orderstatus AS parser_key, count(*) AS n FROM orders GROUP BY 1")
+def parser_distribution(spark, d):
+    return tables.parser_distribution(table(spark, d, "orders").select(F.col("o_orderstatus").alias("parser_key")))
