@@ -21,9 +21,13 @@ MOST = 3
 
 
 def _sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs with the private columns __size, __sc (class of sizes), __hb and __order (hashes of the id), __source."""
+    """docs with the private columns __size, __sc (class of sizes), __hb and __order (hashes of the id), __source.
+
+    __source is never null (= before a name, ~ for none, the last), so that a
+    join and a window on the strata need one exchange, not two.
+    """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("__size", size).withColumn("__source", F.col(source).cast("string"))
+    d = docs.withColumn("__size", size).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~")))
     sc = F.expr("case when __size < 8 then __size else 8 * (length(bin(__size)) - 3) + shiftright(__size, cast(length(bin(__size)) - 4 as int)) - 8 end")
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     return d.withColumn("__sc", sc.cast("long")).withColumn("__order", key).withColumn("__hb", F.substring(key, 1, 2))
@@ -37,16 +41,16 @@ def targets(strata: DataFrame) -> DataFrame:
     capped sources come first, so one pass over prefix sums finds the level.
     """
     s = strata.groupBy("__source").agg(F.sum("held").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last()))
+    rank = F.row_number().over(Window.orderBy("__source"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((rank - 1) % len(WEIGHTS) + 1).cast("int"))
     s = s.withColumn("w", weight.cast("long")).withColumn("cap", MOST * F.col("source_size")).withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
     every = Window.partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("__source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("ratio", "__source").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))))
     s = s.withColumn("lam", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every)["level"])
     s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("lam") * F.col("w")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shift = F.conv(F.substring(F.md5(F.concat(F.lit("offset:"), F.coalesce("__source", F.lit("\x01")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    shift = F.conv(F.substring(F.md5(F.concat(F.lit("offset:"), F.when(F.col("__source") == "~", "\x01").otherwise(F.substring("__source", 2, 2**31 - 1)))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return s.select("__source", "source_size", "target", rate.alias("rate"), shift.alias("shift"))
 
 
@@ -58,8 +62,8 @@ def _drawn(docs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("__source").orderBy("__sc", "__hb").rowsBetween(Window.unboundedPreceding, -1)
     first = strata.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     t = targets(strata)
-    first = first.join(F.broadcast(t), first["__source"].eqNullSafe(t["__source"])).select(first["__source"].alias("__s"), first["__sc"].alias("__c"), first["__hb"].alias("__h"), F.col("first").alias("__first"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("shift").alias("__shift"))
-    d = d.join(first, d["__source"].eqNullSafe(first["__s"]) & (d["__sc"] == first["__c"]) & (d["__hb"] == first["__h"])).drop("__s", "__c", "__h")
+    first = first.join(t, first["__source"] == t["__source"]).select(first["__source"].alias("__s"), first["__sc"].alias("__c"), first["__hb"].alias("__h"), F.col("first").alias("__first"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("shift").alias("__shift"))
+    d = d.join(first, (d["__source"] == first["__s"]) & (d["__sc"] == first["__c"]) & (d["__hb"] == first["__h"])).drop("__s", "__c", "__h")
     within = Window.partitionBy(*keys).orderBy("__order", "__size", F.xxhash64("text"))
     d = d.withColumn("__at", F.col("__first") + F.row_number().over(within))
     crossed = lambda at: F.floor(F.col("__rate") * at + F.col("__shift"))
