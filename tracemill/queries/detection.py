@@ -145,7 +145,7 @@ def character_entropy(spark, d):
     return n.select("doc_id", F.round(-F.aggregate("ks", F.lit(0.0), lambda z, k: z + p(k) * F.log2(p(k))), 6).alias("entropy"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f}', n_chars / 1024.0) || ' KB' END AS label FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f}', round(n_chars / 1024.0, 1)) || ' KB' END AS label FROM documents")
 def size_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", S.size_label(F.col("n_chars")).alias("label"))
 
