@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, components, raw_texts, stash
@@ -121,9 +121,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = _components(marks).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_distinct("fp").alias("n_fp"))
     first = stash(first, "simhash-kept").select(F.col("doc_id").alias("__id"), (F.coalesce("n_rows", F.lit(1)) > 1).alias("__more"))
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__id"])).drop("__id")
+    # the ids grow with the corpus, so they are never broadcast
+    kept = docs.join(first.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(first["__id"])).drop("__id")
     once = kept.where(~F.col("__more")).drop("__more")
-    from pyspark.sql import Window
-
     twice = kept.where("__more").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
     return once.unionByName(twice.where("__row = 1").drop("__more", "__row"))
