@@ -21,7 +21,7 @@ MOST = 3
 
 
 def _sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs with the private columns __size, __sc (class of sizes), __hb and __order (hashes of the id), __source.
+    """docs with the private columns __size, __sc (class of sizes), __hb, __order and __tie (hashes of id and text), __source.
 
     __source is never null (= before a name, ~ for none, the last), so that a
     join and a window on the strata need one exchange, not two.
@@ -30,7 +30,7 @@ def _sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     d = docs.withColumn("__size", size).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~")))
     sc = F.expr("case when __size < 8 then __size else 8 * (length(bin(__size)) - 3) + shiftright(__size, cast(length(bin(__size)) - 4 as int)) - 8 end")
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return d.withColumn("__sc", sc.cast("long")).withColumn("__order", key).withColumn("__hb", F.substring(key, 1, 2))
+    return d.withColumn("__sc", sc.cast("long")).withColumn("__order", key).withColumn("__hb", F.substring(key, 1, 2)).withColumn("__tie", F.xxhash64(text))
 
 
 def targets(strata: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _drawn(docs: DataFrame) -> DataFrame:
     t = targets(strata)
     first = first.join(t, first["__source"] == t["__source"]).select(first["__source"].alias("__s"), first["__sc"].alias("__c"), first["__hb"].alias("__h"), F.col("first").alias("__first"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("shift").alias("__shift"))
     d = d.join(first, (d["__source"] == first["__s"]) & (d["__sc"] == first["__c"]) & (d["__hb"] == first["__h"])).drop("__s", "__c", "__h")
-    within = Window.partitionBy(*keys).orderBy("__order", "__size", F.xxhash64("text"))
+    within = Window.partitionBy(*keys).orderBy("__order", "__size", "__tie")
     d = d.withColumn("__at", F.col("__first") + F.row_number().over(within))
     crossed = lambda at: F.floor(F.col("__rate") * at + F.col("__shift"))
     return d.withColumn("__copies", (crossed(F.col("__at")) - crossed(F.col("__at") - 1)).cast("long")).drop("__first", "__rate", "__shift", "__at")
