@@ -17,12 +17,13 @@ def _group(c: Column, pattern: str, k: int) -> Column:
 
 def sanitize_identifier(c: Column) -> Column:
     """A column name from any text: letters, digits and single underscores, lower case, at most 63 characters."""
+    clean = c.rlike(r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$") & (F.length(c) <= MAX_IDENTIFIER)
     s = F.regexp_replace(F.trim(c), r"[^\p{L}\p{N}_]", "_")
     s = F.lower(F.trim(F.regexp_replace(s, "_+", "_"), F.lit("_")))
     s = F.when(s == "", "field").otherwise(s)
     s = F.when(s.rlike(r"^\p{N}"), F.concat(F.lit("field_"), s)).otherwise(s)
     head = F.rtrim(F.substring(s, 1, MAX_IDENTIFIER - 9), F.lit("_"))
-    return F.when(F.length(s) <= MAX_IDENTIFIER, s).otherwise(F.concat(head, F.lit("_"), F.substring(F.md5(s), 1, 8)))
+    return F.when(clean, c).when(F.length(s) <= MAX_IDENTIFIER, s).otherwise(F.concat(head, F.lit("_"), F.substring(F.md5(s), 1, 8)))
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -147,8 +148,7 @@ def coerce(c: Column) -> Column:
     t = F.trim(c)
     low = F.lower(t)
     bare = F.regexp_replace(t, r"[|,;:)\]}]+$", "")
-    number = bare.rlike(P.NUMBER)
-    real = number & F.contains(bare, F.lit("."))
+    number, real = t.rlike(r"^[+-]?\d+(?:\.\d+)?[|,;:)\]}]*$"), t.rlike(r"^[+-]?\d+\.\d+[|,;:)\]}]*$")
     stamp = F.when(t.rlike("^" + P.ISO_TIMESTAMP), iso_timestamp(t))
     kind = F.when(c.isNull() | low.isin(*P.NULL_WORDS), "null").when(t == "", "text").when(low.isin("true", "false"), "boolean").when(low.isin(*P.STATUS_WORDS), "text").when(real, "real").when(number, "integer").otherwise("text")
     whole = F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")

@@ -63,8 +63,14 @@ def pairs(c: Column, pattern: str) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """The map of entries struct(k, v), of equal keys the last."""
-    none = F.create_map().cast("map<string,string>")
-    return F.aggregate(entries, none, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
+
+    def to_map(es: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(es, lambda e: e["k"]))) == F.size(es)
+        last = F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es) + 1), lambda x: x["k"] == e["k"]))
+        return F.map_from_entries(F.when(distinct, es).otherwise(last))
+
+    # an array of one binds the entries to a name, so that they are computed once
+    return F.get(F.transform(F.array(entries), to_map), F.lit(0))
 
 
 def _key_values(lines: DataFrame, pattern: str) -> DataFrame:

@@ -242,11 +242,11 @@ def json_value_fields(c: Column) -> Column:
 def json_lines(lines: DataFrame) -> DataFrame:
     """A record for each line that holds an object; nested objects become a_b keys, DEPTH levels deep."""
     text = F.trim("line")
-    d = lines.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("m", F.from_json(text, "map<string,string>")).where("m is not null")
-    top = F.map_entries("m")
+    d = lines.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>"))).where("e is not null")
     for _ in range(DEPTH):
-        top = F.flatten(F.transform(top, _one_level))
-    joined = F.transform(top, lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("k"), _list_text(e["value"]).alias("v")))
+        nested = F.exists("e", lambda x: F.coalesce(F.startswith(x["value"], F.lit("{")), F.lit(False)))
+        d = d.withColumn("e", F.when(nested, F.flatten(F.transform("e", _one_level))).otherwise(F.col("e")))
+    joined = F.transform("e", lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("k"), _list_text(e["value"]).alias("v")))
     own = last_wins(F.filter(joined, lambda e: e["k"] != "source_file"))
     fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), own)
     return d.select("file_id", "filename", F.lit("json_records").alias("logical_name"), F.col("line_no").alias("row_no"), fields.alias("fields"))
