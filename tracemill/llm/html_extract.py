@@ -26,7 +26,7 @@ SAMPLE_PAGES = 300
 # Elements of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option optgroup p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes svg math xmp object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes svg xmp object canvas audio video".split())
 BOILER = frozenset("nav aside footer form button select menu dialog head label input search fieldset".split())
 CONTENT = frozenset("article main".split())
 NAMES = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|reviews?|pagination|pager|toolbar|widget|copyright|skip|hidden|alert)(?=$|[\s_-])", re.I)
