@@ -195,6 +195,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     a, b = docs.alias("a"), places.alias("b")
     left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))).select("a.doc_id", "a.mark", "a.text", "b.places")
     windows = stash(left.mapInArrow(_extended, kind), "suffix-windows")
-    twice = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    # a table of its own: both sides of the join are then plain exchanges, and Spark can split a hot key
+    twice = stash(windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "suffix-repeats")
     found = windows.join(twice, "key").groupBy("doc_id", "mark").agg(F.min("first").alias("first_doc_id"), F.collect_set("at").alias("places"))
     return found.drop("mark").mapInArrow(_merged, "doc_id long, first_doc_id long, n_spans int, n_words long, spans string")
