@@ -57,6 +57,18 @@ def test_passages_of_odd_rows(odd, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_neighbours_across_batches(size):
+    """Runs of equal keys that end, begin or lie anywhere at a batch's border."""
+    rng = np.random.RandomState(size)
+    for _ in range(50):
+        keys = np.repeat(np.arange(12), rng.randint(1, 5, 12))
+        rows = suffix_dedup._rows([keys], list(range(len(keys))), [keys], [np.arange(len(keys), dtype=np.int32)])
+        kept = [x for b in suffix_dedup._met(rows.slice(k, size) for k in range(0, len(keys), size)) for x in b.column("at").to_pylist()]
+        run = np.bincount(keys)[keys]
+        assert kept == [k for k in range(len(keys)) if run[k] > 1 or keys[k] == keys[0] or k == len(keys) - 1]
+
+
 def test_windows_are_hashes_of_runs():
     h = np.random.RandomState(1).randint(0, 2**63, 200).astype(np.uint64)
     for n, got in zip((10, 31, 50), suffix_dedup._windows(h, 10, 31, 50)):

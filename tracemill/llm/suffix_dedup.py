@@ -122,7 +122,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted suffixes, those equal to a neighbour. The first and last run of a
     partition may have its equals in the next one, so it always stays."""
     held: list[pa.RecordBatch] = []
-    first = None
+    first, met = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -136,7 +136,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stays[1:] |= same
         stays[:-1] |= same
         stays |= keys == first
-        stays[-1] = False  # decided with the next batch; a longer run has been seen already
+        stays[0] |= met  # the held row equalled the one before it
+        met = bool(stays[-1])
+        stays[-1] = False  # yielded with the next batch, which may hold its equals
         yield batch.filter(pa.array(stays))
         held = [batch.slice(batch.num_rows - 1)]
     yield from held
