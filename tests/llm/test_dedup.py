@@ -156,3 +156,11 @@ def test_keep_one_is_one_of_each(documents):
     marks = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()}
     kept = [r.doc_id for r in simhash.keep_one(documents.withColumn("more", F.lit(1))).collect()]
     assert sorted(kept) == sorted(set(marks.values()))
+
+
+def test_keep_one_of_components_that_share_an_id(spark):
+    """Null ids of different texts, a null-id copy beside an id, and an id on two unrelated texts."""
+    a, b, c, d, e, f = (prose(80, 700 + k) for k in range(6))
+    docs = [(None, a), (None, a), (None, b), (None, c), (3, c), (4, c), (5, d), (5, e), (5, e), (9, e), (None, f), (2, f)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (5, e), (2, f)]))

@@ -61,7 +61,8 @@ def fingerprint(raw: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in raw_texts(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(found)], [*others, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -103,10 +104,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _components(marks).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _components(marks: DataFrame) -> DataFrame:
-    nodes = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp, least) with the root of each one's component."""
     roots = stash(components(links(nodes.select("fp")), "simhash-cc"), "simhash-roots")
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def _components(marks: DataFrame) -> DataFrame:
+    rooted = _rooted(stash(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
@@ -114,15 +119,20 @@ def _components(marks: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns: of each component the document with the smallest id.
 
-    Where several rows carry that id, one of them stays (the lowest by its
-    text's hash). A component whose ids are all null keeps one row.
+    Where several of its texts carry that id, the lowest by hash stays, and of
+    rows with the same id and text one. Null ids come last, so a component whose
+    ids are all null keeps one row. Components that share an id each keep theirs.
     """
-    marks = stash(fingerprints(docs), "simhash-fingerprints")
-    first = _components(marks).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_distinct("fp").alias("n_fp"))
-    first = stash(first, "simhash-kept").select(F.col("doc_id").alias("__id"), (F.coalesce("n_rows", F.lit(1)) > 1).alias("__more"))
+    marks = columns_of(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
+    marks = stash(marks.mapInArrow(_fingerprints, "doc_id long, mark long, fp long"), "simhash-fingerprints")
+    texts = marks.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "mark", "n")).alias("least")
+    first = _rooted(stash(texts.groupBy("fp").agg(least), "simhash-nodes")).groupBy("root").agg(F.min("least").alias("least"))
+    first = stash(first.select(F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark"), (F.col("least.n") > 1).alias("__more")), "simhash-kept")
     # the ids grow with the corpus, so they are never broadcast
-    kept = docs.join(first.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(first["__id"])).drop("__id")
-    once = kept.where(~F.col("__more")).drop("__more")
-    twice = kept.where("__more").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return once.unionByName(twice.where("__row = 1").drop("__more", "__row"))
+    same = docs["doc_id"].cast("long").eqNullSafe(first["__id"]) & (F.xxhash64(docs["text"].cast("string")) == first["__mark"])
+    kept = docs.join(first.hint("merge"), same)
+    once = kept.where(~F.col("__more")).select(*docs.columns)
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    twice = kept.where("__more").withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(order)))
+    return once.unionByName(twice.where("__row = 1").select(*docs.columns))
