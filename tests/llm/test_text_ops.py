@@ -272,3 +272,17 @@ def test_min_cut_is_minimal(problem):
     n = len(source)
     best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
     assert cost(html_extract.min_cut(source, sink, edges)) == best
+
+
+def test_names_and_articles_do_not_settle_a_page():
+    """Wrappers named after a sidebar hold the page's text; a story beside teaser cards competes; what is named and small still goes."""
+    story = "".join(f"<p>{(' '.join(['The council said on day', str(k), 'that the bridge, long closed, would open again in spring']) + '. ') * 4}</p>" for k in range(6))
+    plain = lambda page: html_extract.extract(page, html_extract.PRIOR)
+    ad = '<div class="ad">Buy one now, get two.</div>'
+    for page in (f'<body class="has-sidebar"><article>{story}</article>{ad}</body>', f'<body><div class="page with-sidebar"><article>{story}</article>{ad}</div></body>', f'<body><div id="content" class="no-widget">{story}</div>{ad}</body>'):
+        got = plain(page)
+        assert got.count("The council") == 24 and "Buy one" not in got
+    cards = "".join(f"<article><h2>Card {k}</h2></article>" for k in range(4))
+    assert plain(f"<body><div>{story}</div>{cards}</body>").count("The council") == 24
+    talk = '<div class="comments"><article class="comment"><p>Nice read, thanks.</p></article></div>'
+    assert "Nice read" not in plain(f"<body><article>{story}</article>{talk}</body>")

@@ -31,6 +31,7 @@ BOILER = frozenset("nav aside footer form button select menu dialog head label i
 CONTENT = frozenset("article main".split())
 NAMES = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|reviews?|pagination|pager|toolbar|widget|copyright|skip|hidden|alert)(?=$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(comments?|replies|respond|disqus|ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|social|related|newsletter|subscribe|notices?|sidebar|nav\w*|menu\w*|cookies?|hidden)(?=$|[\s_-])", re.I)
+TALK = re.compile(r"(?:^|[\s_-])(comments?|replies|respond|disqus|reviews?)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<[/!?a-zA-Z][^>]*>""", re.S)
@@ -41,20 +42,26 @@ _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 
 # Costs, in flow units.
 SURE, SMOOTH_NEXT, SMOOTH_HOME, SCALE = 100_000, 60, 40, 100
+#: A class or id, and a place beside an article that holds all the text, weigh less than the classifier can (8 * SCALE).
+NAMED, OUTSIDE = 700, 400
 
 
 class Block:
-    __slots__ = ("text", "linked", "home", "depth", "side", "tag")
+    __slots__ = ("text", "linked", "home", "depth", "side", "tag", "named")
 
-    def __init__(self, text: str, linked: int, home: int, depth: int, side: int, tag: str):
-        self.text, self.linked, self.home, self.depth, self.side, self.tag = text, linked, home, depth, side, tag
+    def __init__(self, text: str, linked: int, home: int, depth: int, side: int, tag: str, named: tuple[int, ...] = ()):
+        self.text, self.linked, self.home, self.depth, self.side, self.tag, self.named = text, linked, home, depth, side, tag, named
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. side: 1 inside article or main, -1 inside markup of boilerplate, 0 neither."""
+    """Text blocks in page order. side: 1 inside article or main, -1 inside markup of boilerplate, 0 neither.
+    named: the elements around it whose class or id tells of boilerplate. Left out are those of the page as a whole: around
+    the first main (or article), or around most of the text, unless they tell of comments beside or in an article."""
     out: list[Block] = []
-    # (tag, side it gives, number of its nearest container)
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    # (tag, side it gives, number of its nearest container, its named elements)
+    stack: list[tuple[str, int, int, tuple[int, ...]]] = [("", 0, 0, ())]
+    talks: list[bool] = []  # of each named element, whether it tells of comments
+    around: dict[str, tuple[int, ...]] = {}  # what is named around the first main and article
     parts: list[str] = []
     linked, in_link, count = 0, 0, 0
 
@@ -63,8 +70,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                tag, side, home = stack[-1]
-                out.append(Block(text, linked, home, len(stack), side, tag))
+                tag, side, home, named = stack[-1]
+                out.append(Block(text, linked, home, len(stack), side, tag, named))
             parts.clear()
         linked = 0
 
@@ -119,24 +126,37 @@ def blocks_of(page: str) -> list[Block]:
         implied = _IMPLIED.get(name, ())
         while stack[-1][0] in implied:
             stack.pop()
-        side, home = stack[-1][1], stack[-1][2]
+        side, home, named = stack[-1][1:]
         if name in CONTENT and side >= 0:
             side = 1
+            around.setdefault(name, named)
         elif name in BOILER or name == "header" and side != 1:
             side = -1
         if m[3] and side >= 0:
             for key, value in _ATTR.findall(m[3]):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    if (COMMENTS if side == 1 else NAMES).search(value):
-                        side = -1
+                    if name not in ("html", "body") and (COMMENTS if side == 1 else NAMES).search(value):
+                        named = (*named, len(talks))
+                        talks.append(bool(TALK.search(value)))
                 elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                     side = -1
         if name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd"):
             count += 1
             home = count
-        stack.append((name, side, home))
+        stack.append((name, side, home, named))
     flush()
+    if talks:
+        held, total = [0] * len(talks), 0
+        for b in out:
+            if b.side >= 0:
+                total += len(b.text)
+                for k in b.named:
+                    held[k] += len(b.text)
+        whole = set(around.get("main", around.get("article", ())))
+        whole |= {k for k, talk in enumerate(talks) if 2 * held[k] > total and not (talk and around)}
+        for b in out:
+            b.named = tuple(k for k in b.named if k not in whole)
     return out
 
 
@@ -170,7 +190,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
 
 def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(b.side, *block_features(b)) for x in batch.column("html").to_pylist() for b in blocks_of(x) if b.side]
+        rows = [(-1 if b.named else b.side, *block_features(b)) for x in batch.column("html").to_pylist() for b in blocks_of(x) if b.side or b.named]
         columns = list(zip(*rows)) or [()] * (len(PRIOR) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], ["side", *[f"f{k}" for k in range(len(PRIOR))]])
 
@@ -239,15 +259,21 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     if not found:
         return ""
     logits = (np.array([block_features(b) for b in found]) @ weights).clip(-8, 8)
-    has_home = any(b.side > 0 for b in found)
+    inside = sum(len(b.text) for b in found if b.side > 0 and not b.named)
+    beside = sum(len(b.text) for b in found if b.side == 0 and not b.named)
+    outside = OUTSIDE * inside // max(inside + beside, 1)  # the more of the text an article holds, the less is beside it
     source, sink, edges, last = [], [], [], {}
     for k, (b, z) in enumerate(zip(found, logits.tolist())):
         cost = int(z * SCALE)
         s, t = max(cost, 0), max(-cost, 0)
-        if b.side > 0:
-            s += SURE
-        elif b.side < 0 or has_home:  # beside an article, what lies outside of it is none of it
+        if b.side < 0:
             t += SURE
+        elif b.named:
+            t += NAMED
+        elif b.side > 0:
+            s += SURE
+        else:
+            t += outside
         source.append(s)
         sink.append(t)
         if k:
