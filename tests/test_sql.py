@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import tables
+from tracemill.operators import line_parsers, tables
 from tracemill.plans import sql
 from tracemill.streaming import rates
 
@@ -109,3 +109,13 @@ def test_stream_templates(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
     s = rates.sessions(spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:10:00"), ("u", "2024-01-01 05:00:00")], "u string, t string").select("u", F.to_timestamp("t").alias("at")), "u")
     assert sorted(r.n for r in s.collect()) == [1, 2]
+
+
+def test_exports_hold_every_row(spark):
+    df = spark.range(100_001)
+    assert tables.export_rows(df).count() == 100_001 and tables.export_rows(df, 3).count() == 3
+
+
+def test_printable_strings_are_all_found(spark):
+    files = spark.createDataFrame([(1, "a.bin", "word\n" * 600)], "file_id long, filename string, content string")
+    assert line_parsers.printable_strings(files).count() == 600 and line_parsers.printable_strings(files, 500).count() == 500

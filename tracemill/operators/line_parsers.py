@@ -114,9 +114,10 @@ def hex_dump(lines: DataFrame) -> DataFrame:
     return d.select(*_KEYS, "offset", "hex_bytes", shown.alias("ascii_repr"), F.replace(text, F.lit("�"), F.lit("")).alias("decoded_text"), S._group(shown, f"({P.ISO_TIMESTAMP})", 1).alias("timestamp"))
 
 
-def printable_strings(files: DataFrame, limit: int = 500) -> DataFrame:
-    """Runs of four or more printable characters in content, the first of each file up to limit."""
-    runs = F.slice(F.regexp_extract_all("content", F.lit(f"({P.PRINTABLE_RUN})"), F.lit(1)), 1, limit)
+def printable_strings(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Runs of four or more printable characters in content; with a limit the first of each file up to it."""
+    runs = F.regexp_extract_all("content", F.lit(f"({P.PRINTABLE_RUN})"), F.lit(1))
+    runs = runs if limit is None else F.slice(runs, 1, limit)
     d = files.select("file_id", "filename", F.posexplode(runs).alias("at", "text"))
     return d.select("file_id", "filename", (F.col("at") + 1).alias("string_index"), "text", S._group(F.col("text"), f"({P.ISO_TIMESTAMP})", 1).alias("timestamp"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-EXPORT_ROWS, QUERY_ROWS = 100_000, 500
+QUERY_ROWS = 500
 LEVEL_COLUMNS, TIME_COLUMNS = ("log_level", "level", "severity"), ("timestamp", "ts", "time")
 
 
@@ -78,18 +78,22 @@ def visible_columns(df: DataFrame, null_ratio: dict[str, float]) -> list[str]:
     return [c for c in df.columns if c not in hidden and not c.startswith("source") and not c.endswith("_id") and null_ratio.get(c, 0.0) < 1.0]
 
 
-def export_rows(df: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
-    """Every cell as the text of an export, at most limit rows (the export's own bound)."""
+def _at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def export_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every cell as the text of an export; with a limit at most so many rows, whichever come first."""
     nested = {c for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))}
-    return df.limit(limit).select(*[(F.coalesce(F.to_json(c), F.lit("")) if c in nested else S.export_text(F.col(f"`{c}`"))).alias(c) for c in df.columns])
+    return _at_most(df, limit).select(*[(F.coalesce(F.to_json(c), F.lit("")) if c in nested else S.export_text(F.col(f"`{c}`"))).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, limit: int = EXPORT_ROWS) -> None:
+def write_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
     export_rows(df, limit).write.mode("overwrite").option("header", True).option("emptyValue", "").option("quoteAll", False).csv(path)
 
 
-def write_json(df: DataFrame, path: str, limit: int = EXPORT_ROWS) -> None:
-    df.limit(limit).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, limit: int | None = None) -> None:
+    _at_most(df, limit).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 # -- summaries --------------------------------------------------------------------

@@ -44,7 +44,7 @@ def filter_combined(spark, d):
 
 @query("SELECT event_id, coalesce(CAST(user_id AS VARCHAR), '') AS user_id, coalesce(props, '') AS props FROM events")
 def export_rows(spark, d):
-    """Cells as an export writes them (its bound is 100 000 rows)."""
+    """Cells as an export writes them, of every row."""
     return tables.export_rows(_events(spark, d).select("event_id", "user_id", "props")).withColumn("event_id", F.col("event_id").cast("long"))
 
 
