@@ -280,3 +280,10 @@ def test_budget_and_profiles():
     assert hooks.ask_json(lambda p: "{}", "x" * 100, hooks.Budget(limit_usd=0.0)) is None
     profiles.register_profile(profiles.Profile("etch", "fab", expected_types={"tool_id": "TEXT"}))
     assert profiles.get_profile("etch").missing(["x"]) == ["tool_id"] and profiles.get_profile("nope").name == "default"
+
+
+def test_delimited_without_header_is_as_wide_as_its_widest_line(spark):
+    f = sources.inline_files(spark, [("n.csv", "1,2\n" * 12 + "3,4,5,6\n")])
+    rows = sorted(structured.delimited(lines_of(f)).collect(), key=lambda r: r.row_no)
+    assert [rows[12].fields[f"column_{k}"] for k in (1, 2, 3, 4)] == ["3", "4", "5", "6"]
+    assert len(rows) == 13 and rows[0].fields["column_4"] == ""
