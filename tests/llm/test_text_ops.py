@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -252,10 +253,50 @@ def test_page_without_article():
     assert got == "A title & more\nThe first paragraph is long enough, it has commas, and it ends with a stop.\nThe second one is long too, with bold words — and an entity; it says something real.\none point that matters in this story, a bit long."
 
 
+def test_the_cut_decides(spark, sf_dir):
+    """Without article elements the text is still found; by cuts that neither a block's own costs nor its markup give."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = html_extract.fit(pages)
+    kept = total = extra = by_cut = by_markup = 0
+    for r in pages.collect():
+        want = set(html_extract.extract(r.html, weights).split("\n"))
+        page = re.sub("<(/?)article", r"<\1div", r.html)
+        got = html_extract.extract(page, weights).split("\n")
+        total += sum(map(len, want))
+        kept += sum(len(x) for x in want & set(got))
+        extra += sum(len(x) for x in got if x not in want)
+        found = html_extract.blocks_of(page)
+        source, sink, edges = html_extract.capacities(found, weights)
+        cut = html_extract.min_cut(source, sink, edges)
+        by_cut += cut != [a > b for a, b in zip(source, sink)]
+        by_markup += cut != [b.side > 0 for b in found]
+    assert kept >= 0.95 * total and extra <= 0.02 * total and by_cut > 0 and by_markup > 0
+
+
+def test_no_element_settles_a_block():
+    """Each piece of markup costs something finite, and less than the classifier and the neighbours can give."""
+    most = html_extract.CLIP * html_extract.SCALE
+    around = 2 * (html_extract.SMOOTH_NEXT + html_extract.SMOOTH_HOME)
+    for x in (html_extract.HOME, html_extract.MARKED, html_extract.NAMED, html_extract.OUTSIDE):
+        assert 0 < x < most + around
+
+
+def test_pages_in_linear_time():
+    for page in ('<a href="x' * 100_000, "<div>" * 100_000 + "x" + "</p>" * 100_000, '<div class="ad">' * 30_000 + "x", "<!--" * 100_000, "<x" * 100_000):
+        began = time.perf_counter()
+        html_extract.extract(page, html_extract.PRIOR)
+        assert time.perf_counter() - began < 4
+    long = "<article>" + "<p>Some text, and more of it, that goes on. " * 50_000 + "</article>"
+    assert html_extract.extract(long, html_extract.PRIOR).count("\n") == 49_999
+    assert html_extract.extract('<article><p title="a>b" class=c>One sentence, long enough to stay.<p>5 < 6 and "so" on, it\'s true.</article>', html_extract.PRIOR) == 'One sentence, long enough to stay.\n5 < 6 and "so" on, it\'s true.'
+
+
 def test_pages_of_odd_rows(spark):
-    rows = [(1, None, None), (2, "u", ""), (3, "u", "plain text only, without any markup at all, but long enough to be content."), (4, "u", "<p>" * 3000), (None, "u", "<article><p>a &lt;b&gt; c</article>"), (5, "u", '<a href="x' * 300), (6, "u", "<!-- open"), (7, "u", "<script>var a")]
+    rows = [(1, None, None), (2, "u", ""), (3, "u", "plain text only, without any markup at all, but long enough to be content."), (4, "u", "<p>" * 3000), (None, "u", "<article><p>a &lt;b&gt; c</article>"), (5, "u", '<a href="x' * 300), (6, "u", "<!-- open"), (7, "u", "<script>var a"), (8, "u", "<article><p>twice</article>"), (8, "u", "<article><p>twice</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: r.text for r in html_extract.extract_pages(pages, html_extract.fit(pages)).collect()}
+    found = html_extract.extract_pages(pages, html_extract.fit(pages)).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(rows) and [r.text for r in found if r.page_id == 8] == ["twice", "twice"]
     assert got[1] == got[2] == got[4] == got[6] == got[7] == "" and got[None] == "a <b> c" and got[3].startswith("plain text")
     assert html_extract.extract_pages(pages.limit(0), html_extract.fit(pages.limit(0))).count() == 0
 

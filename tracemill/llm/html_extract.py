@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A classifier's costs and the evidence of the
-markup become each block's capacities to the two terminals; neighbours in the
-page and blocks of the same container are joined by smoothness edges. The
-minimum cut, found by maximum flow, separates content from boilerplate.
+A page is cut into text blocks. A classifier's costs and what the markup tells,
+both finite, become each block's capacities to the two terminals; neighbours in
+the page and blocks of the same container are joined by smoothness edges. The
+minimum cut, found by maximum flow, separates content from boilerplate; no
+block is settled before it. The classifier sees no markup; it is fitted on
+blocks whose markup tells a side.
 """
 
 from __future__ import annotations
@@ -34,34 +36,71 @@ COMMENTS = re.compile(r"(?:^|[\s_-])(comments?|replies|respond|disqus|ads?|adver
 TALK = re.compile(r"(?:^|[\s_-])(comments?|replies|respond|disqus|reviews?)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<[/!?a-zA-Z][^>]*>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>""")
+#: What a tag is once a quote has been left open.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
+_OPENS = re.compile(r"<(?=[/!?a-zA-Z])")
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACES = re.compile(r"\s+")
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-# Costs, in flow units.
-SURE, SMOOTH_NEXT, SMOOTH_HOME, SCALE = 100_000, 60, 40, 100
-#: A class or id, and a place beside an article that holds all the text, weigh less than the classifier can (8 * SCALE).
-NAMED, OUTSIDE = 700, 400
+# Costs, in flow units; the classifier's are at most CLIP * SCALE.
+SMOOTH_NEXT, SMOOTH_HOME, SCALE, CLIP = 60, 40, 100, 6
+#: What markup is worth, all finite: an article or main around a block (for it); an element of boilerplate or a telling
+#: class or id around it (against it, each a little more than the classifier can give, so that only it and the
+#: neighbours together outweigh them); a place beside an article that holds all the text (against it).
+HOME, MARKED, NAMED, OUTSIDE = 600, 700, 650, 400
 
 
 class Block:
     __slots__ = ("text", "linked", "home", "depth", "side", "tag", "named")
 
-    def __init__(self, text: str, linked: int, home: int, depth: int, side: int, tag: str, named: tuple[int, ...] = ()):
+    def __init__(self, text: str, linked: int, home: int, depth: int, side: int, tag: str, named: int = -1):
         self.text, self.linked, self.home, self.depth, self.side, self.tag, self.named = text, linked, home, depth, side, tag, named
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, lower-case name or "" for comments and declarations, attributes) of each tag, in one pass.
+
+    A quote runs on to its end. Once one is left open up to the end of the page,
+    quotes are read no more, so that no part of a page is read over and over.
+    """
+    at, n, tag = 0, len(page), _TAG
+    while m := _OPENS.search(page, at):
+        at = m.start()
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif found := (tag.match(page, at) or _PLAIN_TAG.match(page, at)):
+            if found.re is not tag:
+                tag = _PLAIN_TAG
+            end = found.end()
+            name = found[2].lower()
+            yield at, end, found[1], name, found[3]
+            if name in RAW and not found[1] and not found[3].rstrip().endswith("/"):
+                close = _CLOSE[name].search(page, end)
+                end = close.end() if close else n
+                yield end, end, "", "", ""
+        else:
+            end = page.find(">", at) + 1 or n  # a tag without an end runs to the end
+            yield at, end, "", "", ""
+        at = end
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. side: 1 inside article or main, -1 inside markup of boilerplate, 0 neither.
-    named: the elements around it whose class or id tells of boilerplate. Left out are those of the page as a whole: around
-    the first main (or article), or around most of the text, unless they tell of comments beside or in an article."""
+    """Text blocks in page order, in time and memory linear in the page. side: 1 inside article or main, -1 inside markup
+    of boilerplate, 0 neither. named: the number of the innermost element around it whose class or id tells of boilerplate
+    (-1: none). Passed over are those of the page as a whole: around the first main (or article), or around most of the
+    text, unless they tell of comments beside or in an article."""
     out: list[Block] = []
-    # (tag, side it gives, number of its nearest container, its named elements)
-    stack: list[tuple[str, int, int, tuple[int, ...]]] = [("", 0, 0, ())]
+    # (tag, side it gives, number of its nearest container, its innermost named element)
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, -1)]
+    opened: dict[str, int] = {}  # how often each tag is on the stack
     talks: list[bool] = []  # of each named element, whether it tells of comments
-    around: dict[str, tuple[int, ...]] = {}  # what is named around the first main and article
+    above: list[int] = []  # and the named element around it
+    around: dict[str, int] = {}  # what is named around the first main and article
     parts: list[str] = []
     linked, in_link, count = 0, 0, 0
 
@@ -75,39 +114,39 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            piece = page[at:stop]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    at = 0
+    for begin, end, slash, name, attributes in (*_tags(page), (len(page), len(page), "", "", "")):
+        if begin > at:
+            if stack[-1][0] not in RAW:
+                piece = page[at:begin]
+                parts.append(piece)
+                if in_link:
+                    linked += len(piece.strip())
+        at = end
         if not name:
+            if stack[-1][0] in RAW:
+                pop()
             continue
-        name = name.lower()
-        if m[1]:
+        if slash:
             if name == "a":
                 in_link = max(0, in_link - 1)
             elif name in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        in_link = 0
-                        break
+                if opened.get(name):
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
+                    in_link = 0
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = _CLOSE[name].search(page, at)
-                at = end.end() if end else n
             if name in BLOCKS:
                 flush()
+            if not attributes.rstrip().endswith("/"):
+                stack.append((name, *stack[-1][1:]))
+                opened[name] = opened.get(name, 0) + 1
             continue
         if name == "br":
             parts.append(" ")
@@ -120,24 +159,24 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         if name in VOID:
             continue
-        if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or name in BLOCKS and stack[-1][0] == "p":
-            if stack[-1][0] == "p":
-                stack.pop()
+        if stack[-1][0] == "p":
+            pop()
         implied = _IMPLIED.get(name, ())
         while stack[-1][0] in implied:
-            stack.pop()
+            pop()
         side, home, named = stack[-1][1:]
         if name in CONTENT and side >= 0:
             side = 1
             around.setdefault(name, named)
         elif name in BOILER or name == "header" and side != 1:
             side = -1
-        if m[3] and side >= 0:
-            for key, value in _ATTR.findall(m[3]):
+        if attributes and side >= 0:
+            for key, value in _ATTR.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
                     if name not in ("html", "body") and (COMMENTS if side == 1 else NAMES).search(value):
-                        named = (*named, len(talks))
+                        above.append(named)
+                        named = len(talks)
                         talks.append(bool(TALK.search(value)))
                 elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                     side = -1
@@ -145,18 +184,28 @@ def blocks_of(page: str) -> list[Block]:
             count += 1
             home = count
         stack.append((name, side, home, named))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     if talks:
         held, total = [0] * len(talks), 0
         for b in out:
             if b.side >= 0:
                 total += len(b.text)
-                for k in b.named:
-                    held[k] += len(b.text)
-        whole = set(around.get("main", around.get("article", ())))
-        whole |= {k for k, talk in enumerate(talks) if 2 * held[k] > total and not (talk and around)}
+                if b.named >= 0:
+                    held[b.named] += len(b.text)
+        for k in range(len(talks) - 1, -1, -1):  # an element is numbered after the one around it
+            if above[k] >= 0:
+                held[above[k]] += held[k]
+        whole, k = set(), around.get("main", around.get("article", -1))
+        while k >= 0:
+            whole.add(k)
+            k = above[k]
+        tells: list[int] = []  # of each named element, itself or the nearest one around it that counts
+        for k, talk in enumerate(talks):
+            passed = k in whole or 2 * held[k] > total and not (talk and around)
+            tells.append(k if not passed else tells[above[k]] if above[k] >= 0 else -1)
         for b in out:
-            b.named = tuple(k for k in b.named if k not in whole)
+            b.named = tells[b.named] if b.named >= 0 else -1
     return out
 
 
@@ -190,7 +239,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
 
 def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(-1 if b.named else b.side, *block_features(b)) for x in batch.column("html").to_pylist() for b in blocks_of(x) if b.side or b.named]
+        rows = [(-1 if b.named >= 0 else b.side, *block_features(b)) for x in batch.column("html").to_pylist() for b in blocks_of(x) if b.side or b.named >= 0]
         columns = list(zip(*rows)) or [()] * (len(PRIOR) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], ["side", *[f"f{k}" for k in range(len(PRIOR))]])
 
@@ -253,37 +302,29 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
                 spare[a] += amount
 
 
-def extract(page: str | None, weights: np.ndarray) -> str:
-    """The main text of one page; empty if there is none."""
-    found = blocks_of(page or "")
-    if not found:
-        return ""
-    logits = (np.array([block_features(b) for b in found]) @ weights).clip(-8, 8)
-    inside = sum(len(b.text) for b in found if b.side > 0 and not b.named)
-    beside = sum(len(b.text) for b in found if b.side == 0 and not b.named)
+def capacities(found: list[Block], weights: np.ndarray) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """(to content, to boilerplate, smoothness edges) of a page's blocks."""
+    logits = (np.array([block_features(b) for b in found]) @ weights).clip(-CLIP, CLIP)
+    inside = sum(len(b.text) for b in found if b.side > 0 and b.named < 0)
+    beside = sum(len(b.text) for b in found if b.side == 0 and b.named < 0)
     outside = OUTSIDE * inside // max(inside + beside, 1)  # the more of the text an article holds, the less is beside it
     source, sink, edges, last = [], [], [], {}
     for k, (b, z) in enumerate(zip(found, logits.tolist())):
         cost = int(z * SCALE)
-        s, t = max(cost, 0), max(-cost, 0)
-        if b.side < 0:
-            t += SURE
-        elif b.named:
-            t += NAMED
-        elif b.side > 0:
-            s += SURE
-        else:
-            t += outside
-        source.append(s)
-        sink.append(t)
+        source.append(max(cost, 0) + (HOME if b.side > 0 and b.named < 0 else 0))
+        sink.append(max(-cost, 0) + (MARKED if b.side < 0 else 0) + (NAMED if b.side >= 0 and b.named >= 0 else 0) + (outside if b.side == 0 else 0))
         if k:
             edges.append((k - 1, k, SMOOTH_NEXT // (1 + abs(b.depth - found[k - 1].depth))))
-        if (j := last.get(b.home, k)) < k - 1:
-            edges.append((j, k, SMOOTH_HOME))
-        elif j == k - 1:
+        if (j := last.get(b.home)) is not None:
             edges.append((j, k, SMOOTH_HOME))
         last[b.home] = k
-    return "\n".join(b.text for b, keep in zip(found, min_cut(source, sink, edges)) if keep)
+    return source, sink, edges
+
+
+def extract(page: str | None, weights: np.ndarray) -> str:
+    """The main text of one page; empty if there is none."""
+    found = blocks_of(page or "")
+    return "\n".join(b.text for b, keep in zip(found, min_cut(*capacities(found, weights))) if keep) if found else ""
 
 
 def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
