@@ -17,20 +17,48 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where it is unset: in local mode one of our own, on a cluster an error."""
+    conf = spark.sparkContext.getConf()
+    at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not at:
+        if not (conf.get("spark.master") or "").startswith("local") or (conf.get("spark.master") or "").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="tracemill-"))
     return at.rstrip("/")
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives executors."""
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives executors.
+
+    The table goes when the application ends, or before with drop().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop(stashed: DataFrame) -> None:
+    """Deletes a stash() that nothing will read again."""
+    spark = stashed.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stashed.stashed_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """For each wanted name one that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
@@ -76,6 +104,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stash(small.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u != v").distinct(), tag)
+        drop(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
