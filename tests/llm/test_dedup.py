@@ -109,10 +109,22 @@ def test_simhash_on_the_table(documents, texts):
     assert got[ids[0]].__fields__ == ["doc_id", "fingerprint", "component_id"]
 
 
-@pytest.mark.parametrize("bucket", [2, 24])
-def test_links_connect_what_is_near(spark, monkeypatch, bucket):
-    """Balls of fingerprints around some centres, with pairs on and off the radius; buckets paired or starred."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+def test_pivot_cells_lose_no_pair():
+    """Coordinates over some three parts agree at every pivot for any two flips; over all bits they differ by two at most."""
+    rng = np.random.RandomState(3)
+    for _ in range(500):
+        a = int(rng.randint(0, 2**62)) << 2 | int(rng.randint(4))
+        b = a ^ sum(1 << int(f) for f in rng.choice(64, rng.randint(1, 3), replace=False))
+        at = lambda x, mask: [((x ^ p) & mask & (2**64 - 1)).bit_count() for p in simhash.PIVOTS]
+        assert any(at(a, m) == at(b, m) for m in simhash.MASKS)
+        assert max(abs(x - y) for x, y in zip(at(a, -1), at(b, -1))) <= simhash.RADIUS
+    assert sorted((m % 2**64).bit_count() for m in simhash.MASKS)[0] >= 36
+
+
+@pytest.mark.parametrize("cell", [2, 24])
+def test_links_connect_what_is_near(spark, monkeypatch, cell):
+    """Balls of fingerprints around some centres, with pairs on and off the radius; cells paired or starred."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = np.random.RandomState(5)
     prints = set()
     for _ in range(12):
@@ -158,6 +170,14 @@ def test_keep_one_is_one_of_each(documents):
     assert sorted(kept) == sorted(set(marks.values()))
 
 
+def test_keep_one_carries_columns_of_any_name(spark):
+    a, b = prose(80, 801), prose(80, 802)
+    docs = spark.createDataFrame([(1, a, "p", 1, "u"), (2, a, "q", 2, "v"), (3, b, "r", 3, "w"), (3, b, "r", 3, "w")], "doc_id long, text string, __id string, mark int, `row` string").withColumns({c: F.lit("mine") for c in ("id", "of", "own", "more", "nth", "a.b")})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, a, "p", 1, "u", *["mine"] * 6), (3, b, "r", 3, "w", *["mine"] * 6)]
+
+
 def test_keep_one_of_components_that_share_an_id(spark):
     """Null ids of different texts, a null-id copy beside an id, and an id on two unrelated texts."""
     a, b, c, d, e, f = (prose(80, 700 + k) for k in range(6))

@@ -160,6 +160,14 @@ def test_emit_gives_what_mix_takes(documents, odd):
         assert got == +want
 
 
+def test_emit_keeps_values_of_any_column(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}", "ab"[k % 2], "mine", "own") for k in range(30)], "doc_id long, text string, source string, __size string, `row` string").withColumn("__copies", F.lit("x")).withColumn("col", F.lit(1.5))
+    out = mixing.emit(docs)
+    assert out.dtypes == docs.dtypes
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+    assert {(r["__size"], r["row"], r["__copies"], r["col"]) for r in out.collect()} == {("mine", "own", "x", 1.5)}
+
+
 def test_pipeline_is_its_stages(spark, sf_dir, documents, texts):
     """Each stage by its own rule, in plain Python, over what the one before kept."""
     docs = documents.collect()

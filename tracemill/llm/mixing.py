@@ -54,9 +54,8 @@ def targets(strata: DataFrame) -> DataFrame:
     return s.select("__source", "source_size", "target", rate.alias("rate"), shift.alias("shift"))
 
 
-def _drawn(docs: DataFrame) -> DataFrame:
-    """docs, private columns, source_size, target and __copies."""
-    d = _sized(docs)
+def _drawn(d: DataFrame) -> DataFrame:
+    """Rows of _sized() with __source_size, __target and __copies."""
     keys = ["__source", "__sc", "__hb"]
     strata = stash(d.select("__size", *keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("__size").alias("held")), "mix-strata")
     earlier = Window.partitionBy("__source").orderBy("__sc", "__hb").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,14 +76,16 @@ def mix(docs: DataFrame) -> DataFrame:
     and rows that repeat each other are documents of their own. Where all texts
     are empty, targets are 0 and nothing is taken.
     """
-    d = _drawn(columns_of(docs, doc_id="long", text="string", source="string"))
+    d = _drawn(_sized(columns_of(docs, doc_id="long", text="string", source="string")))
     return d.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it."""
-    names = docs.columns
-    return _drawn(docs).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    """The rows of docs, with all their columns, whatever their names, each as often as the mix takes it."""
+    # a row travels packed, so that no column of docs meets one of ours
+    packed = docs.select(*[F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("text", "string"), ("source", "string"))], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = _sized(packed).drop("doc_id", "text", "source")
+    return _drawn(d).where("__copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")
 
 
 #: The rows of mix() for DuckDB.

@@ -1,13 +1,15 @@
 """SimHash near-duplicates: fingerprints, pivot distance tables, components.
 
-Two fingerprints at most two bits apart agree in two of four 16-bit quarters,
-so six masked copies of each distinct fingerprint meet all its partners. In a
-bucket, distances to reference fingerprints (pivots) were computed beforehand;
-by the triangle inequality a pair whose coordinates differ by more than two at
-any pivot is no link, and only the rest is verified bit by bit. A bucket with
-more than BUCKET fingerprints is not paired: each of its fingerprints lists its
-65 centres (itself and each one-bit change), and two fingerprints are at most
-two bits apart exactly if they share a centre. No bucket emits all its pairs.
+Distances of each fingerprint to reference fingerprints (pivots) are computed
+beforehand, over all bits and over each choice of three of five parts of the
+bits. Two fingerprints at most two bits apart leave three parts whole, so over
+these their coordinates are the same at every pivot: they meet in that cell of
+the table. In a cell, a pair whose coordinates over all bits differ by more than
+two at any pivot is discarded by the triangle inequality, and the rest is
+verified bit by bit. A hot cell (more than CELL fingerprints) is not paired:
+each of its fingerprints lists its 65 centres (itself and each one-bit change),
+and two fingerprints are at most two bits apart exactly if they share a centre.
+Both ways are exact, and no cell emits all its pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import columns_of, components, raw_texts, stash
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Above so many distinct fingerprints a bucket is linked by centres instead of pairs.
-BUCKET = 24
-N_PIVOTS = 16
+#: Above so many distinct fingerprints a cell of the pivot table is linked by centres instead of pairs.
+CELL = 24
+N_PIVOTS, PARTS = 16, 5
 
 
 def _signed(x: int) -> int:
@@ -36,7 +38,14 @@ def _signed(x: int) -> int:
 
 #: Reference fingerprints, the same on every run.
 PIVOTS = [_signed(xxhash.xxh64_intdigest(f"pivot {k}", seed=SEED)) for k in range(N_PIVOTS)]
-MASKS = [_signed((0xFFFF << 16 * a) | (0xFFFF << 16 * b)) for a, b in combinations(range(4), 2)]
+_EDGES = [64 * k // PARTS for k in range(PARTS + 1)]
+#: The bits of each choice of all parts but RADIUS.
+MASKS = [_signed(sum(((1 << _EDGES[k + 1]) - (1 << _EDGES[k])) for k in kept)) for kept in combinations(range(PARTS), PARTS - RADIUS)]
+
+
+def _distances(mask: int) -> list[str]:
+    """SQL: of fp, the distance to each pivot over the bits of mask."""
+    return [f"bit_count((fp ^ {p}L) & {mask}L)" for p in PIVOTS]
 
 
 def fingerprint(raw: bytes | None) -> int:
@@ -72,25 +81,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v) links that connect exactly what lies within RADIUS bits."""
-    tables = F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(MASKS)])
-    rows = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
+    cells = ", ".join(f"named_struct('t', cast({t} as tinyint), 'k', xxhash64({', '.join(_distances(m))}))" for t, m in enumerate(MASKS))
+    rows = nodes.select("fp", F.explode(F.expr(f"array({cells})")).alias("x")).select("fp", "x.t", "x.k")
     full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = stash(rows.join(full, ["t", "k"]), "simhash-buckets")
+    met = stash(rows.join(full, ["t", "k"]), "simhash-cells")
 
-    few = met.where(F.col("n") <= BUCKET).select("t", "k", "fp", *[F.expr(f"cast(bit_count(fp ^ {p}L) as tinyint)").alias(f"d{i}") for i, p in enumerate(PIVOTS)])
+    few = met.where(F.col("n") <= CELL).select("t", "k", "fp", *[F.expr(f"cast({d} as tinyint)").alias(f"d{i}") for i, d in enumerate(_distances(-1))])
     a, b = few.alias("a"), few.alias("b")
     near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= RADIUS for i in range(N_PIVOTS)])
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    earlier = reduce(lambda x, y: x | y, [(F.col("a.t") > t) & (apart.bitwiseAND(F.lit(m)) == 0) for t, m in enumerate(MASKS)])
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & near).where((F.bit_count(apart) <= RADIUS) & ~earlier)
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & near).where(F.bit_count(apart) <= RADIUS)
     pairs = pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
 
-    many = met.where(F.col("n") > BUCKET).select("fp").distinct()
+    many = met.where(F.col("n") > CELL).select("fp").distinct()
     centres = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     seen = many.select("fp", F.explode(centres).alias("c"))
     least = seen.groupBy("c").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = seen.join(least, "c").where("fp != m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct()
-    return pairs.unionByName(stars)
+    stars = seen.join(least, "c").where("fp != m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def _components(marks: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns: of each component the document with the smallest id.
+    """The rows of docs, with all their columns, whatever their names: of each component the document with the smallest id.
 
     Where several of its texts carry that id, the lowest by hash stays, and of
     rows with the same id and text one. Null ids come last, so a component whose
@@ -128,11 +136,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = marks.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "mark", "n")).alias("least")
     first = _rooted(stash(texts.groupBy("fp").agg(least), "simhash-nodes")).groupBy("root").agg(F.min("least").alias("least"))
-    first = stash(first.select(F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark"), (F.col("least.n") > 1).alias("__more")), "simhash-kept")
-    # the ids grow with the corpus, so they are never broadcast
-    same = docs["doc_id"].cast("long").eqNullSafe(first["__id"]) & (F.xxhash64(docs["text"].cast("string")) == first["__mark"])
-    kept = docs.join(first.hint("merge"), same)
-    once = kept.where(~F.col("__more")).select(*docs.columns)
-    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
-    twice = kept.where("__more").withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(order)))
-    return once.unionByName(twice.where("__row = 1").select(*docs.columns))
+    first = stash(first.select(F.col("least.doc_id").alias("id"), F.col("least.mark").alias("mark"), (F.col("least.n") > 1).alias("more")), "simhash-kept")
+    # a row travels packed, so that no column of docs meets one of ours; the ids grow with the corpus, so they are never broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("of"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(first.hint("merge"), F.col("of").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark")))
+    once = kept.where(~F.col("more")).select("row.*")
+    order = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    twice = kept.where("more").withColumn("nth", F.row_number().over(Window.partitionBy("id", "mark").orderBy(order)))
+    return once.unionByName(twice.where("nth = 1").select("row.*"))
