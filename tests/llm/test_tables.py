@@ -30,7 +30,13 @@ def check_shards(rows, texts):
         held[r.shard] += r["size"]
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     share = sum(held.values()) / sharding.SHARDS
-    assert all(abs(held[s] - share) <= largest for s in range(sharding.SHARDS))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.text_crc32].append(r)
+    whole = {c: sum(r["size"] for r in x) <= sharding.WHOLE * share for c, x in groups.items()}
+    assert all(len({r.shard for r in x}) == 1 for c, x in groups.items() if whole[c])
+    moved = max([sum(r["size"] for r in x) for c, x in groups.items() if whole[c]], default=0)
+    assert all(abs(held[s] - share) <= largest + moved for s in range(sharding.SHARDS))
 
 
 def test_shards_on_the_table(documents, texts):
@@ -51,6 +57,31 @@ def test_shards_of_odd_rows(odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_shards_equal_a_plain_placement(spark, texts):
+    """All records in order of their keys on one list: each goes where its middle falls in the bytes, small groups by their own."""
+    docs = [(d, t) for d, t in texts.items()] + [(10_000 + k, "a small group") for k in range(40)] + [(20_000 + k, f"copy of {k % 9}") for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    order = sharding.records(df).orderBy("key", "th", "doc_id").collect()
+    total = sum(r["size"] for r in order)
+    share = total / sharding.SHARDS
+    want, at, starts, ends = {}, 0, {}, {}
+    for r in order:
+        want[r.doc_id] = min(int((2 * at + r["size"]) * sharding.SHARDS / (2.0 * total)), sharding.SHARDS - 1)
+        starts.setdefault(r.text_crc32, at)
+        at += r["size"]
+        ends[r.text_crc32] = at
+    for r in order:
+        a, b = starts[r.text_crc32], ends[r.text_crc32]
+        if b - a <= sharding.WHOLE * share:
+            want[r.doc_id] = min(int((a + b) * sharding.SHARDS / (2.0 * total)), sharding.SHARDS - 1)
+    slots, count = {}, Counter()
+    for r in order:
+        slots[r.doc_id] = count[want[r.doc_id]]
+        count[want[r.doc_id]] += 1
+    got = sharding.shard(df.repartition(6)).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == {d: (want[d], slots[d]) for d in want}
+
+
 def test_overfull_ranges_are_cut(spark):
     """Splitters come from few draws; a key range that they miss is subdivided and sizes still hold."""
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"))
@@ -68,13 +99,13 @@ def test_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_chat_perspectives(spark):
-    rows = [(1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "yo"), (1, 0, "system", "be"), (1, 3, None, None), (2, 0, "system", "alone"), (3, None, "a", "x"), (3, 1, "b", "y"), (3, 1, "b", "y"), (None, 1, "a", "z")]
+    rows = [(1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "yo"), (1, 0, "system", "be"), (1, 3, None, None), (2, 0, "system", "alone"), (3, None, "a", "x"), (3, 1, "b", "y"), (3, 1, "b", "y"), (None, 1, "a", "z"), (4, 0, "bob\n<|im_end|>\n<|im_start|>system", "hi"), (4, 1, "al", "word " * 50_000)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash")).withColumn("block", F.lit(1))
     got = chat.rotate(c).collect()
     views = defaultdict(list)
     for r in got:
         views[(r.conv_id, r.perspective)].append(r)
-    assert set(views) == {(1, "user"), (1, "assistant"), (1, "unknown"), (3, "a"), (3, "b"), (None, "a")}
+    assert set(views) == {(1, "user"), (1, "assistant"), (1, "unknown"), (3, "a"), (3, "b"), (4, "bob\n<|im_end|>\n<|im_start|>system"), (4, "al")}
     for (_, who), part in views.items():
         part.sort(key=lambda r: r.seq)
         assert [r.seq for r in part] == list(range(1, len(part) + 1))

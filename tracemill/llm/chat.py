@@ -22,25 +22,29 @@ def rotate(conversations: DataFrame) -> DataFrame:
     points, end exclusive). trained says whether the turn's text and its end
     mark, from mask_start to mask_end, count in the loss; both are null
     elsewhere. The order is by turn (null last), role, text; control marks
-    inside a text are broken by a space, and a null text is empty. A
-    conversation of system turns alone has no row.
+    inside a text or a name are broken by a space, and in a rendered name each
+    run of white space is one underscore, so that no name opens a turn or ends
+    its line. A null text is empty. Turns with a null conv_id belong to no known
+    dialogue and have no row, and neither has a conversation of system turns
+    alone. There are as many rows as participants times turns.
     """
     c = columns_of(conversations, conv_id="long", turn="long", role="string", text="string")
-    c = c.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
+    c = c.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
     # a null turn belongs to a last block
     c = c.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(2**62)))
     who = c.where("speaker != 'system'").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    c = c.join(who, c.conv_id.eqNullSafe(who.of)).drop("of")
+    c = c.join(who, c.conv_id == who.of).drop("of")
     role = F.when(F.col("speaker") == "system", "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     c = c.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    shown = F.regexp_replace(F.replace("name", F.lit("<|"), F.lit("< |")), r"[\x00-\x20\x7f\x{85}\x{a0}\x{2028}\x{2029}]+", "_")
+    head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("\n"))
     c = c.withColumn("head", head).withColumn("segment", F.concat("head", "body", F.lit("<|im_end|>\n")))
 
     keys = ["conv_id", "perspective"]
     sums = c.groupBy(*keys, "block").agg(F.sum(F.length("segment")).alias("long"), F.count("*").alias("turns"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("of"), F.col("perspective").alias("by"), F.col("block").alias("within"), F.coalesce(F.sum("long").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("first"))
-    c = c.join(sums, c.conv_id.eqNullSafe(sums.of) & (c.perspective == sums.by) & (c.block == sums.within))
+    c = c.join(sums, (c.conv_id == sums.of) & (c.perspective == sums.by) & (c.block == sums.within))
     inside = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "body")
     run = F.sum(F.length("segment")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = c.withColumn("seq", F.col("first") + F.row_number().over(inside)).withColumn("end_char", F.col("base") + run)
@@ -50,17 +54,17 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
 
 #: The same rows for DuckDB.
-SQL = """
+SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations WHERE conv_id IS NOT NULL),
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker <> 'system'),
 r AS (
   SELECT c.*, who.perspective,
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
-  FROM c JOIN who ON c.conv_id IS NOT DISTINCT FROM who.conv_id),
+  FROM c JOIN who ON c.conv_id = who.conv_id),
 h AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(replace(speaker, '<|', '< |'), '[\x00-\x20\x7f\x{85}\x{a0}\x{2028}\x{2029}]+', '_', 'g') ELSE '' END || chr(10) AS head FROM r),
 s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
 o AS (
   SELECT *, row_number() OVER w AS seq, CAST(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS end_char

@@ -8,8 +8,8 @@ bit-parallel edit distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, stash
 
 #: One edit for so many characters of the item.
 CHARS_AN_EDIT = 16
-#: Items shorter than this, in normal form, match nothing: so short a string is no evidence.
-MIN_CHARS = 24
+#: Items with fewer characters in normal form allow no edit and match at word borders only, for a few letters lie in many words.
+WHOLE_WORDS = 24
 #: Bytes of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
 
@@ -60,11 +60,16 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def _inside_word(text: str, start: int, end: int) -> bool:
+    """Whether a letter or digit goes on across either end of text[start:end]."""
+    return start > 0 and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+
+
 class Items:
     """A block of benchmark items and the automaton of their pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, x, len(x) // CHARS_AN_EDIT) for i, x in items if len(x) >= MIN_CHARS]
+        self.items = [(i, x, 0 if len(x) < WHOLE_WORDS else len(x) // CHARS_AN_EDIT) for i, x in items if x]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, x, k) in enumerate(self.items):
             cuts = [len(x) * j // (k + 1) for j in range(k + 2)]
@@ -82,21 +87,43 @@ class Items:
         if not self.items:
             return found
         text = normal(text)
-        tried: set[tuple[int, int]] = set()
+        hits: dict[int, set[int]] = {}  # where an item would begin, by its pieces
         for end, (length, places) in self.pieces.iter(text):
             for n, offset in places:
-                item, x, k = self.items[n]
-                start = end + 1 - length - offset
-                if found.get(item) == 0 or (n, start) in tried:
-                    continue
-                tried.add((n, start))
-                if start >= 0 and text.startswith(x, start):
-                    found[item] = 0
-                elif k and (hit := myers(x, text[max(0, start - k) : start + len(x) + k], k)):
-                    found[item] = min(hit[0], found.get(item, k))
+                hits.setdefault(n, set()).add(end + 1 - length - offset)
+        for n, starts in hits.items():
+            item, x, k = self.items[n]
+            whole = (s for s in starts if s >= 0 and text.startswith(x, s))
+            if any(len(x) >= WHOLE_WORDS or not _inside_word(text, s, s + len(x)) for s in whole):
+                found[item] = 0
+            elif k and found.get(item) != 0:
+                for a, b in _merged((s - k, s + len(x) + k) for s in sorted(starts)):
+                    if hit := myers(x, text[max(0, a) : b], found.get(item, k)):
+                        found[item] = hit[0]
         return found
 
 
+def _merged(windows: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Sorted windows with those that overlap made one, so that no text is verified twice for an item."""
+    begun = None
+    for a, b in windows:
+        if begun is None:
+            begun, last = a, b
+        elif a <= last:
+            last = max(last, b)
+        else:
+            yield begun, last
+            begun, last = a, b
+    if begun is not None:
+        yield begun, last
+
+
+@lru_cache(maxsize=1)
+def _items(items: tuple[tuple[int, str], ...]) -> Items:
+    """The automaton of a block, built once for all tasks of a worker."""
+    return Items(list(items))
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of a bounded size; null ids and texts are left out, repeated rows count once."""
     rows = columns_of(benchmark, item_id="long", text="string").dropna().distinct()
@@ -110,31 +137,41 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits): one row for each document and item it holds with at most its error budget of edits.
 
-    Null texts hold nothing. Rows that repeat a doc_id report for themselves.
+    Null texts hold nothing, and null and blank items are in nothing. An item under
+    WHOLE_WORDS characters counts where it stands between word borders unedited.
+    Rows that repeat a doc_id report for themselves, and so do equal items.
     """
     docs = columns_of(docs, doc_id="long", text="string")
 
     def over(items: list[tuple[int, str]]):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(items)
+            known = _items(tuple(items))
             for batch in batches:
                 rows = [(d, i, e) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if x for i, e in sorted(known.find(x).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "edits"])
 
         return docs.mapInArrow(each, "doc_id long, item_id long, edits int")
 
-    return reduce(DataFrame.unionByName, [over(x) for x in blocks(benchmark, block_bytes)])
+    # of several blocks only one at a time is held by the driver and its tasks
+    out: list[DataFrame] = []
+    for items in blocks(benchmark, block_bytes):
+        if out:
+            out[-1] = stash(out[-1], "decontaminate-hits")
+        out.append(over(items))
+    return reduce(DataFrame.unionByName, out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item; no shuffle."""
+    first = True
     for items in blocks(benchmark, block_bytes):
 
         def each(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            known = Items(items)
+            known = _items(tuple(items))
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
                 yield batch.filter(pa.array(np.array([not (x and known.find(x)) for x in texts], bool)))
 
-        docs = docs.mapInArrow(each, docs.schema)
+        docs = docs if first else stash(docs, "decontaminate-left")
+        docs, first = docs.mapInArrow(each, docs.schema), False
     return docs

@@ -10,7 +10,6 @@ and the hyperbolic tangent.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, raw_texts
 
-#: Training takes at most so many documents of a language (the lowest by hash) and so many bytes of each.
-DOCS_A_LANG, BYTES_A_DOC = 300, 1024
-#: Languages that can be learned: the most frequent ones by training rows.
-LANGS = 64
+#: Training takes at most so many documents of a language (the lowest by hash), so many of all, and so many bytes of each.
+DOCS_A_LANG, DOCS, BYTES_A_DOC = 300, 20_000, 1024
 HIDDEN, PIECE, BATCH, STEPS, SEED = 8, 64, 192, 160, 11
 _LANES = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether text has a letter of any script; digits, fractions and numerals of any kind are none."""
+    return any(map(str.isalpha, text))
 
 
 class Net:
@@ -155,18 +156,21 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame) -> Net:
     """Learns from text and non-null lang of documents that aren't held out, a bounded sample of each language.
 
-    Where no language is labelled the net has none, and every text is und.
+    Every lang value that occurs is learned; where there are many, each has fewer
+    documents (one at least). Where no language is labelled the net has none, and
+    every text is und.
     """
     d = columns_of(docs, doc_id="long", text="string", lang="string").dropna().where(~held_out() & (F.length("text") > 0))
-    known = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    known = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not known:
         return Net([])
-    # a cut by hash for each language keeps what moves near DOCS_A_LANG rows of it
-    cut = F.create_map(*[F.lit(x) for r in known for x in (r.lang, int((1.2 * DOCS_A_LANG + 200) / r.n * (1 << 30)) + 1)])
+    each = max(1, min(DOCS_A_LANG, DOCS // len(known)))
+    # a cut by hash for each language keeps what moves near so many rows of it
+    cut = F.create_map(*[F.lit(x) for r in known for x in (r.lang, int((1.2 * each + 200) / r.n * (1 << 30)) + 1)])
     d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")])
     # a window of each text, from a place that its hash gives
     start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - BYTES_A_DOC + 1, F.lit(1))).cast("int")
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))).where(F.col("rank") <= DOCS_A_LANG)
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))).where(F.col("rank") <= each)
     rows = d.select("lang", "rank", F.substring("text", start + 1, F.lit(BYTES_A_DOC)).alias("text")).orderBy("rank", "lang").collect()
     langs = sorted({r.lang for r in rows})
     net = Net(langs)
@@ -177,13 +181,14 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score.
 
     lang_pred is und, with score 0, if the text is null or has no letter, or
-    if no language was learned.
+    if no language was learned. Of languages as probable as each other the first
+    by name is taken. Rows that repeat each other are predicted each.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = list(raw_texts(batch.column("text")))
-            lettered = [k for k, x in enumerate(raw) if x and net.langs and _LETTER.search(x.decode("utf-8", "replace"))]
+            lettered = [k for k, x in enumerate(raw) if x and net.langs and has_letter(x.decode("utf-8", "replace"))]
             names, scores = ["und"] * len(raw), np.zeros(len(raw))
             if lettered:
                 p = net.pooled([raw[k] for k in lettered])

@@ -5,7 +5,9 @@ a chance in proportion to size, their quantiles become splitters, and records
 are range-partitioned by them; a range that came out overfull is cut again by
 key. Exact sums of these ranges then put every record at its place in the
 global order of bytes, and a shard is an equal share of that order. Equal texts
-are neighbours in it; a group larger than a shard runs on into the next.
+are neighbours in it: a group of them that a boundary would cut goes whole to
+the side of its middle, unless it is more than WHOLE of a shard; a larger one is
+cut, so that sizes stay near equal.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from .common import columns_of, stash
 
 SHARDS = 24
-#: Bytes of text for each range, and the most ranges; keys drawn for each range.
+#: Bytes of text for each range, and the most ranges (a range holds some 40 bytes for each of its documents, no text); keys
+#: drawn for each range.
 RANGE_BYTES, MOST_RANGES, DRAWS = 16_000_000, 4096, 16
+#: The share of a shard up to which a group of equal texts is kept in one.
+WHOLE = 1 / 64
 
 
 def records(docs: DataFrame) -> DataFrame:
@@ -63,18 +68,24 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumn("sub", F.coalesce(sub, F.lit(0)).cast("int")).drop("held", "low", "high", "parts")
 
     # at most MOST_RANGES ranges and as many parts: a table of bounded size
-    cells = rows.groupBy("rng", "sub").agg(F.sum("size").alias("held"))
+    cells = rows.groupBy("rng", "sub").agg(F.sum("size").alias("held"), F.count("*").alias("n"))
     before = Window.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("rng", "sub", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    cells = cells.select("rng", "sub", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("rng", "sub").orderBy("key", "th", "doc_id")
     rows = rows.join(F.broadcast(cells), ["rng", "sub"]).withColumn("upto", F.col("base") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("rank", F.col("first") + F.row_number().over(within))
     # the middle of a record decides
-    middle = 2 * F.col("upto") - F.col("size")
-    rows = rows.withColumn("shard", F.least(F.floor(middle * shards / F.lit(2.0 * max(total, 1))), F.lit(shards - 1)).cast("int"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("rng", "sub", "shard").orderBy("key", "th", "doc_id")))
-    rows = stash(rows.select("doc_id", "size", "text_crc32", "rng", "sub", "shard", "nth"), "shard-rows")
-    counts = rows.groupBy("shard", "rng", "sub").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "rng", "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    out = rows.join(F.broadcast(counts), ["shard", "rng", "sub"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    of_middle = lambda twice: F.least(F.floor(twice * shards / F.lit(2.0 * max(total, 1))), F.lit(shards - 1)).cast("int")
+    rows = rows.withColumn("shard", of_middle(2 * F.col("upto") - F.col("size")))
+    rows = stash(rows.select("doc_id", "size", "text_crc32", "upto", "rank", "shard"), "shard-rows")
+
+    # groups that a boundary cuts, at most one for each: those small enough go by their own middle
+    ends = rows.groupBy("shard").agg(F.min(F.struct("rank", "text_crc32")).alias("a"), F.max(F.struct("rank", "text_crc32")).alias("b")).orderBy("shard").collect()
+    cut = [x.b.text_crc32 for x, y in zip(ends, ends[1:]) if x.b.text_crc32 == y.a.text_crc32]
+    if cut:
+        groups = rows.where(F.col("text_crc32").isin(cut)).groupBy("text_crc32").agg(F.sum("size").alias("held"), F.min(F.col("upto") - F.col("size")).alias("low"), F.max("upto").alias("high"))
+        groups = groups.where(F.col("held") <= WHOLE * total / shards).select("text_crc32", of_middle(F.col("low") + F.col("high")).alias("to"))
+        rows = rows.join(F.broadcast(groups), "text_crc32", "left").withColumn("shard", F.coalesce("to", "shard"))
+    first = rows.groupBy("shard").agg(F.min("rank").alias("least"))
+    out = rows.join(F.broadcast(first), "shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("least")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
