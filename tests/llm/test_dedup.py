@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from samples import prose
@@ -57,16 +58,36 @@ def test_passages_of_odd_rows(odd, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 2, 3])
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
 def test_neighbours_across_batches(size):
-    """Runs of equal keys that end, begin or lie anywhere at a batch's border."""
+    """Runs of equal keys and contexts that end, begin or lie anywhere at a batch's border."""
     rng = np.random.RandomState(size)
-    for _ in range(50):
-        keys = np.repeat(np.arange(12), rng.randint(1, 5, 12))
-        rows = suffix_dedup._rows([keys], list(range(len(keys))), [keys], [np.arange(len(keys), dtype=np.int32)])
-        kept = [x for b in suffix_dedup._met(rows.slice(k, size) for k in range(0, len(keys), size)) for x in b.column("at").to_pylist()]
-        run = np.bincount(keys)[keys]
-        assert kept == [k for k in range(len(keys)) if run[k] > 1 or keys[k] == keys[0] or k == len(keys) - 1]
+    for _ in range(80):
+        keys = np.repeat(np.arange(8), rng.randint(1, 6, 8))
+        exts = np.concatenate([np.sort(rng.randint(0, 3, (keys == k).sum())) for k in range(8)])
+        n = len(keys)
+        ids = [None if x == 9 else x for x in rng.randint(0, 10, n).tolist()]
+        classes = list(zip(keys.tolist(), exts.tolist()))
+        for c in set(classes):  # within a class by id, null last
+            at = [k for k in range(n) if classes[k] == c]
+            for k, x in zip(at, sorted((ids[k] for k in at), key=lambda x: (x is None, x))):
+                ids[k] = x
+        rows = pa.RecordBatch.from_pydict({"key": keys, "ext": exts.astype(np.int64), "doc_id": pa.array(ids, pa.int64()), "mark": np.arange(n), "at": np.arange(n, dtype=np.int32), "size": np.full(n, 99, np.int32)})
+        got = [r for b in suffix_dedup._compared(rows.slice(k, size) for k in range(0, n, size)) for r in b.to_pylist()]
+        whole = {r["at"]: r for r in got if r["whole"]}
+        assert len(whole) == sum(r["whole"] for r in got) and set(whole) == {k for k in range(n) if classes.count(classes[k]) > 1}
+        assert all(r["first"] == ids[classes.index(classes[k])] for k, r in whole.items())
+        edges = {classes[0], classes[-1]}
+        assert all((r["key"], r["ext"]) == classes[k] for k, r in whole.items() if classes[k] in edges)
+        other = lambda k, j: 0 <= j < n and keys[j] == keys[k] and exts[j] != exts[k]
+        assert [r["at"] for r in got if not r["whole"]] == [k for k in range(n) if k in (0, n - 1) or other(k, k - 1) or other(k, k + 1)]
+
+
+def test_a_class_that_partitions_share_has_its_least_id(spark):
+    shared, more = prose(400, 61), prose(30, 62)
+    docs = [(k, f"{shared}") for k in range(300, 0, -1)] + [(None, shared), (0, f"{prose(45, 63)} {shared} {more}")]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(9))
+    assert {r.first_doc_id for r in got.collect()} == {0} and spans(got) == repeats(docs)
 
 
 def test_windows_are_hashes_of_runs():

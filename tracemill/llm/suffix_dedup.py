@@ -5,13 +5,18 @@ of GRAM words within SPAN neighbouring grams. Any passage of PASSAGE words
 holds such a position within its first SPAN grams, the same in every copy, and
 at least REACH words of the passage follow it. So:
 
-1. each retained suffix is represented by the hash of its first REACH words;
-2. suffixes are range-sorted by it and compared with their neighbours; one that
-   differs from both has no partner anywhere and goes;
-3. those left are extended in their texts: left over the windows of PASSAGE
-   words that the position stands for, and right to the window's end. Equal
-   windows anywhere in the corpus are repeats; windows of a document that touch
-   are one span.
+1. each retained suffix is represented by the hash of its first REACH words and
+   the hash of all that a passage around it can hold (its context: SPAN - 1
+   words to the left, PASSAGE to the right, or to the text's ends);
+2. suffixes are range-sorted by both and compared with their neighbours. One
+   whose first words differ from both neighbours' has no partner and goes. One
+   whose context equals a neighbour's is extended over all of it, and needs its
+   text no more;
+3. those between others of the same first words but of another context, and one
+   of each class of equal contexts beside them, are extended in their texts word
+   by word: each passage of PASSAGE words around them, from the farthest left to
+   the farthest right, is compared across the corpus by 128 bits. Overlapping
+   and touching passages of a document are one span.
 
 Every step costs in proportion to the text, however large a group of copies is.
 """
@@ -26,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, raw_texts, stash
+from .common import columns_of, drop, raw_texts, stash
 
-PASSAGE, GRAM, SPAN = 50, 10, 20
+PASSAGE, GRAM, SPAN = 50, 10, 30
 REACH = PASSAGE - SPAN + 1
-_M = 0x9E3779B97F4A7C15
+_M, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Stands for words beyond a text's ends.
+_BEYOND = np.uint64(0xA0761D6478BD642F)
 
 
 class _Words:
@@ -49,9 +56,9 @@ class _Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _windows(hashes: np.ndarray, *lengths: int) -> list[np.ndarray]:
+def _windows(hashes: np.ndarray, *lengths: int, by: int = _M) -> list[np.ndarray]:
     """For each length the hash of every run of so many words, by doubling."""
-    doubled, factor = [hashes], [_M]
+    doubled, factor = [hashes], [by]
     while 2 << len(doubled) - 1 <= max(lengths):
         k = 1 << len(doubled) - 1
         last = doubled[-1]
@@ -93,61 +100,111 @@ def _marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank, least, retained[retained + REACH <= len(hashes)]
 
 
+class _Rows:
+    """Collects columns of int64 and int32 and gives them as batches of bounded size."""
+
+    def __init__(self, **kinds: type):
+        self.kinds, self.parts, self.n = kinds, {k: [] for k in kinds}, 0
+
+    def add(self, count: int, **columns) -> None:
+        for k, x in columns.items():
+            self.parts[k].append(pa.array(x.astype(self.kinds[k], copy=False)) if isinstance(x, np.ndarray) else pa.repeat(pa.scalar(x, pa.int64()), count))
+        self.n += count
+
+    def taken(self) -> pa.RecordBatch:
+        arrays = [pa.concat_arrays(p) if p else pa.array(np.zeros(0, self.kinds[k])) for k, p in self.parts.items()]
+        self.parts, self.n = {k: [] for k in self.kinds}, 0
+        return pa.RecordBatch.from_arrays(arrays, list(self.kinds))
+
+
+_SUFFIX = dict(key=np.int64, ext=np.int64, doc_id=np.int64, mark=np.int64, at=np.int32, size=np.int32)
+_SUFFIX_SQL = "key long, ext long, doc_id long, mark long, at int, size int"
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashed = _Words()
+    """size is the text's length in words."""
+    hashed, rows = _Words(), _Rows(**_SUFFIX)
+    left, right = np.full(SPAN - 1, _BEYOND), np.full(PASSAGE, _BEYOND)
     for batch in batches:
-        keys, ids, texts, places = [], [], [], []
         for doc, mark, raw in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), raw_texts(batch.column("text"))):
             words = (raw or b"").split()
             if len(words) < PASSAGE:
                 continue
             h = hashed(words)
             at = _marks(h)[2]
-            keys.append(_spread(_windows(h, REACH)[0])[at].view(np.int64))
-            places.append(at.astype(np.int32))
-            ids += [doc] * len(at)
-            texts.append(np.full(len(at), mark))
-            if sum(map(len, keys[-64:])) > 200_000 or len(ids) > 200_000:
-                yield _rows(keys, ids, texts, places)
-                keys, ids, texts, places = [], [], [], []
-        yield _rows(keys, ids, texts, places)
-
-
-def _rows(keys: list, ids: list, texts: list, places: list) -> pa.RecordBatch:
-    joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(joined(keys, np.int64)), pa.array(ids, pa.int64()), pa.array(joined(texts, np.int64)), pa.array(joined(places, np.int32))], ["key", "doc_id", "mark", "at"])
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, those equal to a neighbour. The first and last run of a
-    partition may have its equals in the next one, so it always stays."""
-    held: list[pa.RecordBatch] = []
-    first, met = None, False
+            context = _windows(np.concatenate([left, h, right]), SPAN - 1 + PASSAGE, by=_M2)[0]
+            rows.add(len(at), key=_spread(_windows(h, REACH)[0])[at].view(np.int64), ext=_spread(context)[at].view(np.int64), doc_id=doc, mark=mark, at=at, size=np.full(len(at), len(h)))
+            if rows.n > 200_000:
+                yield rows.taken()
+    yield rows.taken()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes and their neighbours: (doc_id, mark, at, size, whole, first, key, ext).
+
+    whole: the context equals a neighbour's, and first is the least id of these
+    in the partition; key and ext are given where the class may go on in another
+    partition (of the partition's first class and of each batch's last). Not whole: to be extended in the text. A partition's first and last
+    suffix may have their equals in the next one and are always to be extended.
+    A suffix may give a row of each sort.
+    """
+    held, before = None, None  # the last row, not given yet, and what is known of the one before it
+    opening = None  # the class that the partition begins with
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column("key").to_numpy()
-        first = keys[0] if first is None else first
-        if held:
-            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            keys = batch.column("key").to_numpy()
-        same = keys[1:] == keys[:-1]
-        stays = np.zeros(len(keys), bool)
-        stays[1:] |= same
-        stays[:-1] |= same
-        stays |= keys == first
-        stays[0] |= met  # the held row equalled the one before it
-        met = bool(stays[-1])
-        stays[-1] = False  # yielded with the next batch, which may hold its equals
-        yield batch.filter(pa.array(stays))
-        held = [batch.slice(batch.num_rows - 1)]
-    yield from held
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        key, ext = t.column("key").to_numpy(), t.column("ext").to_numpy()
+        n = len(key)
+        if opening is None:
+            opening = (key[0], ext[0])
+        # of each row: does the one before it have the same first words, the same context
+        near, same = np.zeros(n, bool), np.zeros(n, bool)
+        near[1:], same[1:] = key[1:] == key[:-1], (key[1:] == key[:-1]) & (ext[1:] == ext[:-1])
+        begins = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        ids = t.column("doc_id")
+        heads = ids.take(pa.array(begins))
+        if before is not None:
+            near[0], same[0], head, edge = before
+            if same[0]:  # its class began in an earlier batch
+                end = n if same[1:].all() else int(np.argmin(same[1:])) + 1
+                heads = pa.concat_arrays([pa.repeat(pa.scalar(head, pa.int64()), end), heads.slice(end)])
+        else:
+            edge = True
+        # the last row waits for the one that follows it
+        own = np.arange(n - 1)
+        whole = same[own] | same[own + 1]
+        beside = (near[own] & ~same[own]) | (near[own + 1] & ~same[own + 1])
+        if edge and n > 1:
+            beside[0] = True  # a partition's first row
+        yield from _told(t, heads, opening, np.flatnonzero(whole), np.flatnonzero(beside))
+        held, before = t.slice(n - 1), (near[n - 1], same[n - 1], heads[n - 1].as_py(), edge and n == 1)
+    if held is not None:
+        near, same, head, _ = before
+        closing = (held.column("key")[0].as_py(), held.column("ext")[0].as_py())
+        yield from _told(held, pa.array([head], pa.int64()), closing, np.flatnonzero([same]), np.zeros(1, int))
+
+
+def _told(t: pa.RecordBatch, heads: pa.Array, opening: tuple[int, int], whole: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = ("doc_id", "mark", "at", "size")
+    key, ext = t.column("key").to_numpy(), t.column("ext").to_numpy()
+    inner = ~((key == opening[0]) & (ext == opening[1]) | (key == key[-1]) & (ext == ext[-1]))
+    for rows, is_whole in ((whole, True), (beside, False)):
+        if len(rows):
+            at = pa.array(rows)
+            part = t.take(at)
+            none = pa.nulls(len(rows), pa.int64())
+            told = [heads.take(at), *[pa.array(x[rows], mask=inner[rows]) for x in (key, ext)]] if is_whole else [none] * 3
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(np.full(len(rows), is_whole)), *told], [*names, "whole", "first", "key", "ext"])
+
+
+_WINDOW = dict(k1=np.int64, k2=np.int64, doc_id=np.int64, mark=np.int64, at=np.int32)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashed = _Words()
+    """All passages for which one of the places is the minimiser, by two hashes."""
+    hashed, rows = _Words(), _Rows(**_WINDOW)
     for batch in batches:
-        keys, ids, texts, places = [], [], [], []
         for doc, mark, raw, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), raw_texts(batch.column("text")), batch.column("places").to_pylist()):
             h = hashed(raw.split())
             rank, least, retained = _marks(h)
@@ -157,25 +214,25 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while len(off := np.flatnonzero(rank[retained[k]] != need)):
                 k[off] += 1  # the leftmost minimum of the window
             chosen = starts[np.isin(retained[k], wanted)]
-            keys.append(_spread(_windows(h, PASSAGE)[0])[chosen].view(np.int64))
-            places.append(chosen.astype(np.int32))
-            ids += [doc] * len(chosen)
-            texts.append(np.full(len(chosen), mark))
-            if len(ids) > 200_000:
-                yield _rows(keys, ids, texts, places)
-                keys, ids, texts, places = [], [], [], []
-        yield _rows(keys, ids, texts, places)
+            k1, k2 = (_spread(_windows(h, PASSAGE, by=m)[0])[chosen].view(np.int64) for m in (_M, _M2))
+            rows.add(len(chosen), k1=k1, k2=k2, doc_id=doc, mark=mark, at=chosen)
+            if rows.n > 200_000:
+                yield rows.taken()
+    yield rows.taken()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, covered = [], []
-        for places in batch.column("places").to_pylist():
-            at = np.unique(places)
-            cut = np.flatnonzero(np.diff(at) > PASSAGE)
-            a, b = at[[0, *(cut + 1)]], at[[*cut, -1]] + PASSAGE
-            spans.append(",".join(f"{x}:{y}" for x, y in zip(a, b)))
-            covered.append(int((b - a).sum()))
+        for parts in batch.column("parts").to_pylist():
+            joined: list[list[int]] = []
+            for p in sorted((p["a"], p["b"]) for p in parts):
+                if joined and p[0] <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], p[1])
+                else:
+                    joined.append(list(p))
+            spans.append(",".join(f"{x}:{y}" for x, y in joined))
+            covered.append(sum(y - x for x, y in joined))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("first_doc_id"), pa.array([x.count(",") + 1 for x in spans], pa.int32()), pa.array(covered, pa.int64()), pa.array(spans, pa.string())], ["doc_id", "first_doc_id", "n_spans", "n_words", "spans"])
 
 
@@ -190,14 +247,29 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     have no rows; rows that repeat doc_id and text give one row.
     """
     docs = columns_of(docs, doc_id="long", text="string").where("text is not null").withColumn("mark", F.xxhash64("text"))
-    kind = "key long, doc_id long, mark long, at int"
-    suffixes = stash(docs.mapInArrow(_suffixes, kind), "suffixes")
-    ordered = suffixes.repartitionByRange("key", "doc_id", "at").sortWithinPartitions("key")
-    places = ordered.mapInArrow(_met, kind).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
+    suffixes = stash(docs.mapInArrow(_suffixes, _SUFFIX_SQL), "suffixes")
+    order = ["key", "ext", F.col("doc_id").asc_nulls_last(), "at"]
+    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    told = stash(ordered.mapInArrow(_compared, "doc_id long, mark long, at int, size int, whole boolean, first long, key long, ext long"), "suffix-neighbours")
+    drop(suffixes)
+
+    # extended over the whole context; a class that partitions may share has its least id from all of them (a few classes for
+    # each partition and batch, and Spark joins them as their size allows)
+    whole = told.where("whole")
+    least = whole.where("key is not null").groupBy("key", "ext").agg(F.min("first").alias("least"))
+    inner = whole.where("key is null").withColumn("least", F.lit(None).cast("long"))
+    whole = inner.unionByName(whole.where("key is not null").join(least, ["key", "ext"])).withColumn("first", F.coalesce("least", "first"))
+    part = F.struct(F.greatest(F.col("at") - (SPAN - 1), F.lit(0)).alias("a"), F.least(F.col("at") + PASSAGE, F.col("size")).alias("b"))
+    whole = whole.select("doc_id", "mark", "first", part.alias("part"))
+
+    # extended in the text
+    places = told.where("not whole").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
     a, b = docs.alias("a"), places.alias("b")
     left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))).select("a.doc_id", "a.mark", "a.text", "b.places")
-    windows = stash(left.mapInArrow(_extended, kind), "suffix-windows")
+    windows = stash(left.mapInArrow(_extended, "k1 long, k2 long, doc_id long, mark long, at int"), "suffix-windows")
     # a table of its own: both sides of the join are then plain exchanges, and Spark can split a hot key
-    twice = stash(windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "suffix-repeats")
-    found = windows.join(twice, "key").groupBy("doc_id", "mark").agg(F.min("first").alias("first_doc_id"), F.collect_set("at").alias("places"))
+    twice = stash(windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "suffix-repeats")
+    part = F.struct(F.col("at").alias("a"), (F.col("at") + PASSAGE).alias("b"))
+    some = windows.join(twice, ["k1", "k2"]).select("doc_id", "mark", "first", part.alias("part"))
+    found = whole.unionByName(some).groupBy("doc_id", "mark").agg(F.min("first").alias("first_doc_id"), F.collect_set("part").alias("parts"))
     return found.drop("mark").mapInArrow(_merged, "doc_id long, first_doc_id long, n_spans int, n_words long, spans string")
