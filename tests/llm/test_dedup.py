@@ -74,13 +74,13 @@ def test_neighbours_across_batches(size):
                 ids[k] = x
         rows = pa.RecordBatch.from_pydict({"key": keys, "ext": exts.astype(np.int64), "doc_id": pa.array(ids, pa.int64()), "mark": np.arange(n), "at": np.arange(n, dtype=np.int32), "size": np.full(n, 99, np.int32)})
         got = [r for b in suffix_dedup._compared(rows.slice(k, size) for k in range(0, n, size)) for r in b.to_pylist()]
-        whole = {r["at"]: r for r in got if r["whole"]}
-        assert len(whole) == sum(r["whole"] for r in got) and set(whole) == {k for k in range(n) if classes.count(classes[k]) > 1}
+        whole = {r["at"]: r for r in got if r["sort"] == suffix_dedup.WHOLE}
+        assert len(whole) == sum(r["sort"] == suffix_dedup.WHOLE for r in got) and set(whole) == {k for k in range(n) if classes.count(classes[k]) > 1}
         assert all(r["first"] == ids[classes.index(classes[k])] for k, r in whole.items())
-        edges = {classes[0], classes[-1]}
-        assert all((r["key"], r["ext"]) == classes[k] for k, r in whole.items() if classes[k] in edges)
+        assert all((r["key"], r["ext"]) == (classes[0] if classes[k] == classes[0] else (None, None)) for k, r in whole.items())
+        assert [(r["key"], r["ext"], r["first"]) for r in got if r["sort"] == suffix_dedup.LAST] == [(*classes[-1], ids[classes.index(classes[-1])])]
         other = lambda k, j: 0 <= j < n and keys[j] == keys[k] and exts[j] != exts[k]
-        assert [r["at"] for r in got if not r["whole"]] == [k for k in range(n) if k in (0, n - 1) or other(k, k - 1) or other(k, k + 1)]
+        assert [r["at"] for r in got if r["sort"] == suffix_dedup.BESIDE] == [k for k in range(n) if k in (0, n - 1) or other(k, k - 1) or other(k, k + 1)]
 
 
 def test_a_class_that_partitions_share_has_its_least_id(spark):

@@ -36,6 +36,8 @@ from .common import columns_of, drop, raw_texts, stash
 PASSAGE, GRAM, SPAN = 50, 10, 30
 REACH = PASSAGE - SPAN + 1
 _M, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Of the bitmap that tells which texts are read again (4 MB).
+BITS = 1 << 25
 #: Stands for words beyond a text's ends.
 _BEYOND = np.uint64(0xA0761D6478BD642F)
 
@@ -139,14 +141,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows.taken()
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes and their neighbours: (doc_id, mark, at, size, whole, first, key, ext).
+WHOLE, BESIDE, LAST = range(3)
+
 
-    whole: the context equals a neighbour's, and first is the least id of these
-    in the partition; key and ext are given where the class may go on in another
-    partition (of the partition's first class and of each batch's last). Not whole: to be extended in the text. A partition's first and last
-    suffix may have their equals in the next one and are always to be extended.
-    A suffix may give a row of each sort.
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes and their neighbours: (doc_id, mark, at, size, sort, first, key, ext).
+
+    WHOLE: the context equals a neighbour's; first is the least id of the class in
+    this partition. That is the least of all, for a class is in order of ids,
+    unless it is the partition's first and goes on from another: then key and ext
+    are given. LAST: key and ext of the partition's last class and its first; one
+    row. BESIDE: to be extended in the text. A partition's first and last suffix
+    may have their equals in the next one and always are. A suffix may give a row
+    of each sort.
     """
     held, before = None, None  # the last row, not given yet, and what is known of the one before it
     opening = None  # the class that the partition begins with
@@ -181,21 +188,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = t.slice(n - 1), (near[n - 1], same[n - 1], heads[n - 1].as_py(), edge and n == 1)
     if held is not None:
         near, same, head, _ = before
-        closing = (held.column("key")[0].as_py(), held.column("ext")[0].as_py())
-        yield from _told(held, pa.array([head], pa.int64()), closing, np.flatnonzero([same]), np.zeros(1, int))
+        yield from _told(held, pa.array([head], pa.int64()), opening, np.flatnonzero([same]), np.zeros(1, int), last=True)
 
 
-def _told(t: pa.RecordBatch, heads: pa.Array, opening: tuple[int, int], whole: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names = ("doc_id", "mark", "at", "size")
+def _told(t: pa.RecordBatch, heads: pa.Array, opening: tuple[int, int], whole: np.ndarray, beside: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
     key, ext = t.column("key").to_numpy(), t.column("ext").to_numpy()
-    inner = ~((key == opening[0]) & (ext == opening[1]) | (key == key[-1]) & (ext == ext[-1]))
-    for rows, is_whole in ((whole, True), (beside, False)):
+    inner = ~((key == opening[0]) & (ext == opening[1]))
+    for rows, sort in ((whole, WHOLE), (beside, BESIDE), (np.zeros(int(last), int), LAST)):
         if len(rows):
             at = pa.array(rows)
-            part = t.take(at)
-            none = pa.nulls(len(rows), pa.int64())
-            told = [heads.take(at), *[pa.array(x[rows], mask=inner[rows]) for x in (key, ext)]] if is_whole else [none] * 3
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(np.full(len(rows), is_whole)), *told], [*names, "whole", "first", "key", "ext"])
+            hidden = {WHOLE: inner[rows], BESIDE: np.ones(len(rows), bool), LAST: np.zeros(len(rows), bool)}[sort]
+            told = [*[t.column(c).take(at) for c in ("doc_id", "mark", "at", "size")], pa.array(np.full(len(rows), sort, np.int8)), heads.take(at), *[pa.array(x[rows], mask=hidden) for x in (key, ext)]]
+            yield pa.RecordBatch.from_arrays(told, ["doc_id", "mark", "at", "size", "sort", "first", "key", "ext"])
 
 
 _WINDOW = dict(k1=np.int64, k2=np.int64, doc_id=np.int64, mark=np.int64, at=np.int32)
@@ -236,6 +240,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("first_doc_id"), pa.array([x.count(",") + 1 for x in spans], pa.int32()), pa.array(covered, pa.int64()), pa.array(spans, pa.string())], ["doc_id", "first_doc_id", "n_spans", "n_words", "spans"])
 
 
+def _asked(docs: DataFrame, beside: DataFrame) -> DataFrame:
+    """docs without most of those that no mark asks for, before their texts move: a bitmap of BITS bits, whatever the size.
+
+    The more of it is set, the fewer it holds back; the join that follows decides.
+    """
+    slot = F.pmod("mark", F.lit(BITS)) + 1
+    bitmaps = beside.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    d = docs.withColumn("bit", F.bitmap_bit_position(slot)).join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("bucket"))
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return d.where(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) & 1 = 1")).select(*docs.columns)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each document with passages of PASSAGE words or more that occur elsewhere too.
 
@@ -250,21 +266,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     suffixes = stash(docs.mapInArrow(_suffixes, _SUFFIX_SQL), "suffixes")
     order = ["key", "ext", F.col("doc_id").asc_nulls_last(), "at"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    told = stash(ordered.mapInArrow(_compared, "doc_id long, mark long, at int, size int, whole boolean, first long, key long, ext long"), "suffix-neighbours")
+    told = stash(ordered.mapInArrow(_compared, "doc_id long, mark long, at int, size int, sort byte, first long, key long, ext long"), "suffix-neighbours")
     drop(suffixes)
 
-    # extended over the whole context; a class that partitions may share has its least id from all of them (a few classes for
-    # each partition and batch, and Spark joins them as their size allows)
-    whole = told.where("whole")
-    least = whole.where("key is not null").groupBy("key", "ext").agg(F.min("first").alias("least"))
-    inner = whole.where("key is null").withColumn("least", F.lit(None).cast("long"))
-    whole = inner.unionByName(whole.where("key is not null").join(least, ["key", "ext"])).withColumn("first", F.coalesce("least", "first"))
+    # extended over the whole context; a class that began in an earlier partition has its least id from there (a row for each
+    # partition, so that the table is bounded)
+    least = told.where(F.col("sort") == LAST).groupBy("key", "ext").agg(F.min("first").alias("least"))
+    whole = told.where(F.col("sort") == WHOLE).join(F.broadcast(least), ["key", "ext"], "left").withColumn("first", F.coalesce("least", "first"))
     part = F.struct(F.greatest(F.col("at") - (SPAN - 1), F.lit(0)).alias("a"), F.least(F.col("at") + PASSAGE, F.col("size")).alias("b"))
     whole = whole.select("doc_id", "mark", "first", part.alias("part"))
 
     # extended in the text
-    places = told.where("not whole").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
-    a, b = docs.alias("a"), places.alias("b")
+    beside = told.where(F.col("sort") == BESIDE)
+    places = beside.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
+    a, b = _asked(docs, beside).alias("a"), places.alias("b")
     left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))).select("a.doc_id", "a.mark", "a.text", "b.places")
     windows = stash(left.mapInArrow(_extended, "k1 long, k2 long, doc_id long, mark long, at int"), "suffix-windows")
     # a table of its own: both sides of the join are then plain exchanges, and Spark can split a hot key
