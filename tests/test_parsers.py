@@ -259,6 +259,9 @@ def test_units_and_asking(spark, files):
     lines = lines_of(files)
     assert line_parsers.units(lines_of(one(files, "h.log")), "plain_text").count() == 2
     assert line_parsers.units(lines_of(one(files, "h.log")), "syslog").count() == 5
+    mixed = lines_of(one(files, "h.log")).select(F.lit("a").alias("file_id"), "filename", "line_no", "line").unionByName(lines_of(one(files, "h.log")).select(F.lit("b").alias("file_id"), "filename", "line_no", "line"))
+    by = line_parsers.units(mixed, files.sparkSession.createDataFrame([("a", "syslog"), ("b", "plain_text")], "file_id string, format string"))
+    assert {r.file_id: r["count"] for r in by.groupBy("file_id").count().collect()} == {"a": 5, "b": 2}
     assert line_parsers.file_units(lines).where("file_id = '8'").first().end_line == 6
     u = structured.with_xml_fields(line_parsers.extract_fields(line_parsers.file_units(lines_of(one(files, "b.xml"))))).first()
     assert u.confidence in (0.8, 0.9)
@@ -287,3 +290,38 @@ def test_delimited_without_header_is_as_wide_as_its_widest_line(spark):
     rows = sorted(structured.delimited(lines_of(f)).collect(), key=lambda r: r.row_no)
     assert [rows[12].fields[f"column_{k}"] for k in (1, 2, 3, 4)] == ["3", "4", "5", "6"]
     assert len(rows) == 13 and rows[0].fields["column_4"] == ""
+
+
+def test_unified_reads_each_file_by_its_format(spark):
+    """Elements become fields, blocks stay together, lines of line formats are records of their own, brackets go."""
+    rows = [("x", "odd.xml", "<event><id>7</id><kind>open</kind></event>\nnot an element\n<event><id>8</id><kind>shut</kind></event>"), ("b", "trace.txt", "something failed\n    at the first frame\n    at the second\nnext one")]
+    files = spark.createDataFrame(rows, "file_id string, filename string, content string")
+    got = {}
+    for r in engine._unified(files, lines_of(files)).collect():
+        got.setdefault(r.file_id, []).append(r)
+    assert {r.fields.get("id") for r in got["x"]} >= {"7", "8"} and {r.fields["kind"] for r in got["x"] if "kind" in r.fields} == {"open", "shut"}
+    assert len(got["b"]) == 2 and "second" in min(got["b"], key=lambda r: r.row_no).fields["raw"]
+    assert all({"message", "log_level", "source", "parse_confidence"} <= set(r.fields) for x in got.values() for r in x)
+
+
+def test_readable_decodes_binary_files(spark):
+    import zlib
+
+    raw = [("t", "a.log", "plain text, ünd more".encode()), ("z", "a.bin", zlib.compress(b"level=error code=7 " * 30)), ("n", "noise.log", bytes(range(256)) * 4 + b"visible=1")]
+    got = {r.file_id: r.content for r in engine.readable(spark.createDataFrame(raw, "file_id string, filename string, bytes binary")).collect()}
+    assert got["t"] == "plain text, ünd more" and got["z"].startswith("level=error code=7") and "visible=1" in got["n"] and len(got) == 3
+
+
+def test_evolve_follows_long_chains(spark):
+    """Thirty templates, each similar to the next only, are one group."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(f"t{k:02d}", " ".join(words[k : k + 30]), 1 + (k == 17), k, k, ["x"]) for k in range(30)]
+    t = spark.createDataFrame(rows, "template_id string, skeleton string, count long, first_seen long, last_seen long, examples array<string>")
+    (r,) = templates.evolve(t, 0.9).collect()
+    assert (r.template_id, r["count"], r.n_merged, r.first_seen, r.last_seen) == ("t17", 31, 30, 0, 29)
+
+
+def test_header_check_takes_the_first_row(spark):
+    t = spark.createDataFrame([("f", 2, "a", "b"), ("f", 1, "x", "y"), ("f", 3, "1", "2")], "file_id string, row_no long, x string, y string").repartition(3)
+    assert "Detected header row emitted as data." in quality.evaluate("t", t, ["x", "y"]).warnings
+    assert "Detected header row emitted as data." not in quality.evaluate("t", t.where("row_no > 1"), ["x", "y"]).warnings

@@ -140,6 +140,14 @@ def severity_name(code: Column) -> Column:
 # -- values ------------------------------------------------------------------
 
 
+def value_kind(c: Column) -> Column:
+    """The kind that coerce() gives, without its value."""
+    t = F.trim(c)
+    low = F.lower(t)
+    number, real = t.rlike(r"^[+-]?\d+(?:\.\d+)?[|,;:)\]}]*$"), t.rlike(r"^[+-]?\d+\.\d+[|,;:)\]}]*$")
+    return F.when(c.isNull() | low.isin(*P.NULL_WORDS), "null").when(t == "", "text").when(low.isin("true", "false"), "boolean").when(low.isin(*P.STATUS_WORDS), "text").when(real, "real").when(number, "integer").otherwise("text")
+
+
 def coerce(c: Column) -> Column:
     """struct(kind, value): the type a text stands for (null, boolean, integer, real, text) and its normal text.
 
@@ -148,9 +156,8 @@ def coerce(c: Column) -> Column:
     t = F.trim(c)
     low = F.lower(t)
     bare = F.regexp_replace(t, r"[|,;:)\]}]+$", "")
-    number, real = t.rlike(r"^[+-]?\d+(?:\.\d+)?[|,;:)\]}]*$"), t.rlike(r"^[+-]?\d+\.\d+[|,;:)\]}]*$")
     stamp = F.when(t.rlike("^" + P.ISO_TIMESTAMP), iso_timestamp(t))
-    kind = F.when(c.isNull() | low.isin(*P.NULL_WORDS), "null").when(t == "", "text").when(low.isin("true", "false"), "boolean").when(low.isin(*P.STATUS_WORDS), "text").when(real, "real").when(number, "integer").otherwise("text")
+    kind = value_kind(c)
     whole = F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
     value = F.when(kind == "null", F.lit(None)).when(kind == "boolean", low).when(low.isin(*P.STATUS_WORDS), F.replace(F.upper(t), F.lit("WARNING"), F.lit("WARN"))).when(kind == "integer", whole).when(kind == "real", bare).otherwise(F.coalesce(stamp, t))
     return F.struct(kind.alias("kind"), value.alias("value"))

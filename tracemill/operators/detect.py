@@ -229,7 +229,9 @@ def classify(files: DataFrame, lines: DataFrame, cache: DataFrame | None = None,
     conf = F.when(nothing, 0.0).when(sure, F.col("confidence")).otherwise(F.coalesce("service.score", F.lit(0.3)))
     d = d.withColumn("detected_format", fmt).withColumn("format_confidence", F.bround(F.least(conf, F.lit(1.0)), 2))
     if cache is not None:
-        known = cache.select("fingerprint", F.col("detected_format").alias("k_format"), F.col("format_confidence").alias("k_conf")).where(F.col("k_conf") >= threshold).dropDuplicates(["fingerprint"])
+        # of several entries the surest decides, of equals always the same
+        best = F.max_by(F.struct(F.col("detected_format").alias("k_format"), F.col("format_confidence").alias("k_conf")), F.struct("format_confidence", F.col("detected_format") == "plain_text", F.hash("detected_format")))
+        known = cache.where(F.col("format_confidence") >= threshold).groupBy("fingerprint").agg(best.alias("k")).select("fingerprint", "k.*")
         d = d.join(known, "fingerprint", "left").withColumn("detected_format", F.coalesce("k_format", "detected_format")).withColumn("format_confidence", F.coalesce("k_conf", "format_confidence"))
     extension = F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1))
     by_name = F.coalesce(*[F.when(extension == k, F.lit(v)) for k, v in EXTENSIONS.items()])

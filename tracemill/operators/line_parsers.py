@@ -74,7 +74,8 @@ def last_wins(entries: Column) -> Column:
 
 
 def _key_values(lines: DataFrame, pattern: str) -> DataFrame:
-    d = _stripped(lines).withColumn("fields", pairs(F.col("line"), pattern)).where(F.size("fields") > 0)
+    # the pattern itself tells whether there is a pair, so that nothing builds maps that nobody reads
+    d = _stripped(lines).where(F.col("line").rlike(pattern)).withColumn("fields", pairs(F.col("line"), pattern))
     return d.select(*_KEYS, *_tail(F.col("line")), S.infer_level(F.col("line")).alias("log_level"), "fields")
 
 
@@ -174,11 +175,22 @@ def line_units(lines: DataFrame) -> DataFrame:
     return _stripped(lines).select("file_id", "filename", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("line").alias("raw"))
 
 
-def units(lines: DataFrame, fmt: str) -> DataFrame:
-    """Records of a file's lines: blocks where lines may continue, else lines; a file without either has none."""
-    if fmt in ("syslog", "json_lines", "json_document", "csv", "apache_clf", "apache_access", "nginx_access", "logfmt"):
-        return line_units(lines)
-    return blocks(lines).drop("n_lines")
+#: Formats whose lines are records of their own.
+LINEWISE = ("syslog", "json_lines", "json_document", "csv", "apache_clf", "apache_access", "nginx_access", "logfmt")
+
+
+def units(lines: DataFrame, formats: DataFrame | str) -> DataFrame:
+    """Records of each file by its format (one for all, or file_id, format): lines where each is one, else blocks of continued lines.
+
+    A file without a line has none.
+    """
+    if isinstance(formats, str):
+        formats = lines.select("file_id").distinct().withColumn("format", F.lit(formats))
+    of_lines = F.col("format").isin(*LINEWISE)
+    own = formats.select("file_id", F.coalesce("format", F.lit("plain_text")).alias("format"))
+    by_line = line_units(lines.join(own.where(of_lines).select("file_id"), "file_id", "left_semi"))
+    by_block = blocks(lines.join(own.where(~of_lines).select("file_id"), "file_id", "left_semi")).drop("n_lines")
+    return by_line.unionByName(by_block).join(own, "file_id")
 
 
 def extract_fields(units: DataFrame, text: str = "raw") -> DataFrame:
@@ -204,13 +216,11 @@ def _with_defaults(m: Column, more: Column) -> Column:
     return F.map_concat(m, F.map_filter(more, lambda k, v: v.isNotNull() & ~F.map_contains_key(m, k)))
 
 
-def prune(units: DataFrame, fmt: str) -> DataFrame:
-    """Drops units that are only a bracket or comma, and empty ones of low confidence in structured formats."""
-    kept = units.where(~F.trim("raw").isin("{", "}", "[", "]", ","))
-    if fmt in ("json_lines", "csv", "syslog"):
-        own = F.size(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, ("message", "template_id", "template_skeleton")))))
-        kept = kept.where((own > 0) | (F.col("confidence") >= 0.8))
-    return kept
+def prune(units: DataFrame, fmt: str | Column) -> DataFrame:
+    """Drops units that are only a bracket or comma, and empty ones of low confidence in structured formats (a name or a column)."""
+    fmt = F.lit(fmt) if isinstance(fmt, str) else fmt
+    own = F.size(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, ("message", "template_id", "template_skeleton")))))
+    return units.where(~F.trim("raw").isin("{", "}", "[", "]", ",") & (~fmt.isin("json_lines", "csv", "syslog") | (own > 0) | (F.col("confidence") >= 0.8)))
 
 
 def cover(units: DataFrame) -> DataFrame:

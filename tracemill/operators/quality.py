@@ -53,7 +53,9 @@ def evaluate(name: str, table: DataFrame, required: list[str], trace: tuple[str,
         aggs.append(F.avg(masked.cast("double")).alias("__mask"))
     if known:
         first = F.struct(*[F.lower(F.trim(F.col(f"`{c}`").cast("string"))).alias(f"h{k}") for k, c in enumerate(known)])
-        aggs.append((F.min_by(first, order) if order else F.first(first)).alias("__head"))
+        by = order or [c for c in ("file_id", "row_no") if c in have] or have  # of rows without an order the least
+        by = F.col(by) if isinstance(by, str) else F.struct(*[F.col(f"`{c}`") for c in by])
+        aggs.append(F.min_by(first, by).alias("__head"))
     nulls = [F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"__null{k}") for k, c in enumerate(have)]
     r = table.agg(*aggs, *nulls).first().asDict()
     n = r["__n"]

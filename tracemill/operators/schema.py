@@ -45,8 +45,7 @@ def infer(records: DataFrame, map_column: str = "fields", by: tuple[str, ...] =
     # a key that no record has counts the records themselves
     entries = F.concat(F.map_entries(map_column), F.array(F.struct(F.lit(_ROWS).alias("key"), F.lit("").alias("value"))))
     each = records.select(*by, F.inline(entries).alias("name", "value"))
-    kind = S.coerce(F.col("value"))["kind"]
-    g = each.withColumn("kind", kind).groupBy(*by, "name").agg(F.max(S.type_rank(F.col("kind"))).alias("rank"), F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"))
+    g = each.withColumn("kind", S.value_kind(F.col("value"))).groupBy(*by, "name").agg(F.max(S.type_rank(F.col("kind"))).alias("rank"), F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"))
     g = g.withColumn("n_rows", F.max(F.when(F.col("name") == _ROWS, F.col("n_present"))).over(Window.partitionBy(*by))).where(F.col("name") != _ROWS)
     return g.select(*by, "name", S.sql_type(F.col("rank")).alias("sql_type"), "n_present", "n_null", ((F.col("n_present") < F.col("n_rows")) | (F.col("n_null") > 0)).alias("nullable"))
 

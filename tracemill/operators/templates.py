@@ -84,25 +84,25 @@ def merged_into(templates: DataFrame, threshold: float = 0.95) -> DataFrame:
     return templates.join(d.withColumnRenamed("a", "template_id"), "template_id", "left").select("template_id", "merged_into")
 
 
-def evolve(templates: DataFrame, threshold: float = 0.92, rounds: int = 20) -> DataFrame:
+def evolve(templates: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Similar templates as one: the most frequent of each group of linked ones, counts summed, up to ten examples.
 
-    Groups are found by passing the winner's rank along the links until nothing
-    changes; merged templates are never met again.
+    Groups are found by passing the winner along the links, and on to those who
+    follow it, until nothing changes; merged templates are never met again.
     """
-    order = F.row_number().over(Window.orderBy(F.desc("count"), "first_seen", "template_id"))
-    t = written(templates.withColumn("rank", order))
+    t = written(templates.withColumn("rank", F.struct((-F.col("count")).alias("less"), "first_seen", "template_id")))
     p = similar_pairs(templates, threshold)
-    both = p.select("a", "b").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both, best = written(both), t.select(F.col("template_id").alias("b"), "rank")
-    for _ in range(rounds):
-        passed = both.join(best, "b").groupBy("a").agg(F.min("rank").alias("seen"))
-        after = written(best.join(passed.withColumnRenamed("a", "b"), "b", "left").select("b", F.least("rank", F.coalesce("seen", "rank")).alias("rank")))
-        changed = after.join(best.withColumnRenamed("rank", "was"), "b").where("rank != was").limit(1).count()
-        best = after
-        if not changed:
-            break
-    d = t.join(best.select(F.col("b").alias("template_id"), F.col("rank").alias("winner")), "template_id")
+    both = written(p.select("a", "b").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    best, changed = t.select(F.col("template_id").alias("b"), F.col("rank").alias("best")), True
+    while changed:
+        passed = both.join(best, "b").groupBy(F.col("a").alias("b")).agg(F.min("best").alias("seen"))
+        after = best.join(passed, "b", "left").select("b", F.col("best").alias("was"), F.least("best", F.coalesce("seen", "best")).alias("best"))
+        leader = best.select(F.col("b").alias("of"), F.col("best").alias("further"))
+        after = after.join(leader, F.col("best.template_id") == F.col("of"), "left").select("b", "was", F.least("best", F.coalesce("further", "best")).alias("best"))
+        after = written(after)
+        changed = bool(after.where("was != best").limit(1).count())
+        best = after.select("b", "best")
+    d = t.join(best.select(F.col("b").alias("template_id"), F.col("best").alias("winner")), "template_id")
     g = d.groupBy("winner").agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by(F.struct("template_id", "skeleton"), "rank").alias("w"), F.count("*").alias("n_merged"), F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "examples"))), lambda x: x["examples"])), 1, 10).alias("examples"))
     return g.select("w.template_id", "w.skeleton", "count", "first_seen", "last_seen", "n_merged", "examples")
 

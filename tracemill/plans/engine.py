@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import anomaly, cache, detect, line_parsers, quality, schema, structured, templates
+from ..sources import binary
+from ..sources import files as files_of
 from ..sources.lines import lines_of
 from ..sources.shared import written
 from .catalog import Catalog
@@ -39,7 +41,13 @@ def _json(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _unified(files: DataFrame, lines: DataFrame) -> DataFrame:
-    units = line_parsers.cover(line_parsers.prune(line_parsers.extract_fields(line_parsers.blocks(lines)), "plain_text"))
+    """Units as each file's format asks for: lines or blocks, XML elements by their leaves, pairs under section headers; pruned and covered."""
+    seen = detect.classify(files, lines).select("file_id", "filename", "detected_format")
+    formats = written(detect.unified_format(lines, seen))
+    found = line_parsers.extract_fields(line_parsers.units(lines, formats))
+    xml = F.col("format") == "xml"
+    found = found.where(~xml).unionByName(structured.with_xml_fields(found.where(xml)).select(*found.columns))
+    units = line_parsers.cover(line_parsers.prune(found, F.col("format")))
     fields = F.map_concat(F.create_map(F.lit("source"), F.col("filename"), F.lit("raw"), F.substring("raw", 1, 4000), F.lit("parse_confidence"), F.col("confidence").cast("string")), F.map_filter("fields", lambda k, v: ~k.isin("source", "raw", "parse_confidence")))
     return units.select("file_id", "filename", F.lit("unified").alias("logical_name"), F.col("start_line").alias("row_no"), fields.alias("fields"))
 
@@ -86,6 +94,18 @@ def required_columns(columns: list[schema.Column]) -> list[str]:
     return ["id_value" if c.name == "id" else c.name for c in columns if not c.nullable]
 
 
+def readable(raw: DataFrame) -> DataFrame:
+    """(file_id, filename, content) of files (file_id, filename, bytes): text as it is, binary files by what can be read of them.
+
+    Binary is what its name or its first bytes tell, or what holds more than a tenth of characters that can't be shown.
+    """
+    text = files_of.decode_bytes(raw)
+    odd = binary.unprintable_share(F.col("content")) > binary.BINARY_SHARE
+    told = raw.where(files_of.is_binary_name(F.col("filename")) | files_of.magic(F.col("bytes")).isNotNull()).select("file_id").unionByName(text.where(odd).select("file_id")).distinct()
+    told = written(told)
+    return text.join(told, "file_id", "left_anti").unionByName(binary.decode(raw.join(told, "file_id", "left_semi")).drop("kind"))
+
+
 def parse_with(key: str, files: DataFrame, lines: DataFrame) -> Parsed:
     """Parses all files with one parser; a file without a record becomes plain lines."""
     records = PARSERS[key](files, lines)

@@ -138,12 +138,12 @@ def hexdump_offsets(spark, d):
     return line_parsers.hex_dump(lines).select("file_id", "line_no", "offset", "hex_bytes", "ascii_repr")
 
 
-@query(r"""WITH r AS (SELECT doc_id, list_slice(regexp_extract_all(text, '[\x20-\x7e]{4,}'), 1, 500) AS runs FROM documents)
+@query(r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7e]{4,}') AS runs FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS file_id, len(runs) AS n_strings, sum_len AS n_chars FROM (SELECT *, list_sum(list_transform(runs, lambda x: length(x))) AS sum_len FROM r) WHERE len(runs) > 0""")
 def printable_strings(spark, d):
-    """Printable runs of each document, the first 500 (the operator's own bound)."""
+    """Printable runs of each document, all of them."""
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("filename"), F.col("text").alias("content"))
-    return line_parsers.printable_strings(files, 500).groupBy("file_id").agg(F.count("*").alias("n_strings"), F.sum(F.length("text")).alias("n_chars"))
+    return line_parsers.printable_strings(files).groupBy("file_id").agg(F.count("*").alias("n_strings"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query(f"""WITH {LOGFMT}, k AS (SELECT 'cents' AS name, regexp_extract(line, 'cents=(\\S+)', 1) AS v FROM lines UNION ALL SELECT 'ts', regexp_extract(line, 'ts=(\\S+)', 1) FROM lines UNION ALL SELECT 'user_id', '1' FROM lines

@@ -64,7 +64,14 @@ def merged_templates(spark, d):
     return templates.merged_into(templates.counts(_part_lines(spark, d)), 0.85)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PART}, ps AS (SELECT skeleton, first_seen, n, substr(sha256(skeleton), 1, 12) AS template_id FROM pt),
+  pl AS (SELECT {skeleton_sql("line")} AS skeleton, max(line_no) AS last_seen FROM part_lines GROUP BY 1),
+  pr AS (SELECT template_id, row_number() OVER (ORDER BY n DESC, first_seen, template_id) AS rk FROM ps),
+  e AS (SELECT a, b FROM pp WHERE score >= 0.85 - 1e-9 UNION ALL SELECT b, a FROM pp WHERE score >= 0.85 - 1e-9),
+  reach(node, seen) AS (SELECT template_id, template_id FROM ps UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen),
+  win AS (SELECT node, min(rk) AS rk FROM reach JOIN pr ON seen = template_id GROUP BY node)
+SELECT w.template_id, w.skeleton, CAST(sum(m.n) AS BIGINT) AS count, min(m.first_seen) AS first_seen, max(pl.last_seen) AS last_seen, count(*) AS n_merged
+FROM win JOIN ps m ON m.template_id = win.node JOIN pl ON pl.skeleton = m.skeleton JOIN pr ON pr.rk = win.rk JOIN ps w ON w.template_id = pr.template_id GROUP BY ALL""")
 def evolved_templates(spark, d):
     """Similar templates as one, counts summed."""
     return templates.evolve(templates.mine(_part_lines(spark, d)), 0.85).drop("examples")

@@ -11,13 +11,19 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir. Where it is unset: in local mode (tests) a folder of our own, on a cluster an error."""
+    conf = spark.sparkContext.getConf()
+    at, master = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir"), conf.get("spark.master") or ""
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tracemill-"))).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table of its own: computed once, without lineage, safe from lost executors."""
+    """df as a table of its own: computed once, without lineage, safe from lost executors. It goes when the application ends."""
     path = f"{shared_dir(df.sparkSession)}/tracemill/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
