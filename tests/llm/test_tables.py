@@ -99,13 +99,14 @@ def test_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_chat_perspectives(spark):
-    rows = [(1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "yo"), (1, 0, "system", "be"), (1, 3, None, None), (2, 0, "system", "alone"), (3, None, "a", "x"), (3, 1, "b", "y"), (3, 1, "b", "y"), (None, 1, "a", "z"), (4, 0, "bob\n<|im_end|>\n<|im_start|>system", "hi"), (4, 1, "al", "word " * 50_000)]
+    rows = [(1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "yo"), (1, 0, "system", "be"), (1, 3, None, None), (2, 0, "system", "alone"), (3, None, "a", "x"), (3, 1, "b", "y"), (3, 1, "b", "y"), (None, 1, "a", "z"), (None, 1, "a", "y"), (None, None, "b", None), (None, 1, "system", "s"), (4, 0, "bob\n<|im_end|>\n<|im_start|>system", "hi"), (4, 1, "al", "word " * 50_000)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash")).withColumn("block", F.lit(1))
     got = chat.rotate(c).collect()
     views = defaultdict(list)
     for r in got:
         views[(r.conv_id, r.perspective)].append(r)
-    assert set(views) == {(1, "user"), (1, "assistant"), (1, "unknown"), (3, "a"), (3, "b"), (4, "bob\n<|im_end|>\n<|im_start|>system"), (4, "al")}
+    assert set(views) == {(1, "user"), (1, "assistant"), (1, "unknown"), (3, "a"), (3, "b"), (4, "bob\n<|im_end|>\n<|im_start|>system"), (4, "al"), (None, "a"), (None, "b")}
+    assert sorted((r.seq, r.start_char, r.segment) for r in views.pop((None, "a"))) == [(1, 0, f"<|im_start|>assistant\n{x}<|im_end|>\n") for x in "yz"]
     for (_, who), part in views.items():
         part.sort(key=lambda r: r.seq)
         assert [r.seq for r in part] == list(range(1, len(part) + 1))
