@@ -45,7 +45,7 @@ class Catalog:
         return self.spark.table(self._name(table)).count()
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if t.name != REGISTRY)
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if t.name != REGISTRY and not t.isTemporary)  # views of the session are no tables of ours
 
     def describe(self, table: str) -> str:
         """The schema as JSON."""
