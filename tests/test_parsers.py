@@ -249,8 +249,8 @@ def test_binary_text(spark):
     d = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "file_id string, filename string, bytes binary")
     got = {r.file_id: r.content for r in binary.decode(d).collect()}
     assert got["1"].startswith("inflated text here") and got["2"] == "plain text " * 50 and got["3"].startswith("framed text\n") and got["4"] == ""
-    e = spark.createDataFrame([("aabb",), ("",), ("a" * 50,)], "t string").select(binary.entropy(F.col("t")).alias("e")).collect()
-    assert [r.e for r in e] == [1.0, 0.0, 0.0]
+    texts = spark.createDataFrame([("1", "aabb"), ("2", ""), ("3", "a" * 50), ("4", None)], "file_id string, content string")
+    assert {r.file_id: r.entropy for r in binary.character_entropy(texts).collect()} == {"1": 1.0, "2": 0.0, "3": 0.0, "4": 0.0}
     g = spark.createDataFrame([("00 41 |a=1|\n00 |b|",), ("x |y|",)], "t string").select(binary.gutter_text(F.col("t")).alias("g")).collect()
     assert [r.g for r in g] == ["a=1\nb", None]
 

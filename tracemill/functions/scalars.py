@@ -209,7 +209,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def skeleton(c: Column) -> Column:
     """A line with its variable parts replaced."""
-    s = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    s = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
     for pattern, mark in ((P.UUID, "<UUID>"), (P.IP, "<IP>"), (P.HEX, "<HEX>"), (P.QUOTED, '"<STR>"'), (P.NUM, "<NUM>"), (r"\s+", " ")):
         s = F.regexp_replace(s, pattern, mark)
     return s

@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..sources.lines import sample
+from ..sources.shared import written
 
 # Formats in the order that breaks ties.
 FINGERPRINT_FORMATS = ("json_lines", "json_document", "xml", "csv", "syslog", "apache_clf", "logfmt", "key_value", "hex_dump", "section_delimited")
@@ -175,18 +176,53 @@ def similarity(a: str, b: str) -> Column:
     return same("format_name", 0.4) + same("structural_class", 0.2) + same("has_timestamps", 0.1) + same("has_log_levels", 0.1) + 0.2 * F.least(x("avg_line_length"), y("avg_line_length")) / longer
 
 
+#: What two fingerprints are compared by, besides their line lengths.
+_TRAITS = ("format_name", "structural_class", "has_timestamps", "has_log_levels")
+
+
+def _two_of_each_length(known: DataFrame) -> DataFrame:
+    """Traits, length, near: the two greatest fingerprints of each traits and length and of its neighbours in length.
+
+    Two are enough to have one that isn't the query's own. There is a row for
+    each distinct length, however many files share it.
+    """
+    columns = [*_TRAITS, "avg_line_length"]
+    one = known.groupBy("fingerprint").agg(F.min(F.struct(*columns)).alias("x")).select("fingerprint", "x.*")
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.desc("fingerprint")))
+    two = one.withColumn("nth", nth).where("nth <= 2").groupBy(*columns).agg(F.collect_list("fingerprint").alias("prints"))
+    w = Window.partitionBy(*_TRAITS).orderBy("avg_line_length")
+    own = F.struct("avg_line_length", "prints")
+    return two.select(*columns, F.array_compact(F.array(F.lag(own).over(w), own, F.lead(own).over(w))).alias("near"))
+
+
 def similar_formats(queries: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
     """For each query fingerprint the most similar other known one: fingerprint, similar, score.
 
-    What is not equal in format can reach 0.6 at most; so for thresholds above,
-    the join is on the format, and on all that must then be equal.
+    Among known ones of equal traits the score falls with the distance in line
+    length, so that only the neighbours in order of length are compared: with
+    each distinct (traits, length) of the queries, in each set of traits that
+    can still reach the threshold.
     """
-    keys = ["format_name", *(["structural_class"] if threshold > 0.8 else [])] if threshold > 0.6 else []
-    a, b = queries.alias("a"), known.dropDuplicates(["fingerprint"]).alias("b")
-    match = F.lit(True)
-    for k in keys:
-        match = match & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    d = a.join(b, match & (F.col("a.fingerprint") != F.col("b.fingerprint"))).select(F.col("a.fingerprint").alias("fingerprint"), F.col("b.fingerprint").alias("similar"), similarity("a", "b").alias("score"))
+    same = known is queries
+    queries = written(queries.select("fingerprint", *_TRAITS, "avg_line_length"))
+    k = written(_two_of_each_length(queries if same else known))
+    of = lambda prefix: [F.col(c).alias(f"{prefix}{c}") for c in _TRAITS]
+    # some ten formats with three classes and two flags: few rows on both sides
+    mine, theirs = queries.select(*of("q_")).distinct(), k.select(*_TRAITS).distinct()
+    weights = (0.4, 0.2, 0.1, 0.1)
+    fixed = sum((F.when(F.col(f"q_{c}") == F.col(c), w).otherwise(0.0) for c, w in zip(_TRAITS, weights)), F.lit(0.2))
+    met = mine.join(theirs, fixed >= threshold - 1e-9)
+    asked = queries.select(*of("q_"), "avg_line_length").distinct().join(met, [f"q_{c}" for c in _TRAITS])
+    lengths = asked.select(*_TRAITS, "avg_line_length").distinct()
+    both = k.unionByName(lengths, allowMissingColumns=True)
+    upto = lambda order: F.last("near", ignorenulls=True).over(Window.partitionBy(*_TRAITS).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = F.array_union(F.coalesce(upto(F.asc("avg_line_length")), F.array()), F.coalesce(upto(F.desc("avg_line_length")), F.array()))
+    near = both.select("*", near.alias("around")).where("near is null").select(*_TRAITS, "avg_line_length", "around")
+    found = asked.join(near, [*_TRAITS, "avg_line_length"]).select(*[f"q_{c}" for c in _TRAITS], F.col("avg_line_length").alias("q_avg_line_length"), *_TRAITS, F.inline("around").alias("avg_line_length", "prints"))
+    found = found.select("*", F.explode("prints").alias("similar")).drop("prints")
+    told = [*_TRAITS, "avg_line_length"]
+    found = found.select(*[F.col(f"q_{c}").alias(c) for c in told], F.struct(*told).alias("b"), "similar")
+    d = queries.alias("a").join(found, told).where("a.fingerprint != similar").select("a.fingerprint", "similar", similarity("a", "b").alias("score"))
     return d.where(F.col("score") >= threshold).groupBy("fingerprint").agg(F.max(F.struct("score", "similar")).alias("m")).select("fingerprint", F.col("m.similar").alias("similar"), F.bround("m.score", 6).alias("score"))
 
 

@@ -6,8 +6,11 @@ line it can read; rejected() gives the others with a reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
 from ..functions import scalars as S
@@ -16,9 +19,57 @@ RAW_CHARS, MESSAGE_CHARS = 4000, 500
 _KEYS = ("file_id", "filename", "line_no")
 
 
+#: What \s of an expression matches.
+_SPACE = " \t\n\x0b\f\r"
+#: Numbers of lines that are windowed in one task; a longer file is cut by them.
+PART_LINES = 4096
+
+
+def _bare(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("line", F.btrim("line", F.lit(_SPACE)))
+
+
 def _stripped(lines: DataFrame) -> DataFrame:
-    d = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    return d.where("line != ''")
+    return _bare(lines).where("line != ''")
+
+
+# -- windows over a file, in two steps so that a long file is no single task ----
+
+
+def _parted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("part", F.floor((F.col("line_no") - 1) / PART_LINES))
+
+
+def _inside() -> WindowSpec:
+    return Window.partitionBy("file_id", "part").orderBy("line_no")
+
+
+def _parts_before() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_before(d: DataFrame, value: str, name: str) -> DataFrame:
+    """Parted lines with name: value of the file's line before, null for the first. value is never null."""
+    ends = d.groupBy("file_id", "part").agg(F.max_by(value, "line_no").alias("end"))
+    ends = ends.select("file_id", "part", F.lag("end").over(Window.partitionBy("file_id").orderBy("part")).alias("carried"))
+    d = d.withColumn(name, F.lag(value).over(_inside())).join(ends, ["file_id", "part"])
+    return d.withColumn(name, F.coalesce(name, "carried")).drop("carried")
+
+
+def _with_last(d: DataFrame, value: str, name: str) -> DataFrame:
+    """Parted lines with name: the last value so far in the file that isn't null."""
+    ends = d.groupBy("file_id", "part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("line_no"))).alias("end"))
+    ends = ends.select("file_id", "part", F.last("end", ignorenulls=True).over(_parts_before()).alias("carried"))
+    d = d.withColumn(name, F.last(value, ignorenulls=True).over(_inside())).join(ends, ["file_id", "part"])
+    return d.withColumn(name, F.coalesce(name, "carried")).drop("carried")
+
+
+def _with_running(d: DataFrame, value: str, name: str) -> DataFrame:
+    """Parted lines with name: the sum of value so far in the file, this line's included."""
+    sums = d.groupBy("file_id", "part").agg(F.sum(value).alias("held"))
+    sums = sums.select("file_id", "part", F.coalesce(F.sum("held").over(_parts_before()), F.lit(0)).alias("base"))
+    d = d.withColumn(name, F.sum(value).over(_inside())).join(sums, ["file_id", "part"])
+    return d.withColumn(name, F.col("base") + F.col(name)).drop("base")
 
 
 def _tail(message: Column) -> list[Column]:
@@ -64,18 +115,21 @@ def pairs(c: Column, pattern: str) -> Column:
 def last_wins(entries: Column) -> Column:
     """The map of entries struct(k, v), of equal keys the last."""
 
+    # an array of one binds an expression to a name, so that it is computed once
+    def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(c), f), F.lit(0))
+
     def to_map(es: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(es, lambda e: e["k"]))) == F.size(es)
-        last = F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es) + 1), lambda x: x["k"] == e["k"]))
-        return F.map_from_entries(F.when(distinct, es).otherwise(last))
+        # from behind, an entry is the first of its key
+        last = lambda keys: F.filter(es, lambda e, i: F.array_position(keys, e["k"]) == F.size(keys) - i)
+        return F.map_from_entries(bound(F.reverse(F.transform(es, lambda e: e["k"])), last))
 
-    # an array of one binds the entries to a name, so that they are computed once
-    return F.get(F.transform(F.array(entries), to_map), F.lit(0))
+    return bound(entries, to_map)
 
 
 def _key_values(lines: DataFrame, pattern: str) -> DataFrame:
     # the pattern itself tells whether there is a pair, so that nothing builds maps that nobody reads
-    d = _stripped(lines).where(F.col("line").rlike(pattern)).withColumn("fields", pairs(F.col("line"), pattern))
+    d = _bare(lines).where(F.col("line").rlike(pattern)).withColumn("fields", pairs(F.col("line"), pattern))
     return d.select(*_KEYS, *_tail(F.col("line")), S.infer_level(F.col("line")).alias("log_level"), "fields")
 
 
@@ -97,17 +151,12 @@ def plain(lines: DataFrame) -> DataFrame:
 def hex_dump(lines: DataFrame) -> DataFrame:
     """Bytes of dump lines: running offset, hex, ASCII, decoded text, timestamp. Other lines don't advance the offset.
 
-    The offset is a prefix sum within a file. A file's lines are summed in
-    blocks first, so that a very long dump is no single task.
+    The offset is a prefix sum within a file.
     """
     digits = F.regexp_replace(F.regexp_extract("line", P.HEX_DUMP, 1), r"\s", "")
     d = lines.where(F.col("line").rlike(P.HEX_DUMP)).withColumn("hex_bytes", digits).where("length(hex_bytes) % 2 = 0 and hex_bytes != ''")
-    d = d.withColumn("n", F.length("hex_bytes") / 2).withColumn("part", F.floor(F.col("line_no") / 4096))
-    parts = d.groupBy("file_id", "part").agg(F.sum("n").alias("held"))
-    before = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file_id", "part", F.coalesce(F.sum("held").over(before), F.lit(0.0)).alias("base"))
-    inside = Window.partitionBy("file_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(parts, ["file_id", "part"]).withColumn("offset", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0.0))).cast("long"))
+    d = d.withColumn("n", F.floor(F.length("hex_bytes") / 2))
+    d = _with_running(_parted(d), "n", "upto").withColumn("offset", F.col("upto") - F.col("n"))
     raw = F.unhex("hex_bytes")
     latin = F.decode(raw, "ISO-8859-1")
     shown = F.regexp_replace(latin, r"[^\x20-\x7e]", ".")
@@ -141,11 +190,11 @@ def blocks(lines: DataFrame) -> DataFrame:
     A blank line ends a block; any other line that continues nothing begins one.
     start_line, end_line, n_lines, raw.
     """
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    d = lines.withColumn("blank", F.trim(F.regexp_replace("line", r"\s", " ")) == "")
-    after_text = F.coalesce(~F.lag("blank").over(w), F.lit(False))
+    d = _parted(lines).withColumn("blank", F.coalesce(F.btrim("line", F.lit(_SPACE)) == "", F.lit(True)))
+    d = _with_before(d, "blank", "after_blank")
+    after_text = F.coalesce(~F.col("after_blank"), F.lit(False))
     opens = ~F.col("blank") & ~(F.col("line").rlike(P.CONTINUATION) & after_text)
-    d = d.withColumn("opens", opens.cast("int")).withColumn("block", F.sum("opens").over(w)).where(~F.col("blank"))
+    d = _with_running(d.withColumn("opens", opens.cast("int")), "opens", "block").where(~F.col("blank"))
     told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     out = d.groupBy("file_id", "filename", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), told.alias("told"))
     return out.select("file_id", "filename", "start_line", "end_line", "n_lines", F.array_join(F.transform("told", lambda x: x["line"]), "\n").alias("raw"))
@@ -153,10 +202,9 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def sections(lines: DataFrame) -> DataFrame:
     """key = value lines under --- name --- headers: section, key, kind and value; before any header it is general."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
     name = S.sanitize_identifier(F.regexp_extract(F.trim("line"), P.SECTION_NAME, 1))
     header = F.trim("line").rlike(P.SECTION_HEADER)
-    d = lines.withColumn("section", F.coalesce(F.last(F.when(header, name), ignorenulls=True).over(w), F.lit("general")))
+    d = _with_last(_parted(lines).withColumn("named", F.when(header, name)), "named", "section").withColumn("section", F.coalesce("section", F.lit("general")))
     pair = r"^\s*([^=:]+?)\s*(?:=|:\s)\s*(.*?)\s*$"
     d = d.where(~header & F.col("line").rlike(pair))
     cast = S.smart_cast(F.regexp_extract("line", pair, 2))
@@ -245,12 +293,12 @@ def chunks(lines: DataFrame, target: int = 500) -> DataFrame:
 
 def boundaries(lines: DataFrame) -> DataFrame:
     """Where a file may be cut: section headers, and timestamped lines after one without a timestamp."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
     text = F.trim("line")
     stamp = text.rlike("^" + P.ISO_TIMESTAMP)
-    d = lines.withColumn("before", F.lag(text).over(w)).withColumn("text", text)
-    cut = F.col("text").rlike(P.SECTION_HEADER) | (stamp & (F.col("before") != "") & ~F.col("before").rlike("^" + P.ISO_TIMESTAMP))
-    return d.where((F.col("line_no") > 1) & cut).select(*_KEYS, F.when(F.col("text").rlike(P.SECTION_HEADER), "section").otherwise("timestamp").alias("reason"))
+    d = _parted(lines).withColumns({"header": text.rlike(P.SECTION_HEADER), "stamp": stamp, "plain": F.coalesce((text != "") & ~stamp, F.lit(False))})
+    d = _with_before(d, "plain", "after_plain")
+    cut = F.col("header") | (F.col("stamp") & F.col("after_plain"))
+    return d.where((F.col("line_no") > 1) & cut).select(*_KEYS, F.when(F.col("header"), "section").otherwise("timestamp").alias("reason"))
 
 
 def packed_chunks(lines: DataFrame, target: int = 500, most: int = 2000) -> DataFrame:

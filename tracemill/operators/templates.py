@@ -12,13 +12,14 @@ EXAMPLES, EXAMPLE_CHARS = 5, 1000
 
 
 def _skeletons(lines: DataFrame) -> DataFrame:
-    d = lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").withColumn("skeleton", S.skeleton(F.col("line")))
-    return d.select(S.template_id(F.col("skeleton")).alias("template_id"), "skeleton", "file_id", "line_no", F.substring("line", 1, EXAMPLE_CHARS).alias("line"))
+    d = lines.where(F.col("line").rlike(r"\S"))
+    return d.select(S.skeleton(F.col("line")).alias("skeleton"), "file_id", "line_no", F.substring("line", 1, EXAMPLE_CHARS).alias("line"))
 
 
 def counts(lines: DataFrame) -> DataFrame:
-    """template_id, skeleton, count, first_seen, last_seen (line numbers); counts combine before the shuffle."""
-    return _skeletons(lines).groupBy("template_id", "skeleton").agg(F.count("*").alias("count"), F.min("line_no").alias("first_seen"), F.max("line_no").alias("last_seen"))
+    """template_id, skeleton, count, first_seen, last_seen (line numbers); counts combine before the shuffle, ids are hashed after it."""
+    g = _skeletons(lines).groupBy("skeleton").agg(F.count("*").alias("count"), F.min("line_no").alias("first_seen"), F.max("line_no").alias("last_seen"))
+    return g.select(S.template_id(F.col("skeleton")).alias("template_id"), "skeleton", "count", "first_seen", "last_seen")
 
 
 def examples(lines: DataFrame) -> DataFrame:
@@ -27,9 +28,9 @@ def examples(lines: DataFrame) -> DataFrame:
     Each task keeps its first five of a template, so no list grows with a
     template's lines.
     """
-    nth = F.row_number().over(Window.partitionBy("template_id").orderBy("file_id", "line_no"))
-    few = _skeletons(lines).withColumn("nth", nth).where(F.col("nth") <= EXAMPLES).groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("nth", "line"))).alias("told"))
-    return few.select("template_id", F.transform("told", lambda x: x["line"]).alias("examples"))
+    nth = F.row_number().over(Window.partitionBy("skeleton").orderBy("file_id", "line_no"))
+    few = _skeletons(lines).withColumn("nth", nth).where(F.col("nth") <= EXAMPLES).groupBy("skeleton").agg(F.sort_array(F.collect_list(F.struct("nth", "line"))).alias("told"))
+    return few.select(S.template_id(F.col("skeleton")).alias("template_id"), F.transform("told", lambda x: x["line"]).alias("examples"))
 
 
 def mine(lines: DataFrame) -> DataFrame:

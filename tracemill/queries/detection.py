@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import scalars as S
 from ..operators import detect, line_parsers, schema
 from ..sources import binary
 from ..sources import files as sources
 from ..sources.lines import sample
-from .base import DOC_LINES, LOGFMT, SYSLOG, TRACE, access_lines, document_lines, json_text_lines, logfmt_lines, registry, sample_sql, syslog_lines, table, trace_lines
+from .base import ACCESS, DOC_LINES, JSON_TEXT, LOGFMT, SYSLOG, TRACE, access_lines, document_lines, json_text_lines, logfmt_lines, registry, sample_sql, syslog_lines, table, trace_lines
 
 QUERIES, query = registry()
 
@@ -42,22 +43,46 @@ def _mixed(spark, d):
     return out
 
 
-_SHARE = "avg(CASE WHEN regexp_matches(line, '{0}') THEN 1.0 ELSE 0.0 END)"
-_SYSLOG = r"(?i)^(?:<\d{1,3}>)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+\S+"
-_MIX = f"WITH {SYSLOG.replace('lines AS', 'l1 AS')}, {LOGFMT.replace('lines AS', 'l2 AS')}, {TRACE.replace('lines AS', 'l3 AS')}, lines AS (SELECT file_id || 's' AS file_id, filename, line_no, line FROM l1 UNION ALL SELECT file_id || 'l', filename, line_no, line FROM l2 UNION ALL SELECT file_id || 't', filename, line_no, line FROM l3), {sample_sql(100)}"
+def _mixed_sql(n: int) -> str:
+    """CTE s of the first n lines of those files."""
+    kinds = {"s": SYSLOG, "a": ACCESS, "l": LOGFMT, "j": JSON_TEXT, "t": TRACE}
+    parts = ", ".join(x.replace("lines AS", f"l{k} AS", 1) for k, x in kinds.items())
+    return f"WITH {parts}, lines AS (" + " UNION ALL ".join(f"SELECT file_id || '{k}' AS file_id, filename, line_no, line FROM l{k}" for k in kinds) + f"), {sample_sql(n)}"
 
 
-@query(f"""{_MIX} SELECT file_id, round({_SHARE.format(_SYSLOG)}, 6) AS syslog, round({_SHARE.format('^(?:\\w[\\w.\\-]*=(?:"[^"]*"|\\S+)\\s*){2,}')}, 6) AS logfmt,
-  round({_SHARE.format('(?:\\w[\\w.\\-]*\\s*[:=]\\s*(?:"[^"]*"|\\S+)\\s*){2,}')} * 0.8, 6) AS key_value FROM s GROUP BY file_id""")
-def format_scores(spark, d):
-    """How much each file looks like each line format."""
-    m = _mixed(spark, d).where(~F.col("file_id").rlike("[aj]$"))
-    return detect.format_scores(sample(m, 100)).select("file_id", *[F.round(c, 6).alias(c) for c in ("syslog", "logfmt", "key_value")])
+def _hit(pattern: str, c: str = "line") -> str:
+    return "regexp_matches({0}, '{1}')".format(c, pattern.replace("'", "''"))
+
+
+def _share(hit: str) -> str:
+    return f"avg(CASE WHEN {hit} THEN 1e0 ELSE 0e0 END)"
+
+
+def _commas(k: int = 0) -> str:
+    return f"coalesce(avg(CASE WHEN pos BETWEEN 2 AND 10 THEN CASE WHEN h{k} > 0 AND n{k} = h{k} THEN 1e0 ELSE 0e0 END END), 0e0)"
+
+
+_counted = ", ".join(f"length(line) - length(replace(line, {m}, '')) AS n{k}, first_value(length(line) - length(replace(line, {m}, ''))) OVER (PARTITION BY file_id ORDER BY pos) AS h{k}" for k, m in enumerate(("','", "chr(9)", "'|'", "';'")))
+_SCORES = {
+    "json_lines": _share(_hit(P.JSON_LINE)),
+    "json_document": f"CASE WHEN {_share(_hit(P.JSON_LINE))} = 0 THEN least(85e-2, avg(CASE WHEN pos <= 10 THEN CASE WHEN {_hit(P.JSON_OPEN)} THEN 1e0 ELSE 0e0 END END)) ELSE 0e0 END",
+    "xml": _share(_hit(P.XML_TAG)),
+    "csv": _commas(),
+    "syslog": _share(_hit(P.SYSLOG_START)),
+    "apache_clf": _share(_hit(P.ACCESS_START)),
+    "logfmt": _share(_hit(P.LOGFMT_LINE)),
+    "key_value": f"{_share(_hit(P.KEY_VALUE_LINE))} * 8e-1",
+    "hex_dump": _share(_hit(P.HEX_DUMP_START)),
+    "section_delimited": _share(_hit(P.SECTION_HEADER)),
+}
+_MIX = f"{_mixed_sql(100)}, c AS (SELECT *, {_counted} FROM s)"
 
 
-def _csv(mark: str) -> str:
-    n = f"length(line) - length(replace(line, {mark}, ''))"
-    return f"coalesce(avg(CASE WHEN pos > 1 THEN CASE WHEN h > 0 AND {n} = h THEN 1.0 ELSE 0.0 END END), 0)", f"first_value({n}) OVER (PARTITION BY file_id ORDER BY pos)"
+@query(f"{_MIX} SELECT file_id, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _SCORES.items()) + " FROM c GROUP BY file_id")
+def format_scores(spark, d):
+    """How much each file looks like each of the ten formats."""
+    scores = detect.format_scores(sample(_mixed(spark, d), 100))
+    return scores.select("file_id", *[F.round(c, 6).alias(c) for c in detect.FINGERPRINT_FORMATS])
 
 
 _marks = ("','", "chr(9)", "'|'", "';'")
@@ -88,7 +113,18 @@ def segmentation_hints(spark, d):
     return detect.segmentation(lines, lines.select("file_id").distinct().withColumn("detected_format", F.lit("plain_text")))
 
 
-@query()
+_names = lambda formats: ", ".join(f"'{f}'" for f in formats)
+_PRINTS = f"""{_MIX}, m AS (SELECT file_id, {", ".join(f"{v} AS {k}" for k, v in _SCORES.items())}, round_even(avg(length(line)), 1) AS len,
+  {_share(_hit(P.ISO_TIMESTAMP))} > 0.3 AS stamps, {_share(_hit(P.LEVEL_HINT))} > 0.3 AS levels,
+  substr(sha256(string_agg(substr(line, 1, 200), chr(10) ORDER BY pos) FILTER (WHERE pos <= 20)), 1, 16) AS fp FROM c GROUP BY file_id),
+f AS (SELECT *, CASE {" ".join(f"WHEN {k} > 0 AND {k} = greatest({', '.join(_SCORES)}) THEN '{k}'" for k in _SCORES)} ELSE 'plain_text' END AS fmt FROM m),
+p AS (SELECT *, CASE WHEN fmt IN ({_names(detect.STRUCTURED)}) THEN 'structured' WHEN fmt IN ({_names(detect.SEMI_STRUCTURED)}) THEN 'semi_structured' ELSE 'unstructured' END AS class FROM f)"""
+
+
+@query(f"""{_PRINTS}, k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY fp ORDER BY fmt, class, stamps, levels, len) = 1),
+x AS (SELECT a.fp AS fp, b.fp AS "similar", CASE WHEN a.fmt = b.fmt THEN 4e-1 ELSE 0e0 END + CASE WHEN a.class = b.class THEN 2e-1 ELSE 0e0 END + CASE WHEN a.stamps = b.stamps THEN 1e-1 ELSE 0e0 END
+  + CASE WHEN a.levels = b.levels THEN 1e-1 ELSE 0e0 END + 2e-1 * least(a.len, b.len) / greatest(a.len, b.len, 1e0) AS score FROM p a JOIN k b ON a.fmt = b.fmt AND a.fp <> b.fp)
+SELECT fp AS fingerprint, "similar", round_even(score, 6) AS score FROM x WHERE score >= 85e-2 QUALIFY row_number() OVER (PARTITION BY fp ORDER BY score DESC, "similar" DESC) = 1""")
 def similar_formats(spark, d):
     """The most similar other fingerprint of every file of five formats."""
     prints = detect.fingerprints(_mixed(spark, d))
@@ -109,10 +145,14 @@ def chunk_boundaries(spark, d):
     return line_parsers.boundaries(trace_lines(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(event_id // 5000 AS VARCHAR) AS file_id, event_id % 5000 + 1 AS line_no, event_id % 40 = 0 AND event_id % 5000 > 0 AS cut FROM events),
+n AS (SELECT file_id, max(line_no) AS n FROM e GROUP BY 1), edges AS (SELECT file_id, line_no AS edge FROM e WHERE cut UNION ALL SELECT file_id, n + 1 FROM n),
+p AS (SELECT file_id, 0 AS chunk, CAST(1 AS BIGINT) AS start_line, (SELECT max(edge) FROM edges x WHERE x.file_id = n.file_id AND edge <= 501) AS nxt FROM n
+  UNION ALL SELECT p.file_id, p.chunk + 1, p.nxt, (SELECT max(edge) FROM edges x WHERE x.file_id = p.file_id AND edge <= p.nxt + 500) FROM p JOIN n USING (file_id) WHERE p.nxt <= n.n)
+SELECT file_id, CAST(chunk AS BIGINT) AS chunk, start_line, nxt - 1 AS end_line FROM p""")
 def packed_chunks(spark, d):
-    """Chunks of the whole event log as one file for each type, cut at boundaries."""
-    e = table(spark, d, "events").selectExpr("event_type as file_id", "event_type as filename", "row_number() over (partition by event_type order by event_id) as line_no", "if(event_id % 40 = 0, concat('--- part ', event_id, ' ---'), cast(value as string)) as line")
+    """Chunks of the event log as files of 5000 lines with a section every 40, cut at sections."""
+    e = table(spark, d, "events").selectExpr("cast(event_id div 5000 as string) as file_id", "concat('part-', event_id div 5000) as filename", "event_id % 5000 + 1 as line_no", "if(event_id % 40 = 0, concat('--- part ', event_id, ' ---'), cast(value as string)) as line")
     return line_parsers.packed_chunks(e)
 
 
@@ -132,17 +172,16 @@ def estimated_null_rates(spark, d):
 def file_digests(spark, d):
     """What an upload notes of each file: size, hash, binary kind."""
     files = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("filename"), F.col("text").cast("binary").alias("bytes"))
-    return files.select("doc_id", F.length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"), sources.magic(F.col("bytes")).alias("kind"))
+    kinds = files.select("doc_id", "file_id", sources.magic(F.col("bytes")).alias("kind"))
+    return kinds.join(sources.digest(files), "file_id").select("doc_id", "size", "sha256", "kind")
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL),
 t AS (SELECT doc_id, sum(k) AS total FROM n GROUP BY 1) SELECT doc_id, round(-sum(k / total * log2(k / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id""")
 def character_entropy(spark, d):
     """Shannon entropy of each document's characters."""
-    chars = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch != ''")
-    n = chars.groupBy("doc_id", "ch").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.sum("k").alias("total"), F.collect_list("k").alias("ks"))
-    p = lambda k: k / F.col("total")
-    return n.select("doc_id", F.round(-F.aggregate("ks", F.lit(0.0), lambda z, k: z + p(k) * F.log2(p(k))), 6).alias("entropy"))
+    files = table(spark, d, "documents").where("text != ''").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return binary.character_entropy(files).select(F.col("file_id").alias("doc_id"), F.round("entropy", 6).alias("entropy"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f}', round(n_chars / 1024.0, 1)) || ' KB' END AS label FROM documents")
@@ -165,13 +204,35 @@ def unprintable_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", (binary.unprintable_share(F.col("text")) > 0).alias("any_odd"))
 
 
-@query()
+_clf = _share(_hit(P.ACCESS))
+_nginx = _share(_hit(P.ACCESS) + " AND " + _hit("nginx|upstream", "lower(line)"))
+_times = lambda p: "len(regexp_extract_all(line, '{}'))".format(p.replace("'", "''"))
+_dumps = f"count(*) FILTER (WHERE {_hit(P.HEX_DUMP)})"
+_CLAIMS = (
+    ("json_lines", _share(_hit(r"^\{[\s\S]*\}$", "trim(line)"))),
+    ("csv", f"CASE WHEN {_dumps} >= 3 THEN 0e0 ELSE greatest({', '.join(_commas(k) for k in range(4))}) END"),
+    ("xml", f"max(CASE WHEN pos = 1 AND {_hit('^<[A-Za-z?!_]', 'trim(line)')} THEN 95e-2 ELSE 0e0 END)"),
+    ("syslog", _share(_hit(P.SYSLOG))),
+    ("apache_access", _clf),
+    ("nginx_access", f"CASE WHEN {_nginx} > 0 THEN {_nginx} ELSE {_clf} END"),
+    ("logfmt", _share(f"{_times(P.LOGFMT_PAIR)} >= 2")),
+    ("key_value", _share(f"{_times(P.KEY_VALUE_PAIR)} >= 2")),
+    ("binary_hex", f"CASE WHEN {_dumps} >= 3 THEN 1e0 WHEN avg({_times(chr(92) + 'b[0-9a-fA-F]{2}' + chr(92) + 'b')}) >= 8 THEN 85e-2 ELSE 0e0 END"),
+)
+_claimed = " UNION ALL ".join(f"SELECT file_id, {k} AS nth, '{name}' AS parser_key, {name} AS score FROM g" for k, (name, _) in enumerate(_CLAIMS))
+
+
+@query(f"""{_mixed_sql(25)}, c AS (SELECT *, {_counted} FROM s), g AS (SELECT file_id, {", ".join(f"{v} AS {k}" for k, v in _CLAIMS)} FROM c GROUP BY file_id), u AS ({_claimed})
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY score DESC, nth) - 1 AS INT) AS rank, parser_key, round_even(score, 2) AS score FROM u WHERE score > 0""")
 def parser_claims(spark, d):
     """Which parsers have a claim on files of five formats."""
     return detect.parser_support(_mixed(spark, d))
 
 
-@query()
+@query(f"""{_mixed_sql(30)}, t AS (SELECT file_id, pos, trim(line) AS c FROM s),
+g AS (SELECT file_id, count(*) FILTER (WHERE pos <= 10 AND c LIKE '%,%') >= 3 AND count(*) FILTER (WHERE pos <= 10 AND c LIKE '%{{%') = 0 AS commas, bool_and(pos > 10 OR {_hit('^[{].*[}]$', 'c')}) AS objects,
+  bool_or(pos <= 10 AND {_hit('^<.*>$', 'c')}) AS tags, count(*) FILTER (WHERE pos <= 20 AND (c LIKE '<%Mar %' OR c LIKE '<%Jan %')) >= 3 AS dated FROM t GROUP BY file_id)
+SELECT file_id, CASE WHEN commas THEN 'csv' WHEN objects THEN 'json_lines' WHEN tags THEN 'xml' WHEN dated THEN 'syslog' ELSE 'plain_text' END AS format FROM (SELECT DISTINCT file_id FROM lines) LEFT JOIN g USING (file_id)""")
 def unified_formats(spark, d):
     """How the unified parser reads files of five formats."""
     m = _mixed(spark, d)

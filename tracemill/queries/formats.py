@@ -111,6 +111,28 @@ def xml_recipe_steps(spark, d):
     return structured.xml_documents(files).where("logical_name = 'recipe_steps'").select(F.replace(f["recipe_id"], F.lit(":1"), F.lit("")).alias("recipe_id"), f["step_seq"].alias("step_seq"), f["duration_s"].alias("duration_s"))
 
 
+_KEYS = "CAST(o_orderkey AS VARCHAR) || ':1' AS recipe_id"
+_STEP = "CAST(l_linenumber AS VARCHAR) AS step_seq"
+
+
+@query(f"""SELECT 'recipe' AS logical_name, {_KEYS}, NULL AS step_seq, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS a, o_orderstatus AS b FROM orders
+UNION ALL SELECT 'recipe_steps', {_KEYS}, {_STEP}, 's' || l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), NULL FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'recipe_setpoints', {_KEYS}, {_STEP}, 'part', CAST(l_partkey AS VARCHAR), NULL FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'recipe_interlocks', {_KEYS}, {_STEP}, l_returnflag, 'true', NULL FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
+UNION ALL SELECT 'recipe_tolerances', {_KEYS}, {_STEP}, 'supplier', CAST(l_suppkey AS VARCHAR), CAST(l_suppkey + 2 AS VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def xml_recipe_tables(spark, d):
+    """All five tables of orders as recipe documents: the head, and of each step its setpoint, interlock and tolerance."""
+    inner = "concat('<setpoint name=\"part\" value=\"', l_partkey, '\"/>', if(l_returnflag = 'R', '<interlock name=\"R\" required=\"true\"/>', ''), '<tolerance name=\"supplier\" low=\"', l_suppkey, '\" high=\"', l_suppkey + 2, '\"/>')"
+    step = F.expr(f"concat('<step seq=\"', l_linenumber, '\" name=\"s', l_linenumber, '\" duration_s=\"', cast(l_quantity as bigint), '\">', {inner}, '</step>')")
+    body = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(step), "").alias("steps"))
+    o = table(spark, d, "orders").join(body, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    head = "concat('<recipe name=\"', o_orderkey, '\" version=\"1\" tool=\"', o_orderpriority, '\" chamber=\"', o_orderstatus, '\">', coalesce(steps, ''), '</recipe>')"
+    files = o.selectExpr("cast(o_orderkey as string) as file_id", "concat(o_orderkey, '.xml') as filename", f"{head} as content")
+    f = F.col("fields")
+    told = lambda *keys: F.coalesce(*[f[k] for k in keys])
+    return structured.xml_documents(files).select("logical_name", f["recipe_id"].alias("recipe_id"), f["step_seq"].alias("step_seq"), told("recipe_name", "step_name", "setpoint_name", "interlock_name", "tolerance_name").alias("name"), told("tool", "duration_s", "setpoint_value", "interlock_required", "tolerance_low").alias("a"), told("chamber", "tolerance_high").alias("b"))
+
+
 @query(f"WITH {DOC_LINES}, p AS (SELECT {_LEVELS.format('line')} AS log_level FROM lines WHERE trim(line) <> '') SELECT log_level, count(*) AS n FROM p GROUP BY 1")
 def plain_line_levels(spark, d):
     """Levels of the plain lines of all documents."""

@@ -25,20 +25,21 @@ def unprintable_share(text: Column) -> Column:
     return F.coalesce(odd / F.greatest(F.length(kept), F.lit(1)), F.lit(0.0))
 
 
-def entropy(text: Column) -> Column:
-    """Bits for each character of a text, 0 if empty: a count of each distinct character, then their shares."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    counts = F.map_values(F.aggregate(chars, F.create_map().cast("map<string,int>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, _: k != c), F.create_map(c, F.coalesce(F.try_element_at(m, c), F.lit(0)) + 1))))
-    return F.when(n > 0, -F.aggregate(counts, F.lit(0.0), lambda z, k: z + k / n * F.log2(k / n))).otherwise(0.0)
+def _entropy(files: DataFrame, symbols: Column) -> DataFrame:
+    """file_id, entropy of an array of symbols, 0 if empty: they are counted by Spark, so that a large file is many small rows."""
+    n = files.select("file_id", F.explode_outer(symbols).alias("s")).groupBy("file_id", "s").agg(F.count("s").alias("k"))
+    total, spread = F.sum("k"), F.coalesce(F.sum(F.col("k") * F.log2("k")), F.lit(0.0))
+    return n.groupBy("file_id").agg(F.coalesce(F.log2(total) - spread / total, F.lit(0.0)).alias("entropy"))
+
+
+def character_entropy(files: DataFrame) -> DataFrame:
+    """file_id, entropy: bits for each character of content."""
+    return _entropy(files, F.filter(F.split("content", ""), lambda c: c != ""))
 
 
 def byte_entropy(files: DataFrame) -> DataFrame:
-    """file_id, entropy of the bytes: counted by Spark, so that large files are many small rows."""
-    hexed = F.regexp_extract_all(F.hex("bytes"), F.lit("(..)"), F.lit(1))
-    n = files.select("file_id", F.explode(hexed).alias("b")).groupBy("file_id", "b").agg(F.count("*").alias("k"))
-    g = n.groupBy("file_id").agg(F.sum("k").alias("total"), F.collect_list("k").alias("ks"))  # at most 256 counts
-    return g.select("file_id", (-F.aggregate("ks", F.lit(0.0), lambda z, k: z + k / F.col("total") * F.log2(k / F.col("total")))).alias("entropy"))
+    """file_id, entropy: bits for each of the bytes."""
+    return _entropy(files, F.regexp_extract_all(F.hex("bytes"), F.lit("(..)"), F.lit(1)))
 
 
 def base64_text(text: Column) -> Column:
