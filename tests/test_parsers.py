@@ -304,6 +304,28 @@ def test_unified_reads_each_file_by_its_format(spark):
     assert all({"message", "log_level", "source", "parse_confidence"} <= set(r.fields) for x in got.values() for r in x)
 
 
+def test_unified_units_of_json_and_commas(spark):
+    """One object is one unit, a list gives its objects, other files their lines; rows go under the header."""
+    rows = [
+        ("o", "one.json", '{"a": {"b": 1},\n "c": [1, 2]}'),
+        ("l", "list.json", '[{"a": 1}, 7, {"a": 2}]'),
+        ("n", "lines.json", '{"a": {"b": 1}}\nno object\n{"a": 2}'),
+        ("c", "t.csv", 'Tool ID,x,x\nT1,"1,5",2\n\nT2,3\nT3,4,5,6'),
+        ("h", "only.csv", "just a header"),
+        ("w", "words.json", "nothing here"),
+    ]
+    files = spark.createDataFrame(rows, "file_id string, filename string, content string")
+    got = {}
+    for r in engine._unified(files, lines_of(files)).collect():
+        own = {k: v for k, v in r.fields.items() if k not in ("source", "raw", "message", "log_level", "timestamp")}
+        got.setdefault(r.file_id, {})[r.row_no] = own
+    assert got["o"] == {1: {"a_b": "1", "c": "1,2", "parse_confidence": "0.98"}}
+    assert got["l"] == {1: {"a": "1", "parse_confidence": "0.97"}, 3: {"a": "2", "parse_confidence": "0.97"}}
+    assert got["n"] == {1: {"a_b": "1", "parse_confidence": "0.95"}, 3: {"a": "2", "parse_confidence": "0.95"}}
+    assert got["c"] == {2: {"tool_id": "T1", "x": "2", "parse_confidence": "0.95"}, 4: {"tool_id": "T2", "x": "3", "parse_confidence": "0.95"}, 5: {"tool_id": "T3", "x": "5", "parse_confidence": "0.95"}}
+    assert not {"h", "w"} & set(got)  # plain words in a structured file are noise
+
+
 def test_readable_decodes_binary_files(spark):
     import zlib
 

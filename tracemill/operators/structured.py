@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from .line_parsers import last_wins
+from .line_parsers import RAW_CHARS, last_wins
 
 RECORDS = "file_id string, filename string, logical_name string, row_no long, fields map<string,string>"
+UNITS = "file_id string, filename string, start_line long, end_line long, raw string, fields map<string,string>, confidence double"
 #: How deep nested objects get columns of their own; deeper ones are JSON text.
 DEPTH = 4
 # Names of the counts of well-known lists.
@@ -239,19 +240,48 @@ def json_value_fields(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
-def json_lines(lines: DataFrame) -> DataFrame:
-    """A record for each line that holds an object; nested objects become a_b keys, DEPTH levels deep."""
+def _with_line_fields(lines: DataFrame) -> DataFrame:
+    """The lines that hold an object with its fields; nested objects become a_b keys, DEPTH levels deep."""
     text = F.trim("line")
     d = lines.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>"))).where("e is not null")
     for _ in range(DEPTH):
         nested = F.exists("e", lambda x: F.coalesce(F.startswith(x["value"], F.lit("{")), F.lit(False)))
         d = d.withColumn("e", F.when(nested, F.flatten(F.transform("e", _one_level))).otherwise(F.col("e")))
     joined = F.transform("e", lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("k"), _list_text(e["value"]).alias("v")))
-    own = last_wins(F.filter(joined, lambda e: e["k"] != "source_file"))
-    fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), own)
+    return d.withColumn("fields", last_wins(F.filter(joined, lambda e: e["k"] != "source_file"))).drop("e")
+
+
+def json_lines(lines: DataFrame) -> DataFrame:
+    """A record for each line that holds an object."""
+    d = _with_line_fields(lines)
+    fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), "fields")
     return d.select("file_id", "filename", F.lit("json_records").alias("logical_name"), F.col("line_no").alias("row_no"), fields.alias("fields"))
 
 
+def _whole_units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for r in frame.itertuples():
+            try:
+                root = json.loads(r.content)
+            except ValueError:  # what JSON readers differ in
+                continue
+            if isinstance(root, dict):
+                rows.append((r.file_id, r.filename, 1, len(r.content.splitlines()), r.content.strip()[:RAW_CHARS], flatten(root), 0.98))
+            elif isinstance(root, list):
+                rows += [(r.file_id, r.filename, k, k, _dump(x), flatten(x), 0.97) for k, x in enumerate(root, 1) if isinstance(x, dict)]
+        yield pd.DataFrame(rows, columns=["file_id", "filename", "start_line", "end_line", "raw", "fields", "confidence"])
+
+
+def json_units(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Units of JSON files: a document that is one object whole, the objects of one that is a list, else each line that holds an object."""
+    is_whole = F.coalesce(S.is_json(F.trim("content")), F.lit(False))
+    whole = files.where(is_whole).select("file_id", "filename", "content").mapInPandas(_whole_units, UNITS)
+    each = _with_line_fields(lines.join(files.where(is_whole).select("file_id"), "file_id", "left_anti"))
+    each = each.select("file_id", "filename", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.trim("line").alias("raw"), "fields", F.lit(0.95).alias("confidence"))
+    return whole.unionByName(each)
+
+
 def _one_level(e: Column) -> Column:
     inner = F.from_json(F.when(F.startswith(e["value"], F.lit("{")), e["value"]), "map<string,string>")
     opened = F.transform(F.map_entries(inner), lambda x: F.struct(F.concat(e["key"], F.lit("_"), x["key"]).alias("key"), x["value"].alias("value")))
@@ -333,6 +363,21 @@ def delimited(lines: DataFrame) -> DataFrame:
     return d.select("file_id", "filename", S.logical_name(F.col("filename")).alias("logical_name"), F.row_number().over(w).cast("long").alias("row_no"), fields.alias("fields"))
 
 
+def comma_units(lines: DataFrame) -> DataFrame:
+    """Units of comma-separated files: each line after the first non-blank one, cells under its names, the last of equal names.
+
+    Cells that a short line lacks are no fields, cells beyond the names are left out.
+    """
+    told = lines.where(F.col("line").rlike(r"\S"))
+    heads = told.groupBy("file_id").agg(F.min(F.struct("line_no", "line")).alias("head"))
+    d = told.join(heads, "file_id").where(F.col("line_no") > F.col("head.line_no"))
+    cells = lambda c: _cells(c, F.lit(","))
+    pairs = F.arrays_zip(cells(F.col("head.line")).alias("k"), cells(F.col("line")).alias("v"))
+    own = F.filter(pairs, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    fields = last_wins(F.transform(own, lambda e: F.struct(S.sanitize_identifier(e["k"]).alias("k"), F.trim(e["v"]).alias("v"))))
+    return d.select("file_id", "filename", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("line").alias("raw"), fields.alias("fields"), F.lit(0.95).alias("confidence"))
+
+
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _xml_map(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: xml_fields(t) if isinstance(t, str) and t.startswith("<") and "<!ENTITY" not in t else {})

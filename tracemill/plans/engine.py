@@ -41,10 +41,19 @@ def _json(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _unified(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Units as each file's format asks for: lines or blocks, XML elements by their leaves, pairs under section headers; pruned and covered."""
+    """Units as each file's format asks for: JSON documents or objects, rows under a header, XML elements by their leaves, else lines or blocks; pruned and covered.
+
+    A JSON or comma-separated file that gives none is read by lines.
+    """
     seen = detect.classify(files, lines).select("file_id", "filename", "detected_format")
     formats = written(detect.unified_format(lines, seen))
-    found = line_parsers.extract_fields(line_parsers.units(lines, formats))
+    of = lambda fmt: formats.where(F.col("format") == fmt).select("file_id")
+    rows = structured.comma_units(lines.join(of("csv"), "file_id", "left_semi"))
+    objects = structured.json_units(*[d.join(of("json_lines"), "file_id", "left_semi") for d in (files, lines)])
+    own = written(rows.unionByName(objects))
+    rest = lines.join(own.select("file_id").distinct(), "file_id", "left_anti")
+    found = line_parsers.extract_fields(line_parsers.units(rest, formats))
+    found = found.unionByName(own.join(formats, "file_id"))
     xml = F.col("format") == "xml"
     found = found.where(~xml).unionByName(structured.with_xml_fields(found.where(xml)).select(*found.columns))
     units = line_parsers.cover(line_parsers.prune(found, F.col("format")))
