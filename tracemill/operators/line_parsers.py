@@ -191,10 +191,16 @@ def blocks(lines: DataFrame) -> DataFrame:
     start_line, end_line, n_lines, raw.
     """
     d = _parted(lines).withColumn("blank", F.coalesce(F.btrim("line", F.lit(_SPACE)) == "", F.lit(True)))
-    d = _with_before(d, "blank", "after_blank")
-    after_text = F.coalesce(~F.col("after_blank"), F.lit(False))
-    opens = ~F.col("blank") & ~(F.col("line").rlike(P.CONTINUATION) & after_text)
-    d = _with_running(d.withColumn("opens", opens.cast("int")), "opens", "block").where(~F.col("blank"))
+    d = d.withColumn("more", F.coalesce(F.col("line").rlike(P.CONTINUATION), F.lit(False))).withColumn("after_blank", F.lag("blank").over(_inside()))
+    opens = lambda blank, more, after_blank: (~blank & ~(more & ~after_blank)).cast("int")
+    # whether a part's first line opens a block hangs on the part before
+    d = d.withColumn("opens", F.when(F.col("after_blank").isNull(), 0).otherwise(opens(F.col("blank"), F.col("more"), F.col("after_blank"))))
+    parts = d.groupBy("file_id", "part").agg(F.min_by(F.struct("blank", "more"), "line_no").alias("head"), F.max_by("blank", "line_no").alias("end"), F.sum("opens").alias("held"))
+    ahead = F.coalesce(F.lag("end").over(Window.partitionBy("file_id").orderBy("part")), F.lit(True))
+    parts = parts.withColumn("first", opens(F.col("head.blank"), F.col("head.more"), ahead))
+    base = F.coalesce(F.sum(F.col("held") + F.col("first")).over(_parts_before()), F.lit(0)) + F.col("first")
+    parts = parts.select("file_id", "part", base.alias("base"))
+    d = d.withColumn("run", F.sum("opens").over(_inside())).join(parts, ["file_id", "part"]).withColumn("block", F.col("base") + F.col("run")).where(~F.col("blank"))
     told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     out = d.groupBy("file_id", "filename", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), told.alias("told"))
     return out.select("file_id", "filename", "start_line", "end_line", "n_lines", F.array_join(F.transform("told", lambda x: x["line"]), "\n").alias("raw"))
