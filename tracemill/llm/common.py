@@ -61,6 +61,22 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Of the bitmap in only_marked() (4 MB).
+BITS = 1 << 25
+
+
+def only_marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """df without most of the rows whose value (a bigint) none of keys has, before they move: a bitmap of BITS bits, whatever the size.
+
+    The more of it is set, the fewer it holds back; the join that follows decides.
+    """
+    slot = F.pmod(column, F.lit(BITS)) + 1
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    d = df.withColumn("__bit", F.bitmap_bit_position(slot)).join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("__bucket"))
+    byte = "cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return d.where(F.expr(f"shiftright({byte}, cast(__bit % 8 as int)) & 1 = 1")).select(*df.columns)
+
+
 def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns, cast; extra columns are left behind."""
     return df.select(*[df[c].cast(kind).alias(c) for c, kind in kinds.items()])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, langid, mixing, pii, quality, sharding, simhash, suffix_dedup
+from . import chat, decontaminate, divergence, fim, html_extract, langid, minhash, mixing, pii, quality, sharding, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +57,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.rearranged(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_suffix_array_dedup, op2_pii, op3_sharding, op4_language_id, op5_html_extraction, op6_decontamination, op7_quality_rules, op8_simhash_dedup, op9_chat_formatting, op10_mixing)
+    ops = (op1_suffix_array_dedup, op2_pii, op3_sharding, op4_language_id, op5_html_extraction, op6_decontamination, op7_quality_rules, op8_simhash_dedup, op9_chat_formatting, op10_mixing, op11_fim, op12_divergence, op13_minhash_dedup)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.SQL, "op10_mixing": mixing.SQL}
+    return {"op9_chat_formatting": chat.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL, "op12_divergence": divergence.SQL, "op13_minhash_dedup": minhash.SQL}
