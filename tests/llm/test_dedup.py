@@ -77,7 +77,7 @@ def test_neighbours_across_batches(size):
         whole = {r["at"]: r for r in got if r["sort"] == suffix_dedup.WHOLE}
         assert len(whole) == sum(r["sort"] == suffix_dedup.WHOLE for r in got) and set(whole) == {k for k in range(n) if classes.count(classes[k]) > 1}
         assert all(r["first"] == ids[classes.index(classes[k])] for k, r in whole.items())
-        assert all((r["key"], r["ext"]) == (classes[0] if classes[k] == classes[0] else (None, None)) for k, r in whole.items())
+        assert all((r["key"], r["ext"]) == classes[r["at"]] for r in got)
         assert [(r["key"], r["ext"], r["first"]) for r in got if r["sort"] == suffix_dedup.LAST] == [(*classes[-1], ids[classes.index(classes[-1])])]
         other = lambda k, j: 0 <= j < n and keys[j] == keys[k] and exts[j] != exts[k]
         assert [r["at"] for r in got if r["sort"] == suffix_dedup.BESIDE] == [k for k in range(n) if k in (0, n - 1) or other(k, k - 1) or other(k, k + 1)]
@@ -90,6 +90,40 @@ def test_a_class_that_partitions_share_has_its_least_id(spark):
     assert {r.first_doc_id for r in got.collect()} == {0} and spans(got) == repeats(docs)
 
 
+def firsts(docs: list[tuple]) -> dict:
+    """id -> the least id of the documents that hold one of its 50-word windows."""
+    seen = defaultdict(set)
+    for d, text in docs:
+        w = text.encode().split()
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add((d, i))
+    out: dict = {}
+    for places in seen.values():
+        if len(places) > 1:
+            for d, _ in places:
+                out[d] = min(out.get(d, d), *(p[0] for p in places))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_ids_reach_all_of_a_class(spark, seed):
+    """Equal documents and others that share a part of them, with ids in any order."""
+    rng = np.random.RandomState(seed)
+    base = [prose(140, 900 + k) for k in range(3)]
+    docs = []
+    for k in rng.permutation(40).tolist():
+        w = base[k % 3].split()
+        cut = int(rng.randint(0, 80))
+        docs.append((k, " ".join(w) if k % 4 else f"{prose(20 + k, 950 + k)} {' '.join(w[cut : cut + 58])} {prose(30, 990 + k)}"))
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.first_doc_id for r in got.collect()} == firsts(docs)
+
+
+def test_first_ids_on_the_table(documents, texts):
+    got = suffix_dedup.repeated_passages(documents)
+    assert {r.doc_id: r.first_doc_id for r in got.collect()} == firsts([(d, t or "") for d, t in texts.items()])
+
+
 def test_windows_are_hashes_of_runs():
     h = np.random.RandomState(1).randint(0, 2**63, 200).astype(np.uint64)
     for n, got in zip((10, 31, 50), suffix_dedup._windows(h, 10, 31, 50)):

@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL, "op12_divergence": divergence.SQL, "op13_minhash_dedup": minhash.SQL}
+    return {"op1_suffix_array_dedup": suffix_dedup.SQL, "op9_chat_formatting": chat.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL, "op12_divergence": divergence.SQL, "op13_minhash_dedup": minhash.SQL}

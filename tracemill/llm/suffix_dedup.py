@@ -15,8 +15,9 @@ at least REACH words of the passage follow it. So:
 3. those between others of the same first words but of another context, and one
    of each class of equal contexts beside them, are extended in their texts word
    by word: each passage of PASSAGE words around them, from the farthest left to
-   the farthest right, is compared across the corpus by 128 bits. Overlapping
-   and touching passages of a document are one span.
+   the farthest right, is compared across the corpus by 128 bits. What one of a
+   class finds holds for all of it, and whom it finds are all of another class.
+   Overlapping and touching passages of a document are one span.
 
 Every step costs in proportion to the text, however large a group of copies is.
 """
@@ -31,13 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, drop, raw_texts, stash
+from .common import columns_of, drop, only_marked, raw_texts, stash
 
 PASSAGE, GRAM, SPAN = 50, 10, 30
 REACH = PASSAGE - SPAN + 1
 _M, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Of the bitmap that tells which texts are read again (4 MB).
-BITS = 1 << 25
 #: Stands for words beyond a text's ends.
 _BEYOND = np.uint64(0xA0761D6478BD642F)
 
@@ -147,24 +146,20 @@ WHOLE, BESIDE, LAST = range(3)
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes and their neighbours: (doc_id, mark, at, size, sort, first, key, ext).
 
-    WHOLE: the context equals a neighbour's; first is the least id of the class in
-    this partition. That is the least of all, for a class is in order of ids,
-    unless it is the partition's first and goes on from another: then key and ext
-    are given. LAST: key and ext of the partition's last class and its first; one
-    row. BESIDE: to be extended in the text. A partition's first and last suffix
+    first is the least id of the class in this partition. That is the least of
+    all, for a class is in order of ids, unless it is the partition's first and
+    goes on from another. WHOLE: the context equals a neighbour's. LAST: the
+    partition's last class; one row. BESIDE: to be extended in the text. A partition's first and last suffix
     may have their equals in the next one and always are. A suffix may give a row
     of each sort.
     """
     held, before = None, None  # the last row, not given yet, and what is known of the one before it
-    opening = None  # the class that the partition begins with
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
         key, ext = t.column("key").to_numpy(), t.column("ext").to_numpy()
         n = len(key)
-        if opening is None:
-            opening = (key[0], ext[0])
         # of each row: does the one before it have the same first words, the same context
         near, same = np.zeros(n, bool), np.zeros(n, bool)
         near[1:], same[1:] = key[1:] == key[:-1], (key[1:] == key[:-1]) & (ext[1:] == ext[:-1])
@@ -184,25 +179,22 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = (near[own] & ~same[own]) | (near[own + 1] & ~same[own + 1])
         if edge and n > 1:
             beside[0] = True  # a partition's first row
-        yield from _told(t, heads, opening, np.flatnonzero(whole), np.flatnonzero(beside))
+        yield from _told(t, heads, np.flatnonzero(whole), np.flatnonzero(beside))
         held, before = t.slice(n - 1), (near[n - 1], same[n - 1], heads[n - 1].as_py(), edge and n == 1)
     if held is not None:
         near, same, head, _ = before
-        yield from _told(held, pa.array([head], pa.int64()), opening, np.flatnonzero([same]), np.zeros(1, int), last=True)
+        yield from _told(held, pa.array([head], pa.int64()), np.flatnonzero([same]), np.zeros(1, int), last=True)
 
 
-def _told(t: pa.RecordBatch, heads: pa.Array, opening: tuple[int, int], whole: np.ndarray, beside: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
-    key, ext = t.column("key").to_numpy(), t.column("ext").to_numpy()
-    inner = ~((key == opening[0]) & (ext == opening[1]))
+def _told(t: pa.RecordBatch, heads: pa.Array, whole: np.ndarray, beside: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
     for rows, sort in ((whole, WHOLE), (beside, BESIDE), (np.zeros(int(last), int), LAST)):
         if len(rows):
             at = pa.array(rows)
-            hidden = {WHOLE: inner[rows], BESIDE: np.ones(len(rows), bool), LAST: np.zeros(len(rows), bool)}[sort]
-            told = [*[t.column(c).take(at) for c in ("doc_id", "mark", "at", "size")], pa.array(np.full(len(rows), sort, np.int8)), heads.take(at), *[pa.array(x[rows], mask=hidden) for x in (key, ext)]]
+            told = [*[t.column(c).take(at) for c in ("doc_id", "mark", "at", "size")], pa.array(np.full(len(rows), sort, np.int8)), heads.take(at), *[t.column(c).take(at) for c in ("key", "ext")]]
             yield pa.RecordBatch.from_arrays(told, ["doc_id", "mark", "at", "size", "sort", "first", "key", "ext"])
 
 
-_WINDOW = dict(k1=np.int64, k2=np.int64, doc_id=np.int64, mark=np.int64, at=np.int32)
+_WINDOW = dict(k1=np.int64, k2=np.int64, doc_id=np.int64, mark=np.int64, at=np.int32, place=np.int32)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +211,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k[off] += 1  # the leftmost minimum of the window
             chosen = starts[np.isin(retained[k], wanted)]
             k1, k2 = (_spread(_windows(h, PASSAGE, by=m)[0])[chosen].view(np.int64) for m in (_M, _M2))
-            rows.add(len(chosen), k1=k1, k2=k2, doc_id=doc, mark=mark, at=chosen)
+            rows.add(len(chosen), k1=k1, k2=k2, doc_id=doc, mark=mark, at=chosen, place=retained[k][chosen])
             if rows.n > 200_000:
                 yield rows.taken()
     yield rows.taken()
@@ -240,18 +232,6 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("first_doc_id"), pa.array([x.count(",") + 1 for x in spans], pa.int32()), pa.array(covered, pa.int64()), pa.array(spans, pa.string())], ["doc_id", "first_doc_id", "n_spans", "n_words", "spans"])
 
 
-def _asked(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """docs without most of those that no mark asks for, before their texts move: a bitmap of BITS bits, whatever the size.
-
-    The more of it is set, the fewer it holds back; the join that follows decides.
-    """
-    slot = F.pmod("mark", F.lit(BITS)) + 1
-    bitmaps = beside.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    d = docs.withColumn("bit", F.bitmap_bit_position(slot)).join(F.broadcast(bitmaps), F.bitmap_bucket_number(slot) == F.col("bucket"))
-    byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    return d.where(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) & 1 = 1")).select(*docs.columns)
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each document with passages of PASSAGE words or more that occur elsewhere too.
 
@@ -269,22 +249,51 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     told = stash(ordered.mapInArrow(_compared, "doc_id long, mark long, at int, size int, sort byte, first long, key long, ext long"), "suffix-neighbours")
     drop(suffixes)
 
-    # extended over the whole context; a class that began in an earlier partition has its least id from there (a row for each
-    # partition, so that the table is bounded)
+    # a class that began in an earlier partition has its least id from there (a row for each partition, so that the table is bounded)
     least = told.where(F.col("sort") == LAST).groupBy("key", "ext").agg(F.min("first").alias("least"))
-    whole = told.where(F.col("sort") == WHOLE).join(F.broadcast(least), ["key", "ext"], "left").withColumn("first", F.coalesce("least", "first"))
+    known = told.where(F.col("sort") != LAST).join(F.broadcast(least), ["key", "ext"], "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+
+    # extended over the whole context
     part = F.struct(F.greatest(F.col("at") - (SPAN - 1), F.lit(0)).alias("a"), F.least(F.col("at") + PASSAGE, F.col("size")).alias("b"))
-    whole = whole.select("doc_id", "mark", "first", part.alias("part"))
+    whole = known.where(F.col("sort") == WHOLE).select("key", "ext", "doc_id", "mark", "first", part.alias("part"))
 
     # extended in the text
-    beside = told.where(F.col("sort") == BESIDE)
+    beside = known.where(F.col("sort") == BESIDE)
     places = beside.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
-    a, b = _asked(docs, beside).alias("a"), places.alias("b")
+    a, b = only_marked(docs, beside, "mark").alias("a"), places.alias("b")
     left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))).select("a.doc_id", "a.mark", "a.text", "b.places")
-    windows = stash(left.mapInArrow(_extended, "k1 long, k2 long, doc_id long, mark long, at int"), "suffix-windows")
+    windows = stash(left.mapInArrow(_extended, "k1 long, k2 long, doc_id long, mark long, at int, place int"), "suffix-windows")
     # a table of its own: both sides of the join are then plain exchanges, and Spark can split a hot key
-    twice = stash(windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "suffix-repeats")
+    twice = stash(windows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-repeats")
+    some = stash(windows.join(twice, ["k1", "k2"]), "suffix-found")
+
+    # a passage's first is the least id of all classes that hold it, and every one of these classes shares it
+    w, c = some.alias("w"), beside.alias("c")
+    own = w.join(c, F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.mark") == F.col("c.mark")) & (F.col("w.place") == F.col("c.at")))
+    own = own.select("w.k1", "w.k2", "w.doc_id", "w.mark", F.col("w.at").alias("at"), "c.key", "c.ext", "c.first")
+    own = stash(own, "suffix-owners")
+    firsts = own.groupBy("k1", "k2").agg(F.min("first").alias("least"))
+    told_of = stash(own.join(firsts, ["k1", "k2"]), "suffix-firsts")
     part = F.struct(F.col("at").alias("a"), (F.col("at") + PASSAGE).alias("b"))
-    some = windows.join(twice, ["k1", "k2"]).select("doc_id", "mark", "first", part.alias("part"))
-    found = whole.unionByName(some).groupBy("doc_id", "mark").agg(F.min("first").alias("first_doc_id"), F.collect_set("part").alias("parts"))
+    spans = told_of.select("doc_id", "mark", F.col("least").alias("first"), part.alias("part"))
+    classes = told_of.groupBy("key", "ext").agg(F.min("least").alias("least"))
+    classes = stash(classes, "suffix-classes")
+    learned = only_marked(whole, classes, "key").join(classes, ["key", "ext"]).select("doc_id", "mark", F.col("least").alias("first"), "part")
+    found = whole.drop("key", "ext").unionByName(learned).unionByName(spans).groupBy("doc_id", "mark").agg(F.min("first").alias("first_doc_id"), F.collect_set("part").alias("parts"))
     return found.drop("mark").mapInArrow(_merged, "doc_id long, first_doc_id long, n_spans int, n_words long, spans string")
+
+
+#: Windows of PASSAGE words that occur twice, and the least id among the documents that hold one of them.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), windows AS (
+  SELECT id, doc_id, i - 1 AS pos, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), twice AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING count(*) > 1),
+found AS (SELECT w.id, w.doc_id, w.pos, t.first FROM windows w JOIN twice t ON w.k = t.k),
+marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER o + 50 THEN 0 ELSE 1 END AS opens FROM found WINDOW o AS (PARTITION BY id ORDER BY pos)),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS run FROM marked),
+spans AS (SELECT id, doc_id, run, min(pos) AS a, max(pos) + 50 AS b, min(first) AS first FROM runs GROUP BY ALL)
+SELECT doc_id, min(first) AS first_doc_id, CAST(count(*) AS INTEGER) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_words, string_agg(a || ':' || b, ',' ORDER BY a) AS spans
+FROM spans GROUP BY id, doc_id
+"""
