@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,6 +62,39 @@ def test_pii_of_odd_rows(spark, odd, empty):
     check_pii(pii.find(docs).collect(), list(enumerate(tricky)))
 
 
+LONG = ["ab at cd{ dot com}", "ab (at) cd{ (dot) com}", "a@b{.c}", "{1.2.3.4.}", "{+1 (555) 123-4567 }", "{4111 1111 1111 1111, }", "{token=}", "{a@}", "{x}@", "{1234567,}", "{12,}", "{a@b.co 10.0.0.1 }"]
+
+
+def test_pii_of_very_long_texts(spark):
+    """Neither recursion nor copies: near-matches a million characters long take time in proportion, and short ones are right."""
+    made = lambda form, n: re.sub(r"\{(.*)\}", lambda m: m[1] * (n // len(m[1])), form)
+    short = [(k, made(form, 900)) for k, form in enumerate(LONG)]
+    check_pii(pii.find(spark.createDataFrame(short, "doc_id long, text string")).collect(), short)
+    for k, form in enumerate(LONG):
+        began = time.perf_counter()
+        text = made(form, 240_000)
+        rows = pii.find(spark.createDataFrame([(k, text)], "doc_id long, text string")).collect()
+        assert len(rows) == 1 and time.perf_counter() - began < 60, form
+        assert rows[0].n_email == {"a@b{.c}": 1, "{a@b.co 10.0.0.1 }": 240_000 // 16}.get(form, 0)
+        assert rows[0].n_ip == {"{1.2.3.4.}": 30_000, "{a@b.co 10.0.0.1 }": 240_000 // 16}.get(form, 0)
+
+
+def test_pii_walks_and_searches(spark):
+    d = spark.range(4).selectExpr("transform(sequence(1, cast(id * 700 as int)), k -> cast(k as int)) as a").where("size(a) > 1 or a is null").unionByName(spark.createDataFrame([([],)], "a array<int>"))
+    sums = pii._walked("a", "0", "z.at + x", "array_append(z.out, z.at + x)", "int")
+    for r in d.selectExpr("a", f"{sums} as s", f"{pii._below('a', '350')} as k").collect():
+        assert r.s == list(np.cumsum(r.a)) and r.k == sum(x < 350 for x in r.a)
+
+
+def test_pii_overlaps_of_many_base_spans_are_those_of_few(spark, monkeypatch):
+    texts = [f"mail a{k}@b.co token=ab{k}cd-1234567890abcdef+1{k}5551234567 call 555 123 45{k:02d} 10.0.0.{k % 256} " for k in range(60)]
+    docs = spark.createDataFrame([(k, "".join(texts[k : k + 20])) for k in range(40)], "doc_id long, text string")
+    told = lambda: sorted((r.doc_id, [(c.s, c.e, c.gen, c.y, c.over) for c in r.cands]) for r in pii._candidates(pii._with_spans(docs)).collect())
+    many = told()
+    monkeypatch.setattr(pii, "FEW", 10_000)
+    assert told() == many and any(c[4] for _, cs in many for c in cs)
+
+
 def test_pii_adds_secrets_and_no_more(spark):
     """Recall and precision of the added spans on a table that holds keys, tokens and passwords."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
