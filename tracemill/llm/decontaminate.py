@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, stash
 
-#: One edit for so many characters of the item.
+#: One edit for so many characters of the item in normal form. What has no edit to spare must stand between word borders, for a few
+#: letters lie in many words.
 CHARS_AN_EDIT = 16
-#: Items with fewer characters in normal form allow no edit and match at word borders only, for a few letters lie in many words.
-WHOLE_WORDS = 24
 #: Bytes of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
 
@@ -69,7 +68,7 @@ class Items:
     """A block of benchmark items and the automaton of their pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, x, 0 if len(x) < WHOLE_WORDS else len(x) // CHARS_AN_EDIT) for i, x in items if x]
+        self.items = [(i, x, len(x) // CHARS_AN_EDIT) for i, x in items if x]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, x, k) in enumerate(self.items):
             cuts = [len(x) * j // (k + 1) for j in range(k + 2)]
@@ -94,7 +93,7 @@ class Items:
         for n, starts in hits.items():
             item, x, k = self.items[n]
             whole = (s for s in starts if s >= 0 and text.startswith(x, s))
-            if any(len(x) >= WHOLE_WORDS or not _inside_word(text, s, s + len(x)) for s in whole):
+            if any(k or not _inside_word(text, s, s + len(x)) for s in whole):
                 found[item] = 0
             elif k and found.get(item) != 0:
                 for a, b in _merged((s - k, s + len(x) + k) for s in sorted(starts)):
@@ -137,8 +136,10 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits): one row for each document and item it holds with at most its error budget of edits.
 
-    Null texts hold nothing, and null and blank items are in nothing. An item under
-    WHOLE_WORDS characters counts where it stands between word borders unedited.
+    Null texts hold nothing, and null and blank items are in nothing. An item of
+    fewer than CHARS_AN_EDIT characters, which has no edit to spare, counts where it
+    stands between word borders. Texts are searched whole, however long, and
+    columns other than doc_id and text are left behind.
     Rows that repeat a doc_id report for themselves, and so do equal items.
     """
     docs = columns_of(docs, doc_id="long", text="string")
