@@ -156,14 +156,6 @@ def test_templates_evolve(spark):
     assert [(r["count"], r.n_merged) for r in e] == [(30, 2)]
 
 
-def test_packing():
-    assert line_parsers._packed(400, [], 500, 2000) == [(1, 400)]
-    assert line_parsers._packed(1200, [], 500, 2000) == [(1, 500), (501, 1000), (1001, 1200)]
-    assert line_parsers._packed(1200, [300, 450, 900], 500, 2000) == [(1, 449), (450, 899), (900, 1200)]
-    got = line_parsers._packed(5000, [100], 500, 2000)
-    assert got[0] == (1, 99) and got[1] == (100, 599) and got[-1][1] == 5000
-
-
 def test_gate(spark):
     t = spark.createDataFrame([("a", None, "x", "x"), ("b", None, "y", "y")], "k string, v string, raw string, message string")
     g = quality.evaluate("t", t, ["k", "v"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import patterns as P
-from tracemill.operators import cache, detect, line_parsers, templates
+from tracemill.operators import cache, detect, line_parsers, structured, templates
 
 TEXTS = ("", "  ", "2024-01-01 00:00:00 ERROR boom", "    at a.b(C.java:1)", "Caused by: x", "--- part one ---", "k = 1", "plain", "00000000  41 42 43 44")
 
@@ -103,3 +103,50 @@ def test_evictions_and_few_shots(spark):
     assert sorted(r.schema_key for r in kept) == ["k0", "k1"]
     shots = spark.createDataFrame([("s1", "csv", "fab", 0.9, 3), ("s2", "csv", "unknown", 0.8, 5), ("s3", "csv", "web", 0.9, 9), ("s4", "xml", "fab", 0.7, 3)], "signature string, format string, domain string, confidence double, usage int")
     assert [r.signature for r in cache.few_shots(shots, "fab").collect()] == ["s2", "s1", "s4"]
+
+
+def _packed(n, cuts, target, most):
+    """One step after another."""
+    edges = [1, *cuts, n + 1] if cuts else [*range(1, n + 1, target), n + 1]
+    out, at = [], 0
+    while at < len(edges) - 1:
+        a, b = edges[at], edges[at + 1]
+        if b - a > most:
+            out += [(k, min(k + target, b) - 1) for k in range(a, b, target)]
+            at += 1
+            continue
+        to = at + 1
+        while to < len(edges) - 1 and edges[to + 1] - a <= target:
+            to += 1
+        out.append((a, edges[to] - 1))
+        at = to
+    return out
+
+
+def test_packed_chunks_by_doubling(spark, parts):
+    r = random.Random(7)
+    files = {"short": (40, []), "even": (230, []), "edge": (50, [26]), "huge": (900, [100]), "many": (600, sorted(r.sample(range(2, 600), 150))), "few": (700, sorted(r.sample(range(2, 700), 8)))}
+    told = [(f, f, k, "--- part ---" if k in cuts else "x") for f, (n, cuts) in files.items() for k in range(1, n + 1)]
+    lines = spark.createDataFrame(told, "file_id string, filename string, line_no long, line string").repartition(4)
+    got: dict = {}
+    for x in sorted(line_parsers.packed_chunks(lines, 50, 200).collect(), key=lambda x: (x.file_id, x.chunk)):
+        assert x.chunk == len(got.setdefault(x.file_id, []))
+        got[x.file_id].append((x.start_line, x.end_line))
+    assert got == {f: _packed(n, cuts, 50, 200) for f, (n, cuts) in files.items()}
+
+
+def test_units_of_endless_blocks_are_bounded(spark, parts):
+    lines = spark.range(3000).selectExpr("if(id < 2500, 'yaml', 'one') as file_id", "'f' as filename", "id + 1 as line_no", "if(id in (0, 2500), 'head', concat('    indented ', id, repeat('.', 40))) as line")
+    whole = {r.file_id: r for r in line_parsers.blocks(lines).collect()}
+    cut = {r.file_id: r for r in line_parsers.blocks(lines, 1000).collect()}
+    one = {r.file_id: r for r in line_parsers.file_units(lines, 1000).collect()}
+    for f, r in whole.items():
+        assert cut[f].raw == r.raw[:1000] == one[f].raw and len(r.raw) > 1000
+        assert (cut[f].start_line, cut[f].end_line, cut[f].n_lines) == (r.start_line, r.end_line, r.n_lines) and one[f].end_line == r.end_line
+
+
+def test_delimited_rows_are_numbered_in_parts(spark, parts):
+    told = [(f, f"{f}.csv", k, "name,n" if k == 2 else "" if k % 7 == 1 else f"row {k},{k}") for f in "ab" for k in range(1, 60)]
+    got = structured.delimited(spark.createDataFrame(told, "file_id string, filename string, line_no long, line string").repartition(5)).collect()
+    want = {(f, k, str(n)) for f in "ab" for k, n in enumerate((n for n in range(3, 60) if n % 7 != 1), 1)}
+    assert {(r.file_id, r.row_no, r.fields["n"]) for r in got} == want

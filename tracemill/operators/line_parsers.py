@@ -14,8 +14,11 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..sources.shared import written
 
 RAW_CHARS, MESSAGE_CHARS = 4000, 500
+#: Of a unit of many lines, so many characters are gathered.
+UNIT_CHARS = 20_000
 _KEYS = ("file_id", "filename", "line_no")
 
 
@@ -72,6 +75,12 @@ def _with_running(d: DataFrame, value: str, name: str) -> DataFrame:
     return d.withColumn(name, F.col("base") + F.col(name)).drop("base")
 
 
+def numbered_rows(lines: DataFrame) -> DataFrame:
+    """Lines with row_no, their place among the file's given lines from 1."""
+    d = _with_running(_parted(lines).withColumn("one", F.lit(1).cast("long")), "one", "row_no")
+    return d.drop("one", "part")
+
+
 def _tail(message: Column) -> list[Column]:
     return [F.substring("line", 1, RAW_CHARS).alias("raw"), F.substring(message, 1, MESSAGE_CHARS).alias("message")]
 
@@ -184,11 +193,19 @@ def rejected(lines: DataFrame, parser: str) -> DataFrame:
 # -- units of several lines --------------------------------------------------------
 
 
-def blocks(lines: DataFrame) -> DataFrame:
+def _with_offset(d: DataFrame) -> DataFrame:
+    """Parted lines with offset: the characters of the file's lines before, ends of lines included."""
+    d = _with_running(d.withColumn("chars", F.length("line") + 1), "chars", "upto")
+    return d.withColumn("offset", F.col("upto") - F.col("chars")).drop("chars", "upto")
+
+
+def blocks(lines: DataFrame, most: int | None = None) -> DataFrame:
     """Lines with their continuations (stack frames, causes, indented text) as one record.
 
     A blank line ends a block; any other line that continues nothing begins one.
-    start_line, end_line, n_lines, raw.
+    start_line, end_line, n_lines, raw. With most, raw is the first so many
+    characters, and no more than the lines that hold them is gathered, however
+    long the block.
     """
     d = _parted(lines).withColumn("blank", F.coalesce(F.btrim("line", F.lit(_SPACE)) == "", F.lit(True)))
     d = d.withColumn("more", F.coalesce(F.col("line").rlike(P.CONTINUATION), F.lit(False))).withColumn("after_blank", F.lag("blank").over(_inside()))
@@ -201,9 +218,16 @@ def blocks(lines: DataFrame) -> DataFrame:
     base = F.coalesce(F.sum(F.col("held") + F.col("first")).over(_parts_before()), F.lit(0)) + F.col("first")
     parts = parts.select("file_id", "part", base.alias("base"))
     d = d.withColumn("run", F.sum("opens").over(_inside())).join(parts, ["file_id", "part"]).withColumn("block", F.col("base") + F.col("run")).where(~F.col("blank"))
-    told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    taken = F.struct("line_no", "line")
+    if most is not None:
+        d = _with_offset(d)
+        opened = d.groupBy("file_id", "block").agg(F.min("offset").alias("opened"))
+        d = d.join(opened, ["file_id", "block"])
+        taken = F.when(F.col("offset") - F.col("opened") < most, F.struct("line_no", F.substring("line", 1, most).alias("line")))
+    told = F.sort_array(F.collect_list(taken))
     out = d.groupBy("file_id", "filename", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), told.alias("told"))
-    return out.select("file_id", "filename", "start_line", "end_line", "n_lines", F.array_join(F.transform("told", lambda x: x["line"]), "\n").alias("raw"))
+    raw = F.array_join(F.transform("told", lambda x: x["line"]), "\n")
+    return out.select("file_id", "filename", "start_line", "end_line", "n_lines", (raw if most is None else F.substring(raw, 1, most)).alias("raw"))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -217,10 +241,11 @@ def sections(lines: DataFrame) -> DataFrame:
     return d.select(*_KEYS, "section", S.sanitize_identifier(F.regexp_extract("line", pair, 1)).alias("key"), cast["kind"].alias("kind"), cast["value"].alias("value"))
 
 
-def file_units(lines: DataFrame, most: int = 20_000) -> DataFrame:
-    """A file as one record: start_line, end_line, raw (its first characters)."""
-    told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    g = lines.groupBy("file_id", "filename").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), told.alias("told"))
+def file_units(lines: DataFrame, most: int = UNIT_CHARS) -> DataFrame:
+    """A file as one record: start_line, end_line, raw (its first characters; only the lines that hold them are gathered)."""
+    d = _with_offset(_parted(lines))
+    told = F.sort_array(F.collect_list(F.when(F.col("offset") < most, F.struct("line_no", F.substring("line", 1, most).alias("line")))))
+    g = d.groupBy("file_id", "filename").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), told.alias("told"))
     return g.select("file_id", "filename", "start_line", "end_line", F.substring(F.array_join(F.transform("told", lambda x: x["line"]), "\n"), 1, most).alias("raw"))
 
 
@@ -243,7 +268,7 @@ def units(lines: DataFrame, formats: DataFrame | str) -> DataFrame:
     of_lines = F.col("format").isin(*LINEWISE)
     own = formats.select("file_id", F.coalesce("format", F.lit("plain_text")).alias("format"))
     by_line = line_units(lines.join(own.where(of_lines).select("file_id"), "file_id", "left_semi"))
-    by_block = blocks(lines.join(own.where(~of_lines).select("file_id"), "file_id", "left_semi")).drop("n_lines")
+    by_block = blocks(lines.join(own.where(~of_lines).select("file_id"), "file_id", "left_semi"), UNIT_CHARS).drop("n_lines")
     return by_line.unionByName(by_block).join(own, "file_id")
 
 
@@ -308,41 +333,37 @@ def boundaries(lines: DataFrame) -> DataFrame:
 
 
 def packed_chunks(lines: DataFrame, target: int = 500, most: int = 2000) -> DataFrame:
-    """Chunks that end at boundaries: sections are packed up to target lines, one above most is cut.
+    """Chunks that end at boundaries: sections are packed up to target lines, one above most is cut; without boundaries every target lines.
 
-    Only the numbers of boundary lines meet in the packing step, not the text.
+    Where a chunk ends depends on where it begins alone, so every boundary knows
+    the next cut if a chunk began there. Which of them are cuts is found by
+    pointer doubling: in each round all known cuts tell the cuts twice as far on.
+    A file of n sections takes log n rounds, and no task holds a file.
     """
-    ends = lines.groupBy("file_id").agg(F.max("line_no").alias("n"))
-    cuts = boundaries(lines).groupBy("file_id").agg(F.sort_array(F.collect_set("line_no")).alias("cuts"))
-    plan = ends.join(cuts, "file_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
-
-    def pack(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for f, n, cuts in zip(frame.file_id, frame.n, frame.cuts):
-                rows += [(f, k, a, b) for k, (a, b) in enumerate(_packed(int(n), [int(c) for c in cuts], target, most))]
-            yield pd.DataFrame(rows, columns=["file_id", "chunk", "start_line", "end_line"])
-
-    return plan.mapInPandas(pack, "file_id string, chunk long, start_line long, end_line long")
-
-
-def _packed(n: int, cuts: list[int], target: int, most: int) -> list[tuple[int, int]]:
-    if n <= target:
-        return [(1, n)]
-    edges = [1, *cuts, n + 1] if cuts else [*range(1, n + 1, target), n + 1]
-    out: list[tuple[int, int]] = []
-    begun = None
-    for a, b in zip(edges, edges[1:]):
-        if begun is not None and b - begun <= target:
-            continue
-        if begun is not None and a > begun:
-            out.append((begun, a - 1))
-        begun = a
-        if b - a > most:
-            out += [(k, min(k + target, b) - 1) for k in range(a, b, target)]
-            begun = None
-    if begun is not None:
-        out.append((begun, n))
-    return out
+    ends = written(lines.groupBy("file_id").agg((F.max("line_no") + 1).alias("end")))
+    found = boundaries(lines).select("file_id", F.col("line_no").alias("at")).distinct()
+    even = ends.join(found.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("end") - 1, F.lit(target).cast("long"))).alias("at"))
+    starts = found.unionByName(even).unionByName(ends.select("file_id", F.lit(1).cast("long").alias("at"))).distinct()
+    edges = starts.unionByName(ends.select("file_id", F.col("end").alias("at"))).distinct().withColumn("line_no", F.col("at"))
+    # the edge after each: in its part, or the first one of the parts that follow
+    parted = _parted(edges)
+    after = Window.partitionBy("file_id").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    heads = parted.groupBy("file_id", "part").agg(F.min("at").alias("head")).select("file_id", "part", F.min("head").over(after).alias("beyond"))
+    sections = parted.withColumn("to", F.lead("at").over(_inside())).join(heads, ["file_id", "part"]).select("file_id", "at", F.coalesce("to", "beyond").alias("to"))
+    # the last edge within target lines: edges meet in stretches of target lines, each in its own and in the one before
+    stretch = F.floor(F.col("at") / target)
+    near = edges.select("file_id", "at", F.explode(F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.struct((stretch - 1).alias("s"), F.lit(False).alias("own")))).alias("x"))
+    within = Window.partitionBy("file_id", "x.s").orderBy("at").rangeBetween(0, target)
+    last = near.withColumn("last", F.max("at").over(within)).where("x.own").select("file_id", "at", "last")
+    jumps = sections.where(F.col("to").isNotNull()).join(last, ["file_id", "at"])
+    jumps = written(jumps.select("file_id", "at", "to", F.when(F.col("to") - F.col("at") > most, F.col("to")).otherwise(F.greatest("to", "last")).alias("next")))
+    cuts, known, far = written(ends.select("file_id", F.lit(1).cast("long").alias("at"))), 0, jumps.select("file_id", "at", "next")
+    while known != (known := cuts.count()):
+        cuts = written(cuts.unionByName(cuts.join(far, ["file_id", "at"]).select("file_id", F.col("next").alias("at"))).distinct())
+        far = written(far.alias("a").join(far.alias("b"), (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.next") == F.col("b.at")), "left").select("a.file_id", "a.at", F.coalesce("b.next", "a.next").alias("next")))
+    chunks_ = cuts.join(jumps, ["file_id", "at"])
+    large = F.col("to") - F.col("at") > most
+    pieces = F.transform(F.sequence(F.col("at"), F.col("to") - 1, F.lit(target).cast("long")), lambda k: F.struct(k.alias("a"), (F.least(k + target, F.col("to")) - 1).alias("b")))
+    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("next") - 1).alias("b")))
+    d = chunks_.select("file_id", F.explode(F.when(large, pieces).otherwise(whole)).alias("x")).select("file_id", F.col("x.a").alias("line_no"), F.col("x.b").alias("end_line"))
+    return numbered_rows(d).select("file_id", (F.col("row_no") - 1).alias("chunk"), F.col("line_no").alias("start_line"), "end_line")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from .line_parsers import RAW_CHARS, last_wins
+from .line_parsers import RAW_CHARS, last_wins, numbered_rows
 
 RECORDS = "file_id string, filename string, logical_name string, row_no long, fields map<string,string>"
 UNITS = "file_id string, filename string, start_line long, end_line long, raw string, fields map<string,string>, confidence double"
@@ -240,10 +240,10 @@ def json_value_fields(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
-def _with_line_fields(lines: DataFrame) -> DataFrame:
-    """The lines that hold an object with its fields; nested objects become a_b keys, DEPTH levels deep."""
-    text = F.trim("line")
-    d = lines.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>"))).where("e is not null")
+def json_map(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is a JSON object with its fields; nested objects become a_b keys, DEPTH levels deep."""
+    text = F.trim(column)
+    d = rows.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>"))).where("e is not null")
     for _ in range(DEPTH):
         nested = F.exists("e", lambda x: F.coalesce(F.startswith(x["value"], F.lit("{")), F.lit(False)))
         d = d.withColumn("e", F.when(nested, F.flatten(F.transform("e", _one_level))).otherwise(F.col("e")))
@@ -253,7 +253,7 @@ def _with_line_fields(lines: DataFrame) -> DataFrame:
 
 def json_lines(lines: DataFrame) -> DataFrame:
     """A record for each line that holds an object."""
-    d = _with_line_fields(lines)
+    d = json_map(lines, "line")
     fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), "fields")
     return d.select("file_id", "filename", F.lit("json_records").alias("logical_name"), F.col("line_no").alias("row_no"), fields.alias("fields"))
 
@@ -277,7 +277,7 @@ def json_units(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Units of JSON files: a document that is one object whole, the objects of one that is a list, else each line that holds an object."""
     is_whole = F.coalesce(S.is_json(F.trim("content")), F.lit(False))
     whole = files.where(is_whole).select("file_id", "filename", "content").mapInPandas(_whole_units, UNITS)
-    each = _with_line_fields(lines.join(files.where(is_whole).select("file_id"), "file_id", "left_anti"))
+    each = json_map(lines.join(files.where(is_whole).select("file_id"), "file_id", "left_anti"), "line")
     each = each.select("file_id", "filename", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.trim("line").alias("raw"), "fields", F.lit(0.95).alias("confidence"))
     return whole.unionByName(each)
 
@@ -350,17 +350,16 @@ def delimited(lines: DataFrame) -> DataFrame:
     wide = F.max(F.when(~F.col("has_header"), F.size(_cells(F.col("line"), F.col("delimiter"))))).alias("width")
     told = lines.where(F.trim("line") != "").join(meta.select("file_id", "delimiter", "has_header"), "file_id")
     meta = meta.join(told.groupBy("file_id").agg(wide, F.min("line_no").alias("first")), "file_id")
-    w = Window.partitionBy("file_id").orderBy("line_no")
     name = F.transform("header", lambda c: S.sanitize_identifier(c))
     numbered = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda k: F.concat(F.lit("column_"), k.cast("string")))
     names = F.when(F.col("has_header"), name).otherwise(numbered)
     unique = lambda a: F.transform(a, lambda c, i: F.concat(c, F.when(F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == c)) > 1, F.concat(F.lit("_"), F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == c)).cast("string"))).otherwise("")))
     meta = meta.withColumn("names0", names).withColumn("names", unique(F.col("names0"))).drop("names0", "header", "width")
     d = lines.where(F.trim("line") != "").join(meta, "file_id").where(~F.col("has_header") | (F.col("line_no") > F.col("first")))
-    d = d.withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
+    d = numbered_rows(d).withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
     values = F.transform("names", lambda n, i: F.trim(F.coalesce(F.get(F.col("cells"), i), F.lit(""))))
     fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), values.alias("v")), lambda e: e["k"] != "source_file")))
-    return d.select("file_id", "filename", S.logical_name(F.col("filename")).alias("logical_name"), F.row_number().over(w).cast("long").alias("row_no"), fields.alias("fields"))
+    return d.select("file_id", "filename", S.logical_name(F.col("filename")).alias("logical_name"), "row_no", fields.alias("fields"))
 
 
 def comma_units(lines: DataFrame) -> DataFrame:
