@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL where SQL can say it."""
 
-from . import detection, formats, mining, relational, surface
+from . import detection, formats, mining, relational, sources, surface
 
-MODULES = (formats, detection, mining, surface, relational)
+MODULES = (formats, detection, mining, surface, relational, sources)
 
 
 def queries():
