@@ -119,3 +119,43 @@ def test_exports_hold_every_row(spark):
 def test_printable_strings_are_all_found(spark):
     files = spark.createDataFrame([(1, "a.bin", "word\n" * 600)], "file_id long, filename string, content string")
     assert line_parsers.printable_strings(files).count() == 600 and line_parsers.printable_strings(files, 500).count() == 500
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    rows = [(1, 7, 2, 1.5, "a"), (2, -7, 2, None, "b/c"), (3, None, 3, 2.5, None), (4, 9, 4, 0.5, "a")]
+    spark.createDataFrame(rows, "id long, a int, b long, v double, s string").createOrReplaceTempView("numbers")
+    return {"numbers"}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SELECT a / b AS q FROM numbers WHERE id < 3 ORDER BY id", [3, -3]),
+        ("SELECT 7/2 AS q", [3]),
+        ("SELECT 7 / 2.0 AS q", [3.5]),
+        ("SELECT CAST(7 AS REAL) / 2 AS q", [3.5]),
+        ("SELECT (a + 1) / (b) / 2 + 1/2 AS q FROM numbers WHERE id = 1", [2]),
+        ("SELECT sum(b) / count(*) AS q FROM numbers", [2]),
+        ("SELECT v / b AS q FROM numbers WHERE id = 1", [0.75]),
+        ("SELECT '7/2' || s AS q FROM numbers WHERE s = 'b/c' -- 1/2", ["7/2b/c"]),
+        ("SELECT q FROM (SELECT a /* a/b */ / b AS q FROM numbers WHERE id = (SELECT 9 / 9 FROM numbers WHERE id = 1))", [3]),
+        ("WITH c AS (SELECT b / 2 AS h, id FROM numbers) SELECT h / 2 AS q FROM c ORDER BY id", [0, 0, 0, 1]),
+        ("SELECT avg(a) / 2 AS q FROM numbers WHERE id = 1", [3.5]),
+        ("SELECT a FROM numbers ORDER BY a", [-7, 7, 9, None]),
+        ("SELECT a FROM numbers ORDER BY a DESC", [None, 9, 7, -7]),
+        ("SELECT a FROM numbers ORDER BY a ASC NULLS FIRST", [None, -7, 7, 9]),
+        ("SELECT id FROM numbers ORDER BY s DESC, a / b, id LIMIT 3", [3, 2, 4]),
+        ("SELECT first_value(id) OVER (ORDER BY a) AS q FROM numbers", [2, 2, 2, 2]),
+        ("SELECT DISTINCT ON (s) id FROM numbers ORDER BY s, id DESC", [4, 2, 3]),
+        ("SELECT DISTINCT ON (s) s, v FROM numbers ORDER BY s DESC, v DESC LIMIT 2", [None, "b/c"]),
+        ("SELECT count(*) AS n FROM (SELECT DISTINCT ON (b / 2, lower(s)) id, s FROM numbers) t", [4]),
+        ("SELECT DISTINCT ON (a) id FROM numbers WHERE a > 0 UNION ALL SELECT id FROM numbers WHERE id = 3", None),
+    ],
+)
+def test_dialect(spark, numbers, text, want):
+    r = sql.run(spark, text, numbers)
+    assert r.error is None, r.error
+    got = [list(x.values())[0] for x in r.rows]
+    assert sorted(got) == [1, 3, 4] if want is None else got == want
+    assert not any(c.startswith("__") for c in r.columns)

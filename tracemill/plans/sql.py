@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import QUERY_ROWS
+from . import dialect as dialects
 
 # Functions that reach outside of the data.
 FORBIDDEN_FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name", "version", "current_user", "session_user", "user")
@@ -34,6 +36,17 @@ class Result:
     error: str | None = None
 
 
+@contextmanager
+def _double_quotes(spark: SparkSession) -> Iterator[None]:
+    """Double quotes name columns here, and only while a text is parsed."""
+    before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
+    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", before)
+
+
 def dialect(text: str) -> str:
     """Type names that other databases write, as Spark knows them, outside of quotes."""
     parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`)", text.strip().rstrip(";"))
@@ -48,16 +61,12 @@ def check(spark: SparkSession, text: str, allowed: set[str]) -> str:
     """The text as Spark runs it, or NotAllowed."""
     if not text.strip():
         raise NotAllowed("Query is empty.")
-    sql = dialect(text)
-    # double quotes name columns here, and only while this text is parsed
-    quoted = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    sql = dialects.distinct_on(dialect(text))
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        with _double_quotes(spark):
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise NotAllowed(f"Not a query: {str(e).splitlines()[0]}") from None
-    finally:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", quoted)
     tree = plan.toString()
     kinds = [m[1] for m in re.finditer(r"(?m)^[\s:+|-]*'?(\w+)", tree)]
     if bad := [k for k in kinds if k not in READS]:
@@ -70,18 +79,15 @@ def check(spark: SparkSession, text: str, allowed: set[str]) -> str:
         parts = [p.strip() for p in name.split(",")]
         if len(parts) != 1 or parts[0].lower() not in {t.lower() for t in allowed} | own:
             raise NotAllowed(f"Table not allowed: {'.'.join(parts)}.")
-    return sql
+    with _double_quotes(spark):
+        return dialects.whole_division(spark, dialects.nulls_last(spark, sql))
 
 
 def query(spark: SparkSession, text: str, allowed: set[str]) -> DataFrame:
     """The guarded query as a DataFrame."""
     sql = check(spark, text, allowed)
-    quoted = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-    try:
+    with _double_quotes(spark):
         return spark.sql(sql)
-    finally:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", quoted)
 
 
 def run(spark: SparkSession, text: str, allowed: set[str], limit: int = QUERY_ROWS) -> Result:

@@ -189,3 +189,25 @@ def process_results(spark, d):
 @query("SELECT o_orderstatus AS parser_key, count(*) AS n FROM orders GROUP BY 1")
 def parser_distribution(spark, d):
     return tables.parser_distribution(table(spark, d, "orders").select(F.col("o_orderstatus").alias("parser_key")))
+
+
+@query("SELECT o_orderstatus AS status, (sum(o_orderkey) // count(*)) // 7 + 1 // 2 AS whole, round(sum(o_totalprice) / count(*), 2) AS price, max((o_orderkey - 50000) / 4.0) AS quarter, min(CASE WHEN o_orderkey >= 50000 THEN (o_orderkey - 50000) // 4 ELSE -((50000 - o_orderkey) // 4) END) AS least FROM orders GROUP BY 1")
+def sql_whole_division(spark, d):
+    """Divisions of whole numbers drop the fraction, others keep it, as the types of the operands say."""
+    table(spark, d, "orders").createOrReplaceTempView("divided_orders")
+    text = "SELECT o_orderstatus AS status, sum(o_orderkey) / count(*) / 7 + 1/2 AS whole, round(sum(o_totalprice) / count(*), 2) AS price, max((o_orderkey - 50000) / 4.0) AS quarter, min((o_orderkey - 50000) / 4) AS least FROM divided_orders GROUP BY o_orderstatus"
+    return sql.query(spark, text, {"divided_orders"})
+
+
+@query("WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS s, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS n FROM documents) SELECT doc_id, row_number() OVER (ORDER BY s NULLS LAST, n DESC NULLS FIRST, doc_id) AS r FROM x ORDER BY s NULLS LAST, n DESC NULLS FIRST, doc_id LIMIT 500")
+def sql_null_order(spark, d):
+    """Nulls come last in ascending and first in descending order, in windows and at the end (the first 500 rows, a page)."""
+    table(spark, d, "documents").selectExpr("doc_id", "if(doc_id % 3 = 0, null, source) as s", "if(doc_id % 5 = 0, null, n_chars) as n").createOrReplaceTempView("ordered_documents")
+    return sql.query(spark, "SELECT doc_id, row_number() OVER (ORDER BY s, n DESC, doc_id) AS r FROM ordered_documents ORDER BY s, n DESC, doc_id LIMIT 500", {"ordered_documents"})
+
+
+@query("SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderstatus, o_orderkey, o_totalprice AS price FROM orders WHERE o_orderkey > 10 ORDER BY o_custkey, o_orderstatus, o_orderdate DESC, o_orderkey")
+def sql_distinct_on(spark, d):
+    """The latest order of each customer and status."""
+    table(spark, d, "orders").createOrReplaceTempView("latest_orders")
+    return sql.query(spark, "SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderstatus, o_orderkey, o_totalprice AS price FROM latest_orders WHERE o_orderkey > 10 ORDER BY o_custkey, o_orderstatus, o_orderdate DESC, o_orderkey", {"latest_orders"})
