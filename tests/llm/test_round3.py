@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import prose
@@ -123,14 +124,25 @@ def test_divergence_with_and_without_shared_digests(spark, told, bits):
     assert _sorted(divergence.divergences(df, digest_bits=bits).collect()) == _sorted(plain_divergence(told))
 
 
-def test_divergence_hands_on_what_it_holds(spark, told):
-    def small(batches):
-        divergence.HELD = 5
-        return divergence._counted(batches, 64)
-
-    df = spark.createDataFrame(told, "text string, lang string, source string").na.fill("").repartition(2)
-    total = lambda f: {(r.lang, r.source, r.term): (r.n, r.docs) for r in df.mapInArrow(f, divergence._COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()}
-    assert total(small) == total(lambda b: divergence._counted(b, 64))
+def test_divergence_hands_on_what_it_holds(told, monkeypatch):
+    texts, langs, sources = ([x or "" for x in c] for c in zip(*told))
+    batches = [pa.RecordBatch.from_pydict({"lang": langs[k : k + 50], "source": sources[k : k + 50], "text": texts[k : k + 50]}) for k in range(0, len(told), 50)]
+
+    def summed():
+        total, terms, n_rows = Counter(), set(), 0
+        for r in (r for b in divergence._counted(iter(batches), 64) for r in b.to_pylist()):
+            n_rows += 1
+            if r["term"] is None:
+                total[r["lang"], r["source"], r["digest"]] += r["n"] + 1_000_000 * r["docs"]
+            else:
+                terms.add((r["digest"], r["term"]))
+        return total, terms, n_rows
+
+    whole = summed()
+    for name, most in dict(MERGE=3, HELD=5, KNOWN=7, BATCH=4).items():
+        monkeypatch.setattr(divergence, name, most)
+    parts = summed()
+    assert parts[:2] == whole[:2] and parts[2] > 2 * whole[2]
 
 
 def test_divergence_of_odd_rows(odd, empty):

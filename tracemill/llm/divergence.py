@@ -1,11 +1,11 @@
 """How the sources of a language differ in their words: exact divergences, with texts of terms joined late.
 
-Counting moves fixed-width rows only: a term is its 64-bit digest. The terms
-themselves stay in the counted table, a column that the counting does not read.
-For the digests that are kept, the least and the greatest term of each are
-compared; where they differ, several terms share the digest, and those alone are
-counted again by their texts (a split digest goes on as the terms' own keys).
-Texts come back only for what is reported: the terms at the head of a ranking.
+Counting moves fixed-width rows only: a term is its 64-bit digest. Each task
+tells the texts of its terms once, in rows that the counting does not read. For
+the digests that are kept, the least and the greatest text of each are compared;
+where they differ, several terms share the digest, and those alone are counted
+again by their texts (a split digest goes on as the terms' own keys). Texts come
+back only for what is reported: the terms at the head of a ranking.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import columns_of, only_marked, raw_texts, stash
 
 LEAST_DOCS, TOP = 10, 10
-#: A task hands its counts on when it holds so many terms.
-HELD = 300_000
+#: A task sums its counts when it holds so many, and hands them on when so many are left; it remembers the digests of so many terms.
+MERGE, HELD, KNOWN = 1_000_000, 2_000_000, 400_000
+#: Rows in a batch.
+BATCH = 200_000
 SCALE = 1_000_000_000
 #: A ranking is first cut in so many parts, so that no task holds all terms of a source.
 PARTS = 32
@@ -30,40 +33,77 @@ PARTS = 32
 # Bytes of a term are ASCII letters and all beyond ASCII; others part terms.
 _BYTES = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
 
-_COUNTED = "lang string, source string, digest long, term string, n long, docs long"
+_COUNTED = "lang string, source string, digest long, n long, docs long, term string"
+_BY_TEXT = "lang string, source string, term string, digest long, n long, docs long"
+
+
+def _digest(term: bytes, bits: int) -> int:
+    return (xxhash.xxh64_intdigest(term, 12) >> 64 - bits) - (1 << 63)
+
+
+class _Held:
+    """Counts of digests by (lang, source), summed from time to time."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.size = self.summed = 0
+
+    def add(self, group: tuple[str, str], digests: np.ndarray, n: np.ndarray) -> None:
+        self.groups.setdefault(group, []).append((digests, n, np.ones(len(n), np.int64)))
+        self.size += len(n)
+
+    def sum(self) -> None:
+        for group, parts in self.groups.items():
+            if len(parts) > 1:
+                digests, n, docs = (np.concatenate(x) for x in zip(*parts))
+                own, at = np.unique(digests, return_inverse=True)
+                # sums of whole numbers, exact below 2**53
+                self.groups[group] = [(own, *(np.bincount(at, x).astype(np.int64) for x in (n, docs)))]
+        self.size = self.summed = sum(len(parts[0][0]) for parts in self.groups.values())
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        self.sum()
+        for (lang, source), [columns] in self.groups.items():
+            for k in range(0, len(columns[0]), BATCH):
+                part = [pa.array(x[k : k + BATCH]) for x in columns]
+                size = len(part[0])
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(x), size) for x in (lang, source)], *part, pa.nulls(size, pa.string())], [c.split(" ")[0] for c in _COUNTED.split(", ")])
+        self.groups, self.size, self.summed = {}, 0, 0
 
 
 def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts (term null), and the text of each digest (lang null) when a task meets it first."""
     known: dict[bytes, int] = {}
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    size = 0
-
-    def handed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            for t in set(terms).difference(known):
-                known[t] = (xxhash.xxh64_intdigest(t, 12) >> 64 - bits) - (1 << 63)
-            columns = [pa.repeat(pa.scalar(x), len(terms)) for x in (lang, source)]
-            columns += [pa.array(list(map(known.__getitem__, terms)), pa.int64()), pa.array(terms, pa.binary()).cast(pa.string())]
-            columns += [pa.array(list(map(c.__getitem__, terms)), pa.int64()) for c in (n, docs)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "digest", "term", "n", "docs"])
-        held.clear()
-        if len(known) > HELD:
-            known.clear()
-
+    held = _Held()
     for batch in batches:
+        told: list[bytes] = []
         for lang, source, raw in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), raw_texts(batch.column("text"))):
-            terms = raw.translate(_BYTES).split()
+            terms = Counter(raw.translate(_BYTES).split())
             if terms:
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                n.update(terms)
-                docs.update(set(terms))
-                size += len(n) - before
-                if size > HELD:
-                    yield from handed()
-                    size = 0
-    yield from handed()
+                for t in set(terms).difference(known):
+                    known[t] = _digest(t, bits)
+                    told.append(t)
+                held.add((lang, source), np.fromiter(map(known.__getitem__, terms), np.int64, len(terms)), np.fromiter(terms.values(), np.int64, len(terms)))
+                if held.size - held.summed > MERGE:
+                    held.sum()
+                    if held.size > HELD:
+                        yield from held.taken()
+        if told:
+            none = [pa.nulls(len(told), k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none[:2], pa.array(list(map(known.__getitem__, told)), pa.int64()), *none[2:], pa.array(told, pa.binary()).cast(pa.string())], [c.split(" ")[0] for c in _COUNTED.split(", ")])
+        if len(known) > KNOWN:
+            known.clear()
+    yield from held.taken()
+
+
+def _by_text(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each document, for the few digests that several terms share."""
+    for batch in batches:
+        rows = [(lang, source, t, n) for lang, source, raw in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), raw_texts(batch.column("text"))) for t, n in Counter(raw.translate(_BYTES).split()).items()]
+        for k in range(0, len(rows), BATCH):
+            lang, source, term, n = zip(*rows[k : k + BATCH])
+            columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array([_digest(t, bits) for t in term], pa.int64()), pa.array(n, pa.int64()), pa.array(np.ones(len(n), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _BY_TEXT.split(", ")])
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -76,24 +116,31 @@ def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _by_term(counted: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, key, n) of kept terms, and (lang, key, digest, term): keys that several terms' digests had are split.
+def _by_term(docs: DataFrame, counted: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, key, n) of kept terms, and (lang, key, term): the texts of keys that stand for a part of a shared digest.
 
-    key is the digest; of a shared digest, a hash of digest and text. term is null where the digest tells it apart.
+    key is the digest; of a shared digest, a hash of digest and text.
     """
-    counts = stash(counted.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
+    counts = stash(counted.where("lang is not null").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     kept = stash(counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest"), "divergence-kept")
     # a digest kept in no language can hide no kept term; of the others, least and greatest text
-    asked = only_marked(counted.select("digest", "term"), kept, "digest").join(kept.select("digest").distinct(), "digest")
+    asked = _texts(counted, kept)
     shared = asked.groupBy("digest").agg(F.min("term").alias("a"), F.max("term").alias("b")).where("a != b").select("digest")
     shared = stash(shared, "divergence-shared")
-    whole = counts.join(kept, ["lang", "digest"], "left_semi").join(shared, "digest", "left_anti").select("lang", "source", F.col("digest").alias("key"), "digest", F.lit(None).cast("string").alias("term"), "n")
-    again = counted.join(shared, "digest", "left_semi").groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    again = stash(again, "divergence-split")
+    whole = counts.join(kept, ["lang", "digest"], "left_semi").select("lang", "source", F.col("digest").alias("key"), "n")
+    if not shared.limit(1).count():
+        return whole, whole.select("lang", "key", F.lit(None).cast("string").alias("term")).limit(0)
+    again = docs.mapInArrow(lambda batches: _by_text(batches, bits), _BY_TEXT).join(shared, "digest", "left_semi")
+    again = stash(again.groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-split")
     own = again.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest", "term")
-    split = again.join(own, ["lang", "digest", "term"], "left_semi").select("lang", "source", F.xxhash64("digest", "term").alias("key"), "digest", "term", "n")
-    rows = stash(whole.unionByName(split), "divergence-terms")
-    return rows.select("lang", "source", "key", "n"), rows.select("lang", "key", "digest", "term").where("term is not null").distinct()
+    split = stash(again.join(own, ["lang", "digest", "term"], "left_semi").select("lang", "source", F.xxhash64("digest", "term").alias("key"), "term", "n"), "divergence-parts")
+    rows = whole.join(shared.withColumnRenamed("digest", "key"), "key", "left_anti").select("lang", "source", "key", "n").unionByName(split.drop("term"))
+    return rows, split.select("lang", "key", "term").distinct()
+
+
+def _texts(counted: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, term) as the tasks told them, of some digests."""
+    return only_marked(counted.where("term is not null").select("digest", "term"), digests, "digest").join(digests.select("digest").distinct(), "digest", "left_semi")
 
 
 def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, digest_bits: int = 64) -> DataFrame:
@@ -113,7 +160,8 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, d
     """
     d = columns_of(docs, lang="string", source="string", text="string").na.fill("")
     counted = stash(d.mapInArrow(lambda batches: _counted(batches, digest_bits), _COUNTED), "divergence-counted")
-    rows, texts = _by_term(counted, least_docs)
+    rows, texts = _by_term(d, counted, least_docs, digest_bits)
+    rows = stash(rows, "divergence-terms")
     groups = d.select("lang", "source").distinct()
     kept = stash(rows.groupBy("lang", "key").agg(F.sum("n").alias("all_n")), "divergence-langs")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("all_total"))
@@ -160,7 +208,7 @@ def _terms(shares: DataFrame, kept: DataFrame, texts: DataFrame, counted: DataFr
     split = head.join(texts, ["lang", "key"]).select("lang", "source", "key", "value", F.col("term").alias("item"))
     plain = head.join(texts, ["lang", "key"], "left_anti")
     asked = plain.select(F.col("key").alias("digest")).distinct()
-    names = only_marked(counted.select("digest", "term"), asked, "digest").join(asked, "digest").groupBy(F.col("digest").alias("key")).agg(F.min("term").alias("item"))
+    names = _texts(counted, asked).groupBy(F.col("digest").alias("key")).agg(F.min("term").alias("item"))
     named = plain.join(names, "key").select("lang", "source", "key", "value", "item").unionByName(split)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return named.select("lang", "source", F.lit("term").alias("part"), "item", "value", rank.alias("rank")).where(F.col("rank") <= top)
