@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..sources import files as files_of
 from ..sources.lines import sample
 from ..sources.shared import written
 
@@ -21,6 +22,8 @@ FINGERPRINT_TO_FORMAT = {"json_lines": "json_lines", "json_document": "json_line
 PARSERS = {"json_lines": "json_lines", "xml": "xml", "csv": "csv", "syslog": "syslog", "apache_access": "apache_access", "nginx_access": "nginx_access", "logfmt": "logfmt", "key_value": "key_value", "hex_dump": "binary_hex"}
 #: Settles what content leaves open.
 EXTENSIONS = {"json": "json_lines", "ndjson": "json_lines", "jsonl": "json_lines", "csv": "csv", "tsv": "csv", "xml": "xml", "hex": "binary_hex", "dump": "binary_hex", "bin": "binary_hex"}
+#: Parsers that claim content, in the order in which equal claims are taken.
+PARSER_KEYS = ("json_lines", "csv", "xml", "syslog", "apache_access", "nginx_access", "logfmt", "key_value", "binary_hex")
 DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|", "equals": "=", "colon": ":"}
 
 
@@ -303,8 +306,8 @@ def overall(classified: DataFrame) -> DataFrame:
     return by("detected_format").withColumnRenamed("detected_format", "dominant_format").join(by("structural_class")).join(total)
 
 
-def parser_support(lines: DataFrame) -> DataFrame:
-    """file_id, parser_key, score for each parser that has a claim on a file's first 25 lines, the best first by rank."""
+def _content_scores(lines: DataFrame) -> DataFrame:
+    """file_id, all: an array of (score, rank, parser_key), what each parser finds of its own in a file's first 25 lines."""
     s = _headed(sample(lines, 25), _CSV_MARKS)
     c = F.col("line")
     clf = _share(c.rlike(P.ACCESS))
@@ -322,9 +325,43 @@ def parser_support(lines: DataFrame) -> DataFrame:
         "key_value": pairs(P.KEY_VALUE_PAIR),
         "binary_hex": F.when(dumps >= 3, 1.0).when(F.avg(F.regexp_count(c, F.lit(r"\b[0-9a-fA-F]{2}\b"))) >= 8, 0.85).otherwise(0.0),
     }
-    g = s.groupBy("file_id").agg(F.array(*[F.struct(v.alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("parser_key")) for k, (n, v) in enumerate(scores.items())]).alias("all"))
+    return s.groupBy("file_id").agg(F.array(*[F.struct(v.alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("parser_key")) for k, (n, v) in enumerate(scores.items())]).alias("all"))
+
+
+def parser_support(lines: DataFrame) -> DataFrame:
+    """file_id, parser_key, score for each parser that has a claim on a file's first 25 lines, the best first by rank."""
     best = F.filter(F.sort_array("all", asc=False), lambda x: x["score"] > 0)
-    return g.select("file_id", F.posexplode(best).alias("rank", "x")).select("file_id", "rank", "x.parser_key", F.bround("x.score", 2).alias("score"))
+    return _content_scores(lines).select("file_id", F.posexplode(best).alias("rank", "x")).select("file_id", "rank", "x.parser_key", F.bround("x.score", 2).alias("score"))
+
+
+# The extensions that a parser takes as its own, what such a name is worth, and the least share of content without it.
+OWN_EXTENSIONS = {"json_lines": ("json", "jsonl", "ndjson"), "csv": ("csv", "tsv"), "xml": ("xml",), "syslog": ("syslog", "log"), "binary_hex": ("bin", "hex", "dump")}
+NAME_SCORE, CONTENT_SCORE = 0.95, 0.6
+
+
+def discovered(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_id, parser_key, supported, score, rank: every parser's claim on a file by its name and its content, the best first.
+
+    The unified parser takes anything, the surer the fingerprint is, and goes
+    before others of equal score. An empty file is claimed by its name alone.
+    """
+    name = F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1))
+    sure = _fingerprinted(measures(lines)).select("file_id", F.col("confidence").alias("sure"))
+    d = files.select("file_id", "filename").join(_content_scores(lines), "file_id", "left").join(sure, "file_id", "left")
+    none = F.array(*[F.struct(F.lit(0.0).alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("parser_key")) for k, n in enumerate(PARSER_KEYS)])
+    own = F.coalesce(*[F.when(name.isin(*x), F.lit(k)) for k, x in OWN_EXTENSIONS.items()], F.lit(""))
+
+    def claim(x: Column) -> Column:
+        named = x["parser_key"] == F.col("own")
+        dump = named & (x["parser_key"] == "binary_hex") & (x["score"] > 0)
+        score = F.when(dump, F.least(x["score"], F.lit(1.0))).when(named, NAME_SCORE).otherwise(F.bround(x["score"], 2))
+        return F.struct((named | (x["score"] >= CONTENT_SCORE)).alias("supported"), score.alias("score"), (x["rank"] - 1).alias("order"), x["parser_key"].alias("parser_key"))
+
+    whole = F.when(F.col("sure").isNull(), 0.4).when(files_of.is_binary_name(F.col("filename")), NAME_SCORE).otherwise(F.bround(F.greatest(F.lit(0.75), F.least(F.lit(0.99), 0.6 + 0.4 * F.col("sure"))), 2))
+    unified = F.struct(F.lit(True).alias("supported"), whole.alias("score"), F.lit(0).alias("order"), F.lit("unified").alias("parser_key"))
+    claims = F.concat(F.array(unified), F.transform(F.coalesce("all", none), claim))
+    d = d.withColumn("own", own).select("file_id", F.posexplode(F.sort_array(claims, asc=False)).alias("rank", "x"))
+    return d.select("file_id", "x.parser_key", "x.supported", "x.score", "rank")
 
 
 def unified_format(lines: DataFrame, formats: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def blocks(lines: DataFrame, most: int | None = None) -> DataFrame:
     parts = parts.withColumn("first", opens(F.col("head.blank"), F.col("head.more"), ahead))
     base = F.coalesce(F.sum(F.col("held") + F.col("first")).over(_parts_before()), F.lit(0)) + F.col("first")
     parts = parts.select("file_id", "part", base.alias("base"))
-    d = d.withColumn("run", F.sum("opens").over(_inside())).join(parts, ["file_id", "part"]).withColumn("block", F.col("base") + F.col("run")).where(~F.col("blank"))
+    d = d.withColumn("run", F.sum("opens").over(_inside())).join(parts, ["file_id", "part"]).withColumn("block", F.col("base") + F.col("run")).where(~F.col("blank")).drop("base", "run")
     taken = F.struct("line_no", "line")
     if most is not None:
         d = _with_offset(d)

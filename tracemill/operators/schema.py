@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..sources.lines import sample
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -120,3 +123,46 @@ def estimated_null_rate(lines: DataFrame, names: list[str]) -> DataFrame:
 
 def _escaped(name: str) -> str:
     return "".join(c if c.isalnum() or c in "_ " else "\\" + c for c in name.lower())
+
+
+#: Rounds of refining, the null rate from which a column is asked about again, the lines that rates are taken from, the lines shown.
+ROUNDS, HIGH_NULL, RATED_LINES, SHOWN_LINES = 3, 0.6, 100, 50
+#: propose(lines, columns so far, their high null rates) gives columns, or None where it can't.
+Propose = Callable[[list[str], list[Column], dict[str, float]], list[Column] | None]
+
+
+@dataclass
+class Refined:
+    """The columns at the end, and the null rates that each round of columns had."""
+
+    columns: list[Column]
+    rates: list[dict[str, float]]
+    warnings: list[str]
+
+
+def refined(lines: DataFrame, propose: Propose, rounds: int = ROUNDS) -> Refined:
+    """Columns for free text that propose names, asked again while a column's estimated null rate is high, some rounds at most.
+
+    Rates are one aggregation over the first RATED_LINES non-blank lines of each
+    file for each round; at most SHOWN_LINES of them come to the driver. Where
+    nothing is proposed at first, the columns are those of the text's hints.
+    """
+    head = written(sample(lines, RATED_LINES).select(F.lit("").alias("file_id"), F.col("file_id").alias("of"), "line_no", "line"))
+    shown = [r.line for r in head.orderBy("of", "line_no").limit(SHOWN_LINES).collect()]
+    columns, rates, warnings = propose(shown, [], {}), [], []
+    if not columns:
+        warnings.append("No schema was proposed; columns are told by hints.")
+        hints = fallback_columns(head).first()
+        columns = [Column(n, "TEXT") for n in (hints.columns if hints else ["message", "log_level", "source"])]
+    for k in range(rounds + 1):
+        found = estimated_null_rate(head, [c.name for c in columns]).collect()
+        rates.append({r.name: r.null_rate for r in found})
+        high = {n: r for n, r in rates[-1].items() if r >= HIGH_NULL}
+        if not high or k == rounds or warnings:
+            break
+        better = propose(shown, columns, high)
+        if not better:
+            warnings.append("Schema refinement failed: nothing was proposed.")
+            break
+        columns = better
+    return Refined(columns, rates, warnings)

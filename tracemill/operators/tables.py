@@ -17,12 +17,17 @@ def _like(c: Column, text: str) -> Column:
     return F.contains(F.lower(S.export_text(c)), F.lit(text.lower()))
 
 
+def searched_text(df: DataFrame) -> Column:
+    """What a search of df looks at: names and cells of a row as one text, in small letters."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    return F.lower(S.export_text(row))
+
+
 def search(df: DataFrame, text: str) -> DataFrame:
     """Rows in which any cell or name holds text, whatever its case; blank text keeps all."""
     if not text.strip():
         return df
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
-    return df.where(_like(row, text.strip()))
+    return df.where(F.contains(searched_text(df), F.lit(text.strip().lower())))
 
 
 def with_levels(df: DataFrame, levels: list[str]) -> DataFrame:

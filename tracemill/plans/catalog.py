@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.schema import Column
+from ..sources.shared import written
 
 REGISTRY = "table_registry"
 
@@ -70,15 +73,34 @@ class Catalog:
     def remove_column(self, table: str, name: str) -> None:
         self._rewrite(table, self.table(table).drop(name))
 
-    def update(self, table: str, row_id: str, values: dict[str, object]) -> None:
-        """Sets values in the row with this id; files of plain tables are written anew."""
+    def change(self, table: str, changes: DataFrame) -> None:
+        """Many changes in one write. changes: id, seq, deleted, values (a map of column to text).
+
+        Of a row's changes the last by seq that sets a column decides on it; a
+        deleted row stays deleted. Unknown ids and columns change nothing. What no
+        change names passes by an anti-join and is never computed anew.
+        """
         df = self.table(table)
-        for c, v in values.items():
-            df = df.withColumn(c, F.when(F.col("id") == row_id, F.lit(v).cast(dict(df.dtypes)[c])).otherwise(F.col(c)))
-        self._rewrite(table, df)
+        own = changes.where("id is not null")
+        set_ = own.select("id", "seq", F.explode_outer("values").alias("name", "value"))
+        last = set_.where("name is not null").groupBy("id", "name").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+        values = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "v.value"))).alias("__values"))
+        gone = own.groupBy("id").agg(F.max("deleted").alias("__gone"))
+        asked = written(gone.join(values, "id", "left"))
+        met = df.join(asked.where("not __gone"), "id")
+        new = [F.col("id") if c == "id" else F.when(F.map_contains_key(F.col("__values"), F.lit(c)), F.col("__values")[c].try_cast(kind)).otherwise(F.col(f"`{c}`")).alias(c) for c, kind in df.dtypes]
+        self._rewrite(table, df.join(asked, "id", "left_anti").select(*df.columns).unionByName(met.select(*new)))
+
+    def _changed(self, row_id: str, deleted: bool, values: dict[str, object]) -> DataFrame:
+        text = {k: None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in values.items()}
+        return self.spark.createDataFrame([(row_id, 1, deleted, text)], "id string, seq long, deleted boolean, values map<string,string>")
+
+    def update(self, table: str, row_id: str, values: dict[str, object]) -> None:
+        """Sets values in the row with this id; for many rows see change()."""
+        self.change(table, self._changed(row_id, False, values))
 
     def delete(self, table: str, row_id: str) -> None:
-        self._rewrite(table, self.table(table).where(F.col("id") != row_id))
+        self.change(table, self._changed(row_id, True, {}))
 
     def get(self, table: str, row_id: str) -> DataFrame:
         return self.table(table).where(F.col("id") == row_id)
@@ -104,5 +126,8 @@ class Catalog:
         return {t: [r.asDict(recursive=True) for r in self.table(t).limit(rows).collect()] for t in self.tables()}
 
     def discover(self, n: int = 200) -> list[dict]:
-        """Names, columns and row counts of the tables, by name."""
-        return [{"table_name": t, "columns": self.table(t).columns, "row_count": self.table(t).count()} for t in self.tables()[:n]]
+        """Names, columns and row counts of the tables, by name; one job counts them all."""
+        names = self.tables()[:n]
+        counts = [self.table(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in names]
+        found = {r.table_name: r.n for r in reduce(DataFrame.unionByName, counts).collect()} if counts else {}
+        return [{"table_name": t, "columns": self.table(t).columns, "row_count": found[t]} for t in names]

@@ -133,14 +133,16 @@ def parse_with(key: str, files: DataFrame, lines: DataFrame) -> Parsed:
     return Parsed(tables, columns, {key: report}, key, min(confidence, 0.25) if report.fall_back else confidence, [f"{t.table}: {w}" for t in report.tables for w in t.warnings])
 
 
-def parse(files: DataFrame, known: DataFrame | None = None) -> Parsed:
+def parse(files: DataFrame, known: DataFrame | None = None, discover: bool = False) -> Parsed:
     """Classifies files (file_id, filename, content), parses each with its parser and merges the tables.
 
-    The verdicts, one row for each parser, and the inferred columns are all
+    With discover, each file goes to the parser with the best claim on its name
+    and content instead of the one for its detected format. The verdicts, one row for each parser, and the inferred columns are all
     that comes to the driver.
     """
     lines = lines_of(files)
-    routed = detect.classify(files, lines, known).select("file_id", "parser_key")
+    routed = detect.discovered(files, lines).where("rank = 0") if discover else detect.classify(files, lines, known)
+    routed = routed.select("file_id", "parser_key")
     routed = written(routed)
     keys = [r.parser_key for r in routed.select("parser_key").distinct().orderBy("parser_key").collect()]
     parts = []

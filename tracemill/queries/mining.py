@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import anomaly, cache, line_parsers, quality, templates
+from ..operators import anomaly, cache, line_parsers, quality, schema, templates
 from .base import DOC_LINES, LOGFMT, SYSLOG, document_lines, logfmt_lines, registry, syslog_lines, table
 
 QUERIES, query = registry()
@@ -171,3 +171,21 @@ def few_shot_store(spark, d):
     sig = cache.few_shot_signature(F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("default"), F.col("o_custkey").cast("string"), F.array(F.lit("b"), F.lit("a")))
     e = o.select(sig.alias("signature"), F.col("o_orderstatus").alias("format"), F.col("o_orderpriority").alias("domain"), (F.col("o_orderkey") % 50 / 100.0).cast("double").alias("confidence"), F.lit(1).cast("long").alias("usage"))
     return cache.add_few_shots(e.limit(0), e)
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events), l AS (SELECT 'user_id=' || user_id || CASE WHEN event_type = 'error' THEN ' error code: ' || event_id % 7 ELSE '' END || CASE event_type WHEN 'view' THEN '' ELSE ' cents=5' END AS line FROM e WHERE nth <= 100),
+r AS (SELECT 0 AS round, unnest(['user_id', 'error_code', 'cents', 'never']) AS name UNION ALL SELECT 1, unnest(['user_id', 'error_code', 'cents']) UNION ALL SELECT 2, unnest(['user_id', 'cents']))
+SELECT round, name, round_even(avg(CASE WHEN contains(line, replace(name, '_', ' ') || ':') OR contains(line, name || '=') THEN 0.0 ELSE 1.0 END), 3) AS null_rate FROM r, l GROUP BY ALL""")
+def refined_null_rates(spark, d):
+    """Null rates of each round of refining on the heads of all logs (100 lines of each, the loop's own sample): columns that stay empty are given up one by one."""
+    line = "concat('user_id=', user_id, if(event_type = 'error', concat(' error code: ', event_id % 7), ''), if(event_type = 'view', '', ' cents=5'))"
+    lines = table(spark, d, "events").selectExpr("cast(user_id as string) as file_id", "event_id + 1 as line_no", f"{line} as line")
+
+    def propose(shown, columns, high):
+        if not columns:
+            return [schema.Column(n, "TEXT") for n in ("user_id", "error_code", "cents", "never")]
+        worst = max(high, key=lambda n: (high[n], n))
+        return [c for c in columns if c.name != worst]
+
+    rounds = schema.refined(lines, propose).rates
+    return spark.createDataFrame([(k, n, r) for k, found in enumerate(rounds) for n, r in found.items()], "round int, name string, null_rate double")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import tables
+from ..operators import search_index, tables
 from ..plans import sql
+from ..plans.catalog import Catalog
+from ..sources.shared import shared_dir, written
 from .base import registry, table
 
 QUERIES, query = registry()
@@ -211,3 +215,27 @@ def sql_distinct_on(spark, d):
     """The latest order of each customer and status."""
     table(spark, d, "orders").createOrReplaceTempView("latest_orders")
     return sql.query(spark, "SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderstatus, o_orderkey, o_totalprice AS price FROM latest_orders WHERE o_orderkey > 10 ORDER BY o_custkey, o_orderstatus, o_orderdate DESC, o_orderkey", {"latest_orders"})
+
+
+@query("SELECT event_id FROM events WHERE contains(lower(props), '\"k\": 7') OR contains(lower(event_type), '\"k\": 7')")
+def indexed_search(spark, d):
+    """The rows of filter_search, found by a trigram bitmap for each block of rows."""
+    path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}"
+    search_index.write(_events(spark, d), path, "event_id", 2000)
+    return search_index.search(spark, path, '\\"K\\": 7').select("event_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'last' WHEN o_orderkey % 5 = 0 THEN 'first' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 5 = 0 THEN 5.5 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 11 <> 0")
+def changed_rows(spark, d):
+    """Thousands of changes to a stored table in one write: the last one of a row and column decides, deleted rows go."""
+    c = Catalog(spark, "changed_orders")
+    name = f"orders_{uuid.uuid4().hex[:8]}"
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    c.create(name, o)
+    k, ids = F.col("o_orderkey"), c.table(name)
+    change = lambda of, seq, values, deleted=False: ids.where(k % of == 0).select("id", F.lit(seq).cast("long").alias("seq"), F.lit(deleted).alias("deleted"), F.create_map(*map(F.lit, values)).cast("map<string,string>").alias("values"))
+    changes = change(7, 2, ["priority", "last"]).unionByName(change(5, 1, ["priority", "first", "price", "5.5"])).unionByName(change(11, 3, ["price", "0"], True))
+    c.change(name, changes)
+    out = written(c.table(name).drop("id"))
+    c.drop(name)
+    return out
