@@ -189,3 +189,37 @@ def refined_null_rates(spark, d):
 
     rounds = schema.refined(lines, propose).rates
     return spark.createDataFrame([(k, n, r) for k, found in enumerate(rounds) for n, r in found.items()], "round int, name string, null_rate double")
+
+
+_ODD_UNITS = """u AS (SELECT CAST(user_id AS VARCHAR) AS file_id, event_id + 1 AS n, CASE WHEN event_id % 97 = 0 THEN 'x <script src=y>' ELSE 'seen ' || event_type END AS raw,
+  (event_id + user_id) % 3 = 0 AS unsure, event_type IN ('error', 'purchase') AS bad, event_id % 40 = 0 AS rare, event_type = 'view' AS wide FROM events)"""
+
+
+def _odd_units(spark, d):
+    """Units of every kind of trouble: unsure ones, payloads, fields that are mostly absent, errors."""
+    bad = F.col("event_type").isin("error", "purchase")
+    fields = F.map_filter(F.create_map(F.lit("message"), F.col("event_type"), F.lit("log_level"), F.when(bad, "ERROR"), F.lit("rare"), F.when(F.col("event_id") % 40 == 0, "r"), F.lit("wide"), F.when(F.col("event_type") == "view", "w")), lambda k, v: v.isNotNull())
+    raw = F.when(F.col("event_id") % 97 == 0, "x <script src=y>").otherwise(F.concat(F.lit("seen "), "event_type"))
+    sure = F.when((F.col("event_id") + F.col("user_id")) % 3 == 0, 0.3).otherwise(0.8)
+    n = F.col("event_id") + 1
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("file_id"), n.alias("start_line"), n.alias("end_line"), raw.alias("raw"), sure.alias("confidence"), fields.alias("fields"))
+
+
+@query(f"""WITH {_ODD_UNITS}, g AS (SELECT file_id, count(*) AS k, min(n) AS a, max(n) AS b FROM u GROUP BY 1),
+f AS (SELECT file_id, field, count(*) AS held FROM (SELECT file_id, 'message' AS field FROM u UNION ALL SELECT file_id, 'log_level' FROM u WHERE bad UNION ALL SELECT file_id, 'rare' FROM u WHERE rare UNION ALL SELECT file_id, 'wide' FROM u WHERE wide) GROUP BY ALL)
+SELECT file_id, field, CAST(round_even(1 - held / k, 3) AS DOUBLE) AS null_rate, a AS start_line, b AS end_line FROM f JOIN g USING (file_id)""")
+def sparse_field_null_rates(spark, d):
+    """Null rates of fields that every, some and few units of a file have."""
+    return anomaly.field_null_rates(_odd_units(spark, d))
+
+
+@query(f"""WITH {_ODD_UNITS}, g AS (SELECT file_id, count(*) AS k, min(n) AS a, max(n) AS b, avg(CASE WHEN unsure THEN 1.0 ELSE 0.0 END) AS drift, min(n) FILTER (WHERE unsure) AS da, max(n) FILTER (WHERE unsure) AS db,
+  avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS errors, min(n) FILTER (WHERE bad) AS ea, max(n) FILTER (WHERE bad) AS eb, 1 - count(*) FILTER (WHERE rare) / count(*) AS r, 1 - count(*) FILTER (WHERE wide) / count(*) AS w, 1 - count(*) FILTER (WHERE bad) / count(*) AS l FROM u GROUP BY 1),
+x AS (SELECT file_id, 'format_drift' AS type, 'high' AS severity, da AS line_start, db AS line_end, least(0.95, 0.5 + drift) AS confidence FROM g WHERE drift > 0.25
+UNION ALL SELECT file_id, 'security_pattern', 'critical', n, n, 0.9 FROM u WHERE contains(raw, '<script')
+UNION ALL SELECT file_id, 'schema_breakage', 'medium', a, b, least(0.95, round_even(v, 3)) FROM (SELECT file_id, a, b, unnest([r, w, l]) AS v FROM g) WHERE round_even(v, 3) >= 0.9 AND v < 1
+UNION ALL SELECT file_id, 'high_error_density', 'high', ea, eb, least(0.95, 0.4 + errors) FROM g WHERE errors >= 0.3)
+SELECT file_id, type, severity, line_start, line_end, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM x""")
+def anomaly_findings(spark, d):
+    """All kinds of findings on every file."""
+    return anomaly.report(_odd_units(spark, d)).select("file_id", "type", "severity", "line_start", "line_end", F.round("confidence", 6).alias("confidence"))

@@ -239,3 +239,10 @@ def changed_rows(spark, d):
     out = written(c.table(name).drop("id"))
     c.drop(name)
     return out
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def unlinked_orders(spark, d):
+    """Orders that no large line item links to: orphans that there are."""
+    links = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tables.orphans(table(spark, d, "orders"), links, "o_orderkey").select("o_orderkey")
