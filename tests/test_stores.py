@@ -10,6 +10,7 @@ from tracemill.plans import engine
 from tracemill.plans.catalog import Catalog
 from tracemill.sources import files as sources
 from tracemill.sources.lines import lines_of
+from tracemill.streaming import stores
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 
@@ -113,3 +114,37 @@ def test_columns_are_refined_three_times_at_most(spark):
     assert len(calm.rates) == 1
     none = schema.refined(lines, lambda *_: None)
     assert [c.name for c in none.columns] == ["message", "log_level", "source"] and none.warnings
+
+
+def test_outcomes_are_kept_across_runs_and_expire(spark, tmp_path):
+    """Batches of outcomes: sums go on from run to run, thirty days without news are the end, and the limit keeps what was used last."""
+    inbox, store, checkpoint = (str(tmp_path / x) for x in ("inbox", "store", "checkpoint"))
+    row = lambda k, ok, day, conf=0.9: (k, f"fp-{k}", "web", "default", "syslog", conf, "flat", ok, f"2024-{1 + day // 28:02d}-{1 + day % 28:02d} 00:00:00")
+    columns = [x.split(" ") for x in stores.OUTCOMES.split(", ")]
+
+    def run(rows, limit=1000):
+        df = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if k == 'timestamp' else k}" for c, k in columns))
+        df.select(*[F.col(c).cast(k).alias(c) for c, k in columns]).write.mode("append").parquet(inbox)
+        stores.keep_available(stores.outcome_stream(spark, inbox), store, checkpoint, limit).awaitTermination(120)
+        return {r.schema_key: (r.successes, r.failures, r.access_count, r.format_confidence) for r in stores.current(spark, store).collect()}
+
+    assert stores.current(spark, store).count() == 0
+    assert run([row("a", True, 0), row("a", False, 1, 0.95), row("b", True, 1)]) == {"a": (1, 1, 2, 0.95), "b": (1, 0, 1, 0.9)}
+    assert run([row("a", True, 20, 0.7), row("c", False, 20), (None, *row("x", True, 20)[1:])]) == {"a": (2, 1, 3, 0.7), "b": (1, 0, 1, 0.9), "c": (0, 1, 1, 0.9)}
+    late = run([row("d", True, 45)])
+    assert set(late) == {"a", "c", "d"}  # b had no news for 44 days
+    assert run([row("b", True, 46)])["b"] in ((1, 0, 1, 0.9), (2, 0, 2, 0.9)) and set(run([row("e", True, 47), row("f", True, 48)], 3)) == {"b", "e", "f"}
+    known = stores.current(spark, store)
+    assert known.where("schema_key = 'f'").first().fingerprint == "fp-f"
+
+
+def test_a_run_tells_its_outcomes(spark, tmp_path):
+    files = sources.inline_files(spark, [("e.txt", SYSLOG), ("h", "free text\nof no kind")])
+    classified = detect.classify(files, lines_of(files))
+    engine.learn(classified, str(tmp_path / "inbox"), True, F.lit("2024-05-01"))
+    engine.learn(classified, str(tmp_path / "inbox"), False, F.lit("2024-05-02"))
+    stores.keep_available(stores.outcome_stream(spark, str(tmp_path / "inbox")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination(120)
+    got = stores.current(spark, str(tmp_path / "store")).collect()
+    assert len(got) == 2 and all((r.successes, r.failures, r.access_count) == (1, 1, 2) for r in got)
+    again = detect.classify(files, lines_of(files), stores.current(spark, str(tmp_path / "store")))
+    assert {r.filename: r.detected_format for r in again.collect()}["e.txt"] == "syslog"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -14,6 +14,7 @@ from ..sources import binary
 from ..sources import files as files_of
 from ..sources.lines import lines_of
 from ..sources.shared import written
+from ..streaming import stores
 from .catalog import Catalog
 
 #: A parser takes files and lines and gives records: file_id, filename, logical_name, row_no, fields.
@@ -201,6 +202,13 @@ def feedback(classified: DataFrame, domain: str = "unknown", profile: str = "def
     return c.select(cache.schema_key(F.col("detected_format"), F.lit(domain), F.lit(profile), F.col("fingerprint")).alias("schema_key"), "fingerprint", F.lit(domain).alias("domain"), F.lit(profile).alias("profile"), "detected_format", "format_confidence", "structural_class", F.lit(1).cast("long").alias("successes"), F.lit(0).cast("long").alias("failures"), F.lit(1).cast("long").alias("access_count"), F.current_timestamp().alias("updated_at")).dropDuplicates(["schema_key"])
 
 
+def learn(classified: DataFrame, inbox: str, ok: bool, at: Column | None = None, domain: str = "unknown", profile: str = "default") -> None:
+    """Drops a run's outcome for each fingerprint into the folder that the stream of streaming.stores reads."""
+    told = feedback(classified, domain, profile).withColumns({"ok": F.lit(ok), "at": F.current_timestamp() if at is None else at.cast("timestamp")})
+    columns = [F.col(c).cast(k).alias(c) for c, k in (x.split(" ") for x in stores.OUTCOMES.split(", "))]
+    told.select(*columns).write.mode("append").parquet(inbox)
+
+
 def insights(spark: SparkSession, lines: DataFrame, write: Callable[[dict], str] | None = None) -> dict:
     """Severity, most frequent error templates and findings of lines; write(facts) may tell them in words."""
     units = line_parsers.cover(line_parsers.extract_fields(line_parsers.blocks(lines)))
