@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,6 +27,26 @@ class TableReport:
         return bool(self.warnings)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """When a table breaks it, by what was measured, what the gate says then, and what it costs."""
+
+    broken: Callable[[dict[str, float]], bool]
+    says: str
+    costs: Callable[[dict[str, float]], float] = lambda told: 0.0
+
+
+REQUIRED = Rule(lambda t: max(t["worst"], t["mean"]) > NULL_THRESHOLD, "Required fields exceeded null threshold (max={worst:.2f}, avg={mean:.2f}).", lambda t: min(0.7, t["mean"] + 0.2))
+RULES = (
+    Rule(lambda t: t["header"] >= HEADER_THRESHOLD, "Detected header row emitted as data."),
+    Rule(lambda t: t["tag"] > 0, "Detected XML tag-only rows in structured output."),
+    Rule(lambda t: t["declaration"] > 0, "Detected XML declaration-only rows in structured output."),
+    Rule(lambda t: t["duplicate"] >= DUPLICATE_THRESHOLD, "Detected duplicated raw/message content ratio {duplicate:.2f} in structured output."),
+    REQUIRED,
+    Rule(lambda t: t["masked"] > NULL_THRESHOLD, "Structured columns are mostly null while traceability fields are populated (ratio={masked:.2f}).", lambda t: 0.6),
+)
+
+
 def null_ratios(table: DataFrame) -> DataFrame:
     """column, null_ratio for every column, in one pass."""
     ratios = table.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(c) for c in table.columns])
@@ -62,26 +83,20 @@ def evaluate(name: str, table: DataFrame, required: list[str], trace: tuple[str,
     ratios = {c: round(r[f"__null{k}"] or 0.0, 3) for k, c in enumerate(have)} if n else {}
     rates = [ratios.get(c, 1.0) for c in required] if n else []
     total = 1.0 if not n else round(sum(rates) / len(rates), 3) if rates else 0.0
-    warnings, penalty = [], 0.0
-    if known and r.get("__head") and sum(r["__head"][f"h{k}"] == c.lower() for k, c in enumerate(known)) / len(known) >= HEADER_THRESHOLD:
-        warnings.append("Detected header row emitted as data.")
-    if r["__tag"]:
-        warnings.append("Detected XML tag-only rows in structured output.")
-    if r["__decl"]:
-        warnings.append("Detected XML declaration-only rows in structured output.")
-    if (dup := r.get("__dup") or 0.0) >= DUPLICATE_THRESHOLD:
-        warnings.append(f"Detected duplicated raw/message content ratio {dup:.2f} in structured output.")
-    if rates:
-        worst, mean = max(rates), sum(rates) / len(rates)
-        if worst > NULL_THRESHOLD or mean > NULL_THRESHOLD:
-            warnings.append(f"Required fields exceeded null threshold (max={worst:.2f}, avg={mean:.2f}).")
-            penalty += min(0.7, mean + 0.2)
-        else:
-            penalty += mean * 0.4
-    if (mask := r.get("__mask") or 0.0) > NULL_THRESHOLD:
-        warnings.append(f"Structured columns are mostly null while traceability fields are populated (ratio={mask:.2f}).")
-        penalty += 0.6
-    return TableReport(name, n, ratios, total, penalty, warnings)
+    heads = r.get("__head") or {}
+    told = {
+        "header": sum(heads[f"h{k}"] == c.lower() for k, c in enumerate(known)) / len(known) if heads else 0.0,
+        "tag": float(r["__tag"]),
+        "declaration": float(r["__decl"]),
+        "duplicate": r.get("__dup") or 0.0,
+        "worst": max(rates, default=0.0),
+        "mean": sum(rates) / len(rates) if rates else 0.0,
+        "masked": r.get("__mask") or 0.0,
+    }
+    broken = [rule for rule in RULES if rule.broken(told)]
+    # required columns that keep the rule still cost by their nulls
+    penalty = sum(rule.costs(told) for rule in broken) + (0.0 if REQUIRED in broken else 0.4 * told["mean"])
+    return TableReport(name, n, ratios, total, penalty, [rule.says.format(**told) for rule in broken])
 
 
 @dataclass

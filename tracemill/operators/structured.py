@@ -66,21 +66,28 @@ def _scalar(v: Any) -> bool:
     return not isinstance(v, (dict, list))
 
 
-def flatten(value: dict, prefix: str = "", depth: int = 0, out: dict | None = None, longest: int | None = 10) -> dict[str, str | None]:
-    """Nested objects as a_b keys, lists of scalars comma-joined (up to longest; None: any), other lists and deep objects as JSON."""
-    out = {} if out is None else out
-    if depth > DEPTH:
-        out[_free(prefix.rstrip("_") or "value", out)] = _dump(value)
-        return out
-    for key, v in value.items():
-        name = prefix + _name(key)
-        if isinstance(v, dict):
-            flatten(v, name + "_", depth + 1, out, longest)
-        elif isinstance(v, list):
-            plain = all(map(_scalar, v)) and (longest is None or len(v) <= longest)
-            out[_free(name, out)] = _joined(v) if plain else _dump(v)
+def leaves(value: Any, name: str = "", longest: int | None = 10) -> Iterator[tuple[str, str | None]]:
+    """(name, text) of whatever has no members of its own, in document order; what lies more than DEPTH objects deep is one leaf.
+
+    A name joins the keys on the way. Lists of scalars (up to longest; None: any)
+    are comma-joined, other lists are JSON.
+    """
+    ahead = [(name, 0, value)]
+    while ahead:
+        name, level, v = ahead.pop()
+        if isinstance(v, dict) and level <= DEPTH:
+            ahead += reversed([("_".join(filter(None, (name, _name(k)))), level + 1, x) for k, x in v.items()])
+        elif isinstance(v, list) and all(map(_scalar, v)) and len(v) <= (longest or len(v)):
+            yield name, _joined(v)
         else:
-            out[_free(name, out)] = _text(v)
+            yield name, _text(v) if _scalar(v) else _dump(v)
+
+
+def flatten(value: Any, into: dict | None = None, **how) -> dict[str, str | None]:
+    """The leaves as a dict, names that are taken numbered; how is passed on to leaves()."""
+    out = {} if into is None else into
+    for name, text in leaves(value, **how):
+        out[_free(name, out)] = text
     return out
 
 
@@ -104,7 +111,7 @@ def json_document(filename: str, content: str) -> list[tuple[str, dict[str, str
             for k, x in v.items():
                 parent["result_status" if _name(k) == "status" else _name(k)] = _text(x) if _scalar(x) else _dump(x)
         elif isinstance(v, dict):
-            flatten(v, name + "_", 0, parent, None)
+            flatten(v, parent, name=name, longest=None)
         elif isinstance(v, list):
             parent[COUNT_NAMES.get(name, f"{name}_count")] = str(len(v))
             if v and all(isinstance(x, dict) for x in v):
@@ -124,16 +131,18 @@ def json_document(filename: str, content: str) -> list[tuple[str, dict[str, str
 RECIPE = {"setpoint": ("recipe_setpoints", {"setpoint_name": "name", "setpoint_value": "value"}), "interlock": ("recipe_interlocks", {"interlock_name": "name", "interlock_required": "required"}), "tolerance": ("recipe_tolerances", {"tolerance_name": "name", "tolerance_low": "low", "tolerance_high": "high"})}
 
 
+#: Columns of the recipe table: the element (below the root, or the root itself) and its attribute.
+RECIPE_HEAD = {"tool": (".", "tool"), "chamber": (".", "chamber"), "recipe_name": (".", "name"), "version": (".", "version"), "author": (".", "author")} | {c: ("metadata", c) for c in ("created_ts", "approved_by", "product")}
+
+
 def _recipe(root: ET.Element, filename: str) -> list[tuple[str, dict]]:
-    name, version = root.get("name", ""), root.get("version", "")
-    recipe_id = f"{name}:{version}" if name else hashlib.md5(filename.encode()).hexdigest()[:12]
-    head = {"source_file": filename, "recipe_id": recipe_id, "tool": root.get("tool"), "chamber": root.get("chamber"), "recipe_name": name or None, "version": version or None, "author": root.get("author")}
-    meta = root.find("metadata")
-    if meta is not None:
-        head |= {k: meta.get(k) for k in ("created_ts", "approved_by", "product")}
-    out = [("recipe", head)]
+    own = f"{root.get('name')}:{root.get('version', '')}" if root.get("name") else hashlib.md5(filename.encode()).hexdigest()[:12]
+    found = {c: (root.find(at), attribute) for c, (at, attribute) in RECIPE_HEAD.items()}
+    head = {c: e.get(attribute) for c, (e, attribute) in found.items() if e is not None}
+    head |= {c: head[c] or None for c in ("recipe_name", "version")}
+    out = [("recipe", {"source_file": filename, "recipe_id": own} | head)]
     for step in root.findall("step"):
-        seq = {"recipe_id": recipe_id, "step_seq": step.get("seq")}
+        seq = {"recipe_id": own, "step_seq": step.get("seq")}
         out.append(("recipe_steps", seq | {"step_name": step.get("name"), "duration_s": step.get("duration_s")}))
         for tag, (table, columns) in RECIPE.items():
             out += [(table, seq | {c: x.get(a) for c, a in columns.items()}) for x in step.findall(tag)]
