@@ -358,14 +358,14 @@ def delimited(lines: DataFrame) -> DataFrame:
     meta = sniff(lines).drop("width")
     wide = F.max(F.when(~F.col("has_header"), F.size(_cells(F.col("line"), F.col("delimiter"))))).alias("width")
     told = lines.where(F.trim("line") != "").join(meta.select("file_id", "delimiter", "has_header"), "file_id")
-    meta = meta.join(told.groupBy("file_id").agg(wide, F.min("line_no").alias("first")), "file_id")
+    meta = meta.join(told.groupBy("file_id").agg(wide), "file_id")
     name = F.transform("header", lambda c: S.sanitize_identifier(c))
     numbered = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda k: F.concat(F.lit("column_"), k.cast("string")))
     names = F.when(F.col("has_header"), name).otherwise(numbered)
     unique = lambda a: F.transform(a, lambda c, i: F.concat(c, F.when(F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == c)) > 1, F.concat(F.lit("_"), F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == c)).cast("string"))).otherwise("")))
     meta = meta.withColumn("names0", names).withColumn("names", unique(F.col("names0"))).drop("names0", "header", "width")
-    d = lines.where(F.trim("line") != "").join(meta, "file_id").where(~F.col("has_header") | (F.col("line_no") > F.col("first")))
-    d = numbered_rows(d).withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
+    d = numbered_rows(lines.where(F.trim("line") != "")).join(meta, "file_id").where(~F.col("has_header") | (F.col("row_no") > 1))
+    d = d.withColumn("row_no", F.col("row_no") - F.col("has_header").cast("long")).withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
     values = F.transform("names", lambda n, i: F.trim(F.coalesce(F.get(F.col("cells"), i), F.lit(""))))
     fields = F.map_concat(F.create_map(F.lit("source_file"), F.col("filename")), F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), values.alias("v")), lambda e: e["k"] != "source_file")))
     return d.select("file_id", "filename", S.logical_name(F.col("filename")).alias("logical_name"), "row_no", fields.alias("fields"))
