@@ -333,12 +333,13 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(df, bench.limit(0)).count() == df.count()
 
 
-def test_short_items_match_between_word_borders(spark):
-    bench = spark.createDataFrame([(1, "The answer is forty"), (2, "42"), (3, " \n"), (4, None)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "so  THE answer\nis forty."), (2, "the answer is fortyish 142 and 421"), (3, "it was 42, or so"), (4, None), (5, ""), (6, "the answer is forti"), (3, "it was 42, or so"), (None, "42")], "doc_id long, text string")
+def test_items_without_a_spare_edit_match_between_word_borders(spark):
+    """Fewer than 16 characters: no edit, and no word goes on across the ends; 16 and more: one edit for 16, anywhere."""
+    bench = spark.createDataFrame([(1, "The answer is forty"), (2, "42"), (3, " \n"), (4, None), (5, "answer is forty")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so  THE answer\nis forty."), (2, "the answer is fortyish 142 and 421"), (3, "it was 42, or so"), (4, None), (5, ""), (6, "the answer is forti"), (3, "it was 42, or so"), (None, "42"), (7, "an answer was forty")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect())
-    assert got == [(0, 2, 0), (1, 1, 0), (3, 2, 0), (3, 2, 0)]
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 4, 5, 6]
+    assert got == [(0, 2, 0), (1, 1, 0), (1, 5, 0), (2, 1, 0), (3, 2, 0), (3, 2, 0), (6, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [4, 5, 7]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
