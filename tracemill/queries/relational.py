@@ -127,9 +127,11 @@ def interval_join(spark, d):
 
 @query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 def lateral_top(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("customer_lat")
-    table(spark, d, "orders").createOrReplaceTempView("orders_lat")
-    return spark.sql("SELECT c_custkey, o_orderkey FROM customer_lat, LATERAL (SELECT o_orderkey FROM orders_lat WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+    """Each customer's dearest order, of equals the first by key; without a key it is the last."""
+    o = table(spark, d, "orders")
+    first = F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")))  # a null is less than any value
+    best = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(first.alias("o_orderkey"))
+    return table(spark, d, "customer").join(best, "c_custkey").select("c_custkey", "o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
