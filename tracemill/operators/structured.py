@@ -16,11 +16,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..sources.shared import once
 from .line_parsers import RAW_CHARS, last_wins, numbered_rows
 
 RECORDS = "file_id string, filename string, logical_name string, row_no long, fields map<string,string>"
@@ -137,7 +139,7 @@ RECIPE_HEAD = {"tool": (".", "tool"), "chamber": (".", "chamber"), "recipe_name"
 
 def _recipe(root: ET.Element, filename: str) -> list[tuple[str, dict]]:
     own = f"{root.get('name')}:{root.get('version', '')}" if root.get("name") else hashlib.md5(filename.encode()).hexdigest()[:12]
-    found = {c: (root.find(at), attribute) for c, (at, attribute) in RECIPE_HEAD.items()}
+    found = {c: (root if at == "." else root.find(at), attribute) for c, (at, attribute) in RECIPE_HEAD.items()}
     head = {c: e.get(attribute) for c, (e, attribute) in found.items() if e is not None}
     head |= {c: head[c] or None for c in ("recipe_name", "version")}
     out = [("recipe", {"source_file": filename, "recipe_id": own} | head)]
@@ -218,26 +220,40 @@ def xml_fields(text: str) -> dict[str, str]:
     return out
 
 
+#: Documents whose records make up a batch.
+BATCH_DOCUMENTS = 1000
+
+
 def _documents(read):
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                count: dict[str, int] = {}
-                for name, fields in read(r.filename, r.content):
-                    count[name] = count.get(name, 0) + 1
-                    rows.append((r.file_id, r.filename, name, count[name], fields))
-            yield pd.DataFrame(rows, columns=["file_id", "filename", "logical_name", "row_no", "fields"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH_DOCUMENTS):
+                part = batch.slice(a, BATCH_DOCUMENTS)
+                of, tables, nth, keys, values, ends = [], [], [], [], [], [0]
+                for k, (filename, content) in enumerate(zip(part.column("filename").to_pylist(), part.column("content").to_pylist())):
+                    count: dict[str, int] = {}
+                    for name, fields in read(filename, content):
+                        count[name] = count.get(name, 0) + 1
+                        of.append(k)
+                        tables.append(name)
+                        nth.append(count[name])
+                        keys += fields
+                        values += fields.values()
+                        ends.append(len(keys))
+                rows = pa.array(of, pa.int64())
+                maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+                columns = [part.column("file_id").take(rows), part.column("filename").take(rows), pa.array(tables, pa.string()), pa.array(nth, pa.int64()), maps]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "filename", "logical_name", "row_no", "fields"])
 
     return each
 
 
 def json_documents(files: DataFrame) -> DataFrame:
-    return files.select("file_id", "filename", "content").mapInPandas(_documents(json_document), RECORDS)
+    return files.select("file_id", "filename", "content").mapInArrow(_documents(json_document), RECORDS)
 
 
 def xml_documents(files: DataFrame) -> DataFrame:
-    return files.select("file_id", "filename", "content").mapInPandas(_documents(xml_document), RECORDS)
+    return files.select("file_id", "filename", "content").mapInArrow(_documents(xml_document), RECORDS)
 
 
 # -- JSON lines --------------------------------------------------------------------
@@ -252,12 +268,14 @@ def json_value_fields(c: Column) -> Column:
 def json_map(rows: DataFrame, column: str) -> DataFrame:
     """The rows whose column is a JSON object with its fields; nested objects become a_b keys, DEPTH levels deep."""
     text = F.trim(column)
-    d = rows.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>"))).where("e is not null")
+    d = rows.where(F.startswith(text, F.lit("{")) & S.is_json(text)).withColumn("e", F.map_entries(F.from_json(text, "map<string,string>")))
+    # a filter that moved down would repeat what stands below it three times for each level
+    d = once(d).where("e is not null")
     for _ in range(DEPTH):
         nested = F.exists("e", lambda x: F.coalesce(F.startswith(x["value"], F.lit("{")), F.lit(False)))
         d = d.withColumn("e", F.when(nested, F.flatten(F.transform("e", _one_level))).otherwise(F.col("e")))
     joined = F.transform("e", lambda e: F.struct(S.sanitize_identifier(e["key"]).alias("k"), _list_text(e["value"]).alias("v")))
-    return d.withColumn("fields", last_wins(F.filter(joined, lambda e: e["k"] != "source_file"))).drop("e")
+    return once(d.withColumn("fields", last_wins(F.filter(joined, lambda e: e["k"] != "source_file"))).drop("e"))
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
