@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.structured import RECORDS, json_map
-from .shared import written
+from .shared import once, written
 
 #: Pieces that are summed in one task; a longer split is cut by them.
 PART_PIECES = 4096
@@ -77,7 +77,8 @@ def json_items(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace(text, r"^[\s\x{FEFF}]*[\[,]?", "")
     items = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
     item = F.try_element_at(items, F.lit(-1))
-    return whole.select("file_id", "filename", (F.col("nth") + 1).cast("long").alias("row_no"), item.alias("item")).where(F.startswith("item", F.lit("{")))
+    told = once(whole.select("file_id", "filename", (F.col("nth") + 1).cast("long").alias("row_no"), item.alias("item")))
+    return told.where(F.startswith("item", F.lit("{")))
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
