@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tracemill.operators import search_index, tables
 from tracemill.queries import relational
 
 
@@ -15,3 +17,18 @@ def test_lateral_top_takes_an_order_with_a_key_before_one_without(spark, tmp_pat
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     f, sql = relational.QUERIES["lateral_top"]
     assert sorted(map(tuple, f(spark, str(tmp_path)).collect()), key=repr) == sorted(con.execute(sql).fetchall(), key=repr)
+
+
+def test_blocks_beyond_the_folders_share_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "FOLDERS", 3)
+    df = spark.range(1000).selectExpr("id", "concat('line ', id * 7919, if(id = 777, ' Needle-42 é€\U0001f600x', '')) as line")
+    for order in ("id", None):
+        path = f"{tmp_path}/{order}"
+        search_index.write(df, path, order, 50)
+        rows = spark.read.parquet(f"{path}/rows")
+        assert rows.select(search_index.FOLDER).distinct().count() == 3
+        assert 20 <= rows.select(search_index.BLOCK).distinct().count() <= 23
+        assert rows.groupBy(search_index.FOLDER, search_index.BLOCK).count().agg(F.max("count")).first()[0] <= 50
+        for text in ("needle-42", "é€\U0001f600x", "79", "line 7919", "nothing"):
+            assert sorted(r.id for r in search_index.search(spark, path, text).collect()) == sorted(r.id for r in tables.search(df, text).collect())
+        assert search_index.blocks(spark, path, "needle-42").count() <= 2
