@@ -44,9 +44,9 @@ def _best(scores: dict[str, Column]) -> Column:
 _CSV_MARKS = (",", "\t", "|", ";")
 
 
-def _headed(lines: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+def _headed(lines: DataFrame, marks: tuple[str, ...], order: str = "pos") -> DataFrame:
     """Sampled lines with how often each mark occurs in them (n0, ...) and in their file's first (h0, ...)."""
-    first = Window.partitionBy("file_id").orderBy("pos")
+    first = Window.partitionBy("file_id").orderBy(order)
     counted = lines.withColumns({f"n{k}": _count(F.col("line"), m) for k, m in enumerate(marks)})
     return counted.withColumns({f"h{k}": F.first(f"n{k}").over(first) for k in range(len(marks))})
 
@@ -65,20 +65,29 @@ def delimiter_score(lines: DataFrame, marks: tuple[str, ...] = (",",)) -> DataFr
     return _headed(lines, marks).groupBy("file_id").agg((F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("csv"))
 
 
+#: Patterns that scores and statistics count.
+_ASKED = {"json": P.JSON_LINE, "xml": P.XML_TAG, "syslog": P.SYSLOG_START, "access": P.ACCESS_START, "logfmt": P.LOGFMT_LINE, "pairs": P.KEY_VALUE_LINE, "hex": P.HEX_DUMP_START, "section": P.SECTION_HEADER, "stamp": P.ISO_TIMESTAMP, "level": P.LEVEL_HINT}
+
+
+def _asked(lines: DataFrame) -> DataFrame:
+    """lines with is_*: whether each pattern matches, asked once of a line however many aggregates count it."""
+    return lines.withColumns({f"is_{k}": F.col("line").rlike(p) for k, p in _ASKED.items()})
+
+
 def _stat_columns() -> list[Column]:
     n = F.length("line")
     return [
         F.count("*").alias("sample_lines"),
         F.bround(F.avg(n), 1).alias("avg_line_length"),
         F.bround(F.stddev_pop(n), 1).alias("line_length_std"),
-        (_share(F.col("line").rlike(P.ISO_TIMESTAMP)) > 0.3).alias("has_timestamps"),
-        (_share(F.col("line").rlike(P.LEVEL_HINT)) > 0.3).alias("has_log_levels"),
+        (_share(F.col("is_stamp")) > 0.3).alias("has_timestamps"),
+        (_share(F.col("is_level")) > 0.3).alias("has_log_levels"),
     ]
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
     """Average and population deviation of line lengths, whether timestamps and levels are frequent."""
-    return lines.groupBy("file_id").agg(*_stat_columns())
+    return _asked(lines).groupBy("file_id").agg(*_stat_columns())
 
 
 def delimiter_counts(lines: DataFrame) -> DataFrame:
@@ -102,25 +111,25 @@ def content_fingerprint(lines: DataFrame) -> DataFrame:
 
 def _score_columns() -> list[Column]:
     c = F.col("line")
-    json = _share(c.rlike(P.JSON_LINE))
+    json = _share(F.col("is_json"))
     opened = F.avg(F.when(F.col("pos") <= 10, F.when(c.rlike(P.JSON_OPEN), 1.0).otherwise(0.0)))
     return [
         json.alias("json_lines"),
         F.when(json == 0, F.least(F.lit(0.85), opened)).otherwise(0.0).alias("json_document"),
-        _share(c.rlike(P.XML_TAG)).alias("xml"),
+        _share(F.col("is_xml")).alias("xml"),
         _csv_share(0).alias("csv"),
-        _share(c.rlike(P.SYSLOG_START)).alias("syslog"),
-        _share(c.rlike(P.ACCESS_START)).alias("apache_clf"),
-        _share(c.rlike(P.LOGFMT_LINE)).alias("logfmt"),
-        (_share(c.rlike(P.KEY_VALUE_LINE)) * 0.8).alias("key_value"),
-        _share(c.rlike(P.HEX_DUMP_START)).alias("hex_dump"),
-        _share(c.rlike(P.SECTION_HEADER)).alias("section_delimited"),
+        _share(F.col("is_syslog")).alias("syslog"),
+        _share(F.col("is_access")).alias("apache_clf"),
+        _share(F.col("is_logfmt")).alias("logfmt"),
+        (_share(F.col("is_pairs")) * 0.8).alias("key_value"),
+        _share(F.col("is_hex")).alias("hex_dump"),
+        _share(F.col("is_section")).alias("section_delimited"),
     ]
 
 
 def format_scores(lines: DataFrame) -> DataFrame:
     """A column for each fingerprint format: the share of sampled lines that look like it."""
-    return _headed(lines, (",",)).groupBy("file_id").agg(*_score_columns())
+    return _asked(_headed(lines, (",",))).groupBy("file_id").agg(*_score_columns())
 
 
 def structural_class(fmt: Column, confidence: Column | None = None) -> Column:
@@ -142,19 +151,19 @@ def measures(lines: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("file_id").orderBy("line_no")
     top = lines.withColumn("nth", F.row_number().over(w)).where("nth <= 100").where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
-    s = _headed(top.withColumn("pos", F.row_number().over(w)), _CSV_MARKS)
+    s = _asked(_headed(top.withColumn("pos", F.row_number().over(w)), _CSV_MARKS, "line_no"))
     c, half = F.col("line"), F.col("nth") <= 50
     among = lambda hit: F.avg(F.when(half, F.when(hit, 1.0).otherwise(0.0)))
-    clf, logfmt = among(c.rlike(P.ACCESS_START)), among(c.rlike(P.LOGFMT_LINE))
+    clf, logfmt = among(F.col("is_access")), among(F.col("is_logfmt"))
     nginx = F.coalesce(F.max(F.when(half, F.lower(c).rlike("upstream|nginx"))), F.lit(False))
     service = {
-        "json_lines": among(c.rlike(P.JSON_LINE) & S.is_json(c)),
+        "json_lines": among(F.col("is_json") & S.is_json(c)),
         "csv": F.greatest(*[_csv_share(k, half) for k in range(len(_CSV_MARKS))]),
-        "syslog": among(c.rlike(P.SYSLOG_START)),
+        "syslog": among(F.col("is_syslog")),
         "nginx_access": F.when(nginx, clf).otherwise(0.0),
         "apache_access": F.when(~nginx, clf).otherwise(0.0),
         "logfmt": logfmt,
-        "key_value": F.when(logfmt == 0, among(c.rlike(P.KEY_VALUE_LINE)) * 0.8).otherwise(0.0),
+        "key_value": F.when(logfmt == 0, among(F.col("is_pairs")) * 0.8).otherwise(0.0),
     }
     return s.groupBy("file_id").agg(*_score_columns(), *_stat_columns(), _heads(), *[v.alias(f"s_{k}") for k, v in service.items()])
 
@@ -255,7 +264,9 @@ def classify(files: DataFrame, lines: DataFrame, cache: DataFrame | None = None,
     least threshold goes before both.
     """
     text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
-    whole = files.select("file_id", "filename", (text.rlike(r"^[\[{]") & S.is_json(text)).alias("is_json"), (F.startswith(text, F.lit("<")) & _well_formed(text)).alias("is_xml"))
+    # only what begins as XML goes to Python
+    tag, text = F.startswith("text", F.lit("<")), files.select("file_id", "filename", text.alias("text"))
+    whole = text.select("file_id", "filename", (F.col("text").rlike(r"^[\[{]") & S.is_json(F.col("text"))).alias("is_json"), (tag & _well_formed(F.when(tag, F.col("text")))).alias("is_xml"))
     continued = _share(F.col("line").rlike(P.CONTINUATION))
     counts = lines.groupBy("file_id").agg(F.count("*").alias("line_count"), continued.alias("continued"))
     d = whole.join(counts, "file_id", "left").join(_fingerprinted(measures(lines)), "file_id", "left")
