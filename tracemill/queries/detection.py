@@ -10,6 +10,7 @@ from ..operators import detect, line_parsers, schema
 from ..sources import binary
 from ..sources import files as sources
 from ..sources.lines import sample
+from ..sources.shared import written
 from .base import ACCESS, DOC_LINES, JSON_TEXT, LOGFMT, SYSLOG, TRACE, access_lines, document_lines, json_text_lines, logfmt_lines, registry, sample_sql, syslog_lines, table, trace_lines
 
 QUERIES, query = registry()
@@ -102,6 +103,7 @@ def classified_files(spark, d):
     lines = _mixed(spark, d)
     told = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     files = lines.groupBy("file_id", "filename").agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("content"))
+    files = written(files)
     lines = files.select("file_id", "filename", F.posexplode(F.split("content", "\n")).alias("at", "line")).selectExpr("file_id", "filename", "cast(at + 1 as bigint) as line_no", "line")
     return detect.classify(files, lines)
 
