@@ -230,14 +230,15 @@ def _roots(nodes: DataFrame, docs: DataFrame, length: int, percent: int) -> Data
     open_ = stash(open_, "minhash-open")
     rest = stash(only_marked(rest, open_, "key").join(open_, "key", "left_semi"), "minhash-rest")
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.1))))
-    homes = rest.groupBy("node", "n", "root").agg(F.min("rep").alias("home")).withColumn("level", level)
+    # at most BANDS keys for each node, which stay with it instead of being joined again
+    homes = rest.groupBy("node", "n", "root").agg(F.min("rep").alias("home"), F.collect_set("key").alias("keys")).withColumn("level", level)
     # a component of many nodes has blocks of its own, so that it is not compared with itself
     many = homes.groupBy("root").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK // 2).select("root", F.col("root").alias("own"))
     homes = homes.join(many, "root", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
     counts = homes.groupBy("home", "level", "own").agg(_parts().alias("parts"))
-    placed = homes.join(counts, ["home", "level", "own"]).select("node", "root", "own", "level", F.xxhash64("home", "level", "own", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("at"))
+    placed = homes.join(counts, ["home", "level", "own"]).select("node", "root", "own", "level", "keys", F.xxhash64("home", "level", "own", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("at"))
     placed = stash(placed, "minhash-placed")
-    held = rest.select("key", "node").join(placed, "node").groupBy("key", "at").agg(F.min("own").alias("own"), F.min("level").alias("level"))
+    held = placed.select(F.explode("keys").alias("key"), "at", "own", "level").groupBy("key", "at").agg(F.min("own").alias("own"), F.min("level").alias("level"))
     held = stash(held, "minhash-held")
     a, b = (held.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("at", "own", "level")]) for s in "ab")
     apart = (F.col("own_a") == -1) | (F.col("own_a") != F.col("own_b"))
