@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import search_index, tables
+from tracemill.operators import search_index, structured, tables
 from tracemill.queries import relational
 
 
@@ -32,3 +32,11 @@ def test_blocks_beyond_the_folders_share_them(spark, tmp_path, monkeypatch):
         for text in ("needle-42", "é€\U0001f600x", "79", "line 7919", "nothing"):
             assert sorted(r.id for r in search_index.search(spark, path, text).collect()) == sorted(r.id for r in tables.search(df, text).collect())
         assert search_index.blocks(spark, path, "needle-42").count() <= 2
+
+
+def test_a_filter_on_fields_repeats_no_parsing(spark):
+    lines = spark.createDataFrame([('{"a": {"b": {"c": 1}}, "x": "y"}',), ('{"not": 1}',)], "line string")
+    told = structured.json_map(lines, "line").where(~F.map_contains_key("fields", F.lit("not")))
+    assert [r.fields for r in told.collect()] == [{"a_b_c": "1", "x": "y"}]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert max(x.lower().count("from_json") for x in plan.splitlines() if "Filter" in x) <= 2
