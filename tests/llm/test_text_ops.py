@@ -156,6 +156,24 @@ def test_boosting_follows_its_labels():
     assert pii.Boosted(x[:0], y[:0], y[:0], y[:0], y[:0] > 0).lets("c") == "false"
 
 
+def test_pii_fit_uses_every_combination(spark, monkeypatch):
+    """However few combinations the driver takes, trees and thresholds are those of all candidates, one by one."""
+    r = random.Random(4)
+    form = lambda: "".join(r.choice("abcXYZ0123456789"[r.randrange(3) * 3 :]) for _ in range(r.randint(16, 40)))
+    docs = spark.createDataFrame([(k, " ".join(r.choice(["token=", "key ", "", "phone: "]) + r.choice([form(), f"{r.randrange(10**9)}", f"555 {r.randrange(10**6)}-{r.randrange(10**4)}"]) for _ in range(20))) for k in range(60)], "doc_id long, text string")
+    cands = pii._candidates(pii._with_spans(docs)).localCheckpoint()
+    monkeypatch.setattr(pii, "TREES", 4)
+    monkeypatch.setattr(pii, "COMBINATIONS", 20)
+    few = pii.fit(cands)
+    rows = cands.select(F.pmod(F.xxhash64("doc_id"), F.lit(pii.FOLDS)).alias("fold"), F.explode("cands").alias("c")).select("fold", "c.*").collect()
+    x, y, fold, free = (np.array([f(q) for q in rows]) for f in (lambda q: [q[n] for n in pii.FEATURES], lambda q: q.y, lambda q: q.fold, lambda q: not q.over))
+    one_by_one = pii.Boosted(x, y.astype(float), np.ones(len(x)), fold, free)
+    assert len({tuple(v) for v in x}) > 100 and any(np.isfinite(v) for v in few.cut.values())
+    monkeypatch.setattr(pii, "COMBINATIONS", 10**6)
+    for other in (pii.fit(cands), one_by_one):
+        assert (few.start, few.trees, few.cut) == (other.start, other.trees, other.cut)
+
+
 def test_language_held_out(spark):
     r = random.Random(3)
     alphabets = {"xx": "abcdefg", "yy": "mnopqrs", "zz": "äöüßéèà"}

@@ -4,10 +4,12 @@ Exact patterns give the base spans. High-recall generators propose overlapping
 candidates besides: anything around an @ and mail addresses in words, any longer
 run of digits, any long token, and whatever is assigned to a secret's name.
 Their format and context become a few small features. The counts of each
-feature combination over the whole corpus (at most COMBINATIONS of them, a
-documented bound of the fit) are all that boosting needs: regression trees are fitted to them on the driver and applied
-as SQL expressions, and a candidate becomes a span where the score exceeds the
-threshold calibrated for its generator.
+feature combination over the whole corpus are all that boosting needs, and all
+of them are used: each tree is fitted to sums over every combination. Spark adds
+them up where they are more than COMBINATIONS, the driver where they are fewer,
+with the same result. The trees are applied as SQL expressions, and a candidate
+becomes a span where the score reaches the threshold calibrated for its
+generator.
 
 Weak labels: a candidate is positive if a base rule confirms it, if the words
 before it name what it is (a phone, a card, a mail address, a secret), or if it
@@ -22,7 +24,11 @@ What is written to the shared folder holds places and features, no text.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +61,12 @@ FEATURES = ("gen", "len", "dig", "runs", "sep", "prev", "next", "hex", "plus", "
 TREES, RATE, FOLDS = 40, 0.3, 5
 #: What a held-out candidate that nothing names costs where a threshold lets it through, if a named one gains 1.
 COST = 1.0
-#: The most feature combinations that the fit takes to the driver. Where the corpus has more, a hash picks so many of these weakly
-#: labelled rows, each with its whole count.
-COMBINATIONS = 200_000
+#: The most feature combinations that come to the driver; of more, Spark takes the same sums where they lie.
+COMBINATIONS = 50_000
+#: A score is a whole number of thousandths and at most LIMIT of them from zero, so it is the same wherever it is taken.
+UNIT, LIMIT = 1000, 30_000
+#: Every feature value is below.
+VALUES = 16
 #: Arrays are walked in parts of so many items, so that what a walk has gathered is copied rarely.
 PART = 512
 #: Up to so many base spans a candidate is held against each, beyond by binary search.
@@ -173,98 +182,180 @@ def _candidates(spans: DataFrame) -> DataFrame:
     return d.select("doc_id", *[F.expr(f"transform({k}, x -> struct(x.s, x.e))").alias(k) for k in _VALID], "cands")
 
 
+#: Takes a function of a matrix of combinations to keys and two arrays of whole numbers; returns these, summed by key over all combinations.
+Summed = Callable[[Callable[[np.ndarray], tuple[np.ndarray, ...]]], tuple[np.ndarray, ...]]
+
+
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    """Of a matrix of combinations, one a column: features; then by fold the counts of all, of positive, of free and of positive free ones."""
+    return np.split(rows, len(FEATURES) + FOLDS * np.arange(4))
+
+
+def _scores(x: np.ndarray, start: int, trees: list[tuple]) -> np.ndarray:
+    score = np.full(x.shape[1], start)
+    for f, c, f2, c2, a, b, f3, c3, d, e in trees:
+        score += np.where(x[f] <= c, np.where(x[f2] <= c2, a, b), np.where(x[f3] <= c3, d, e))
+    return np.clip(score, -LIMIT, LIMIT)
+
+
+def _seen(counts: np.ndarray, k: int) -> np.ndarray:
+    """The counts that model k is fitted to: those of every fold but k."""
+    return counts.sum(0) - (counts[k] if k < FOLDS else 0)
+
+
+def _totals(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each model: how many candidates it is fitted to, and how many positive ones."""
+    _, n, pos, *_ = _parts(rows)
+    return np.arange(FOLDS + 1), *(np.array([_seen(counts, k).sum() for k in range(FOLDS + 1)]) for counts in (n, pos))
+
+
+def _slopes(models: list[tuple], roots: dict[int, tuple], scale: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each model, side of its root's cut (without one: the first), feature and value: gradient and curvature of the loss.
+
+    Those of a combination are rounded to whole parts of 1 / scale, so that their sums don't depend on an order.
+    """
+    x, n, pos, *_ = _parts(rows)
+    cells = np.zeros((2, FOLDS + 1, 2, len(FEATURES), VALUES), np.int64)
+    for k, (start, trees) in enumerate(models):
+        if trees is None:
+            continue
+        w = _seen(n, k)
+        p = 1 / (1 + np.exp(-_scores(x, start, trees) / UNIT))
+        both = np.rint((_seen(pos, k) - w * p) * scale), np.rint(w * p * (1 - p) * scale)
+        side = VALUES * (x[roots[k][0]] > roots[k][1]) if k in roots else 0
+        for f in range(len(FEATURES)):
+            for out, weight in zip(cells, both):
+                out[k, :, f] = np.bincount(side + x[f], weight, 2 * VALUES).reshape(2, VALUES)
+    g, h = cells.reshape(2, -1)
+    some = np.flatnonzero((g != 0) | (h != 0))
+    return some, g[some], h[some]
+
+
+def _levels(models: list[tuple], rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each generator and score by the model that is blind to the fold: positive and other free candidates."""
+    x, _, _, free, good = _parts(rows)
+    key = np.concatenate([x[0] * (2 * LIMIT + 1) + LIMIT + _scores(x, start, trees or []) for start, trees in models[:FOLDS]])
+    some = free.ravel() > 0
+    keys, at = np.unique(key[some], return_inverse=True)
+    return keys, *(np.bincount(at, v.ravel()[some], len(keys)).astype(np.int64) for v in (good, free - good))
+
+
 class Boosted:
     """Trees of two levels over small integer features, fitted by Newton steps on the logistic loss.
 
     x: feature rows, y: labels, weight: counts, fold: which held-out part each
     row belongs to, free: whether it overlaps no base span. cut: for each
-    generator the score above which held-out free candidates gain most (see
+    generator the score from which on held-out free candidates gain most (see
     COST); no candidate of a generator passes where none gains.
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, free: np.ndarray):
+        n = weight * (np.arange(FOLDS)[:, None] == fold)
+        rows = np.concatenate([x.T, n, n * y, n * free, n * y * free]).astype(np.int64)
+        self._fit(lambda ask: ask(rows))
+
+    @classmethod
+    def of(cls, summed: Summed) -> Boosted:
+        """Fitted to combinations that only summed knows."""
+        made = cls.__new__(cls)
+        made._fit(summed)
+        return made
+
+    def _fit(self, summed: Summed) -> None:
         self.cut = {g: np.inf for g in range(3)}
-        self.start, self.trees = self._fitted(x, y, weight)
+        models = self._fitted(summed)  # one for each fold, blind to it, and one of all
+        self.start, self.trees = models[-1][0], models[-1][1] or []
         if not self.trees:
             return
-        blind = np.zeros(len(x))
-        for k in np.unique(fold):
-            own = fold == k
-            blind[own] = self._scores(x[own], *self._fitted(x[~own], y[~own], weight[~own]))
-        for gen in self.cut:
-            own = np.flatnonzero((x[:, 0] == gen) & (weight > 0) & free)
-            own = own[np.argsort(-blind[own], kind="stable")]
+        keys, good, rest = summed(partial(_levels, models))
+        gen, level = np.divmod(keys, 2 * LIMIT + 1)
+        for g in self.cut:
+            own = np.flatnonzero(gen == g)
+            own = own[np.argsort(-level[own])]
             if len(own):
-                gain = np.cumsum(np.where(y[own] > 0, weight[own], -COST * weight[own]))
-                gain[np.append(np.diff(blind[own]) == 0, False)] = -np.inf  # a level lets through all that score as much
+                gain = np.cumsum(good[own] - COST * rest[own])
                 best = int(gain.argmax())
                 if gain[best] > 0:
-                    self.cut[gen] = float(blind[own][best]) - 1e-4
+                    self.cut[g] = int(level[own][best]) - LIMIT
 
     @classmethod
-    def _fitted(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[tuple]]:
-        n = weight.sum()
-        if not n or not 0 < (share := (weight * y).sum() / n) < 1:
-            return 0.0, []
-        start, trees = float(np.log(share / (1 - share))), []
-        score = np.full(len(x), start)
+    def _fitted(cls, summed: Summed) -> list[tuple[int, list[tuple] | None]]:
+        """Start and trees of every model, fitted side by side; no trees where there is nothing to tell apart."""
+        keys, n, pos = summed(_totals)
+        models = [(0, None)] * (FOLDS + 1)
+        for k, all_, good in zip(keys, n, pos):
+            if 0 < good < all_:
+                models[k] = (int(np.rint(UNIT * np.log(good / (all_ - good)))), [])
+        scale = 1 << max(0, 50 - int(max(n, default=0)).bit_length())  # doubles hold whole sums up to 2^53
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            g, h = weight * (y - p), weight * p * (1 - p)
-            f, c = cls._best(x, g, h)
-            tree = [f, c]
-            for side in (np.flatnonzero(x[:, f] <= c), np.flatnonzero(x[:, f] > c)):
-                f2, c2 = cls._best(x[side], g[side], h[side])
-                low = x[side, f2] <= c2
-                leaves = [round(float(RATE * g[part].sum() / (h[part].sum() + 1.0)), 6) for part in (side[low], side[~low])]
-                score[side] += np.where(low, *leaves)
-                tree += [f2, c2, *leaves]
-            trees.append(tuple(tree))
-        return start, trees
-
-    @staticmethod
-    def _best(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
-        """The feature and the cut of the greatest gain, from sums by feature value."""
-        best = (-1.0, 0, 0)
-        for f in range(x.shape[1]):
-            values = x[:, f]
-            if len(values):
-                gs, hs = np.cumsum(np.bincount(values, g)), np.cumsum(np.bincount(values, h))
-                gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1)
-                c = int(gain.argmax())
-                best = max(best, (float(gain[c]), f, c))
-        return best[1:]
+            if models[-1][1] is None:
+                break
+            roots = {}
+            for turn in range(2):
+                cells = np.zeros((2, (FOLDS + 1) * 2 * len(FEATURES) * VALUES), np.int64)
+                at, *sums = summed(partial(_slopes, models, roots, scale))
+                cells[:, at] = sums
+                cells = cells.reshape(2, FOLDS + 1, 2, len(FEATURES), VALUES) / scale
+                found = {}
+                for k, (_, trees) in enumerate(models):
+                    if trees is None:
+                        continue
+                    if not turn:
+                        found[k] = cls._best(*cells[:, k, 0])
+                        continue
+                    tree = [*roots[k]]
+                    for side in range(2):
+                        f, c = cls._best(*cells[:, k, side])
+                        g, h = cells[:, k, side, f]
+                        tree += [f, c, *(int(np.rint(UNIT * RATE * g[part].sum() / (h[part].sum() + 1))) for part in (slice(c + 1), slice(c + 1, None)))]
+                    trees.append(tuple(tree))
+                roots = found
+        return models
 
     @staticmethod
-    def _scores(x: np.ndarray, start: float, trees: list[tuple]) -> np.ndarray:
-        score = np.full(len(x), start)
-        for f, c, *sides in trees:
-            (f2, c2, a, b), (f3, c3, d, e) = sides[:4], sides[4:]
-            score += np.where(x[:, f] <= c, np.where(x[:, f2] <= c2, a, b), np.where(x[:, f3] <= c3, d, e))
-        return score
+    def _best(g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+        """The feature and the cut of the greatest gain, from sums by feature and value."""
+        gs, hs = np.cumsum(g, axis=1), np.cumsum(h, axis=1)
+        gain = gs**2 / (hs + 1) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1)
+        c = gain.argmax(1)
+        return max((float(gain[f, k]), f, int(k)) for f, k in enumerate(c))[1:]
 
     def sql(self, c: str) -> str:
         """The score of candidate c."""
-        side = lambda f, k, a, b: f"if({c}.{FEATURES[f]} <= {k}, {a}D, {b}D)"
-        return " + ".join([f"{self.start!r}D", *(f"if({c}.{FEATURES[t[0]]} <= {t[1]}, {side(*t[2:6])}, {side(*t[6:10])})" for t in self.trees)])
+        side = lambda f, k, a, b: f"if({c}.{FEATURES[f]} <= {k}, {a}L, {b}L)"
+        total = " + ".join([f"{self.start}L", *(f"if({c}.{FEATURES[t[0]]} <= {t[1]}, {side(*t[2:6])}, {side(*t[6:10])})" for t in self.trees)])
+        return f"least({LIMIT}L, greatest(-{LIMIT}L, {total}))"
 
     def lets(self, c: str) -> str:
-        cuts = [f"({c}.gen = {g} and {self.sql(c)} >= {v!r}D)" for g, v in self.cut.items() if np.isfinite(v)]
+        cuts = [f"({c}.gen = {g} and {self.sql(c)} >= {v}L)" for g, v in self.cut.items() if np.isfinite(v)]
         return " or ".join(cuts) or "false"
 
 
+def _matrix(columns: list) -> np.ndarray:
+    return np.array([c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy() for c in columns], np.int64).reshape(len(columns), -1)
+
+
+def _sums(table: DataFrame, ask: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """See Summed: by Spark, over the rows of a table of combinations."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ask(_matrix(b.columns))], ["key", "a", "b"])
+
+    got = table.mapInArrow(parts, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    return tuple(_matrix(got.columns))
+
+
 def fit(cands: DataFrame) -> Boosted:
-    """From rows of _candidates(): counts of feature combinations and labels in each fold of documents."""
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    keys = ("fold", "over", *FEATURES)
-    counts = cands.select(fold, F.explode("cands").alias("c")).groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in keys[1:]]).agg(F.count("*").alias("n"), F.sum("c.y").alias("pos"))
-    counts = stash(counts, "pii-combinations")
-    if (n := counts.count()) > COMBINATIONS:
-        counts = counts.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(0.98 * COMBINATIONS / n * (1 << 30)))
-    rows = sorted(counts.collect(), key=lambda r: tuple(r[k] for k in keys))
-    x = np.array([[r[f] for f in FEATURES] for r in rows], int).reshape(-1, len(FEATURES))
-    n, pos, fold, free = (np.array([f(r) for r in rows], float) for f in (lambda r: r.n, lambda r: r.pos, lambda r: r.fold, lambda r: not r.over))
-    return Boosted(np.concatenate([x, x]), np.repeat([1.0, 0.0], len(rows)), np.concatenate([pos, n - pos]), np.tile(fold, 2), np.tile(free, 2) > 0)
+    """From rows of _candidates(): every combination of features, counted whole in each fold of documents."""
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
+    kinds = ("true", "y = 1", "not over", "y = 1 and not over")
+    counts = [F.expr(f"count_if(fold = {k} and {kind})").alias(f"n{i}_{k}") for i, kind in enumerate(kinds) for k in range(FOLDS)]
+    table = stash(cands.select(fold, F.explode("cands").alias("c")).select("fold", "c.*").groupBy(*FEATURES).agg(*counts), "pii-combinations")
+    if table.count() > COMBINATIONS:
+        return Boosted.of(partial(_sums, table))
+    rows = _matrix(table.toArrow().columns)
+    return Boosted.of(lambda ask: ask(rows))
 
 
 def find(docs: DataFrame) -> DataFrame:
